@@ -10,8 +10,12 @@ def _strict(agg: Column, c: Column) -> Column:
     return F.when(F.count(F.lit(1)) == F.count(c), agg)
 
 
-def sum_strict(c: Column) -> Column:
-    return _strict(F.sum(c), c)
+def sum_strict(c: Column, on: Column | None = None) -> Column:
+    """Sum, missing if an input is; with ``on`` over the rows that meet it, missing if none does."""
+    if on is None:
+        return _strict(F.sum(c), c)
+    hits = F.count_if(on)
+    return F.when((hits > 0) & (hits == F.count(F.when(on, c))), F.sum(F.when(on, c)))
 
 
 def min_strict(c: Column) -> Column:
@@ -26,11 +30,13 @@ def mean_strict(c: Column) -> Column:
     return _strict(F.avg(c), c)
 
 
-def paste(c: Column, order: Column, sep: str = "_") -> Column:
-    """Texts joined in ``order``, a null written as NA."""
+def paste(c: Column, order: Column, sep: str = "_", on: Column | None = None) -> Column:
+    """Texts joined in ``order``, a null written as NA; with ``on`` of the rows that meet it."""
     text = F.coalesce(c.cast("string"), F.lit("NA"))
-    pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("v"))))
-    return F.array_join(F.transform(pairs, lambda p: p["v"]), sep)
+    pair = F.struct(order.alias("o"), text.alias("v"))
+    pairs = F.array_sort(F.collect_list(pair if on is None else F.when(on, pair)))
+    joined = F.array_join(F.transform(pairs, lambda p: p["v"]), sep)
+    return joined if on is None else F.when(F.count_if(on) > 0, joined)
 
 
 def all_true(cond: Column) -> Column:

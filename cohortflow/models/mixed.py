@@ -168,9 +168,9 @@ def _weights(n, lam):
 class Statistics:
     """The collapsed statistics of all subgroups."""
 
-    def __init__(self, df: DataFrame, design: Design):
+    def __init__(self, cell: DataFrame, design: Design):
+        """``cell`` comes from ``cells`` with this design or one that has more terms."""
         self.design = design
-        cell = cut(cells(df, design))
         size = design.size + 1
         self.xx: dict[str, np.ndarray] = {}
         for r in cross_products(cell, design).collect():
@@ -313,7 +313,7 @@ class _Likelihood:
             l2 -= float(np.trace(a_inv @ w2[:p, :p]) + np.trace(aw @ aw))
         f = self.free
         return {
-            "value": f * math.log(2 * math.pi * rss / f) + f + l0, "beta": beta, "a_inv": a_inv, "rss": rss,
+            "value": f * math.log(2 * math.pi * rss / f) + f + l0 if rss > 0 else math.inf, "beta": beta, "a_inv": a_inv, "rss": rss,
             "d1": f * rss1 / rss + l1, "d2": f * (rss2 / rss - (rss1 / rss) ** 2) + l2,
             "rss1": rss1, "rss2": rss2, "l2": l2, "w1": w1[:p, :p],
             "resid": float(c @ (self.xx - s.wr[pick]) @ c),
@@ -327,13 +327,16 @@ def fit(df: DataFrame, response: str, terms: Sequence[Term], group: str, reml: b
     """Fit the model to each ``subgroup`` of ``df`` (to all rows if it has no such column)."""
     if "subgroup" not in df.columns:
         df = df.withColumn("subgroup", F.lit(ALL))
-    return fit_statistics(Statistics(df, Design(response, group, tuple(terms))), reml)
+    design = Design(response, group, tuple(terms))
+    return fit_statistics(Statistics(cut(cells(df, design)), design), reml)
 
 
 def fit_statistics(stats: Statistics, reml: bool = True) -> list[Fit]:
     like = {s: _Likelihood(stats.xx[s], reml) for s in stats.subgroups}
     like = {s: m for s, m in like.items() if m.free > 0 and m.nobs > m.p}
     first = stats.shrink({s: GRID for s in like})
+    # a subgroup its own terms explain fully has no variance to estimate
+    like = {s: m for s, m in like.items() if m.at(first[s, 0.0])["rss"] > ALIAS_TOLERANCE * m.xx[m.p, m.p]}
     value = {s: [like[s].at(first[s, lam])["value"] for lam in GRID] for s in like}
     best = {s: int(np.argmin(v)) for s, v in value.items()}
     lam = {s: GRID[k] for s, k in best.items()}

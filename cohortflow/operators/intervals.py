@@ -87,12 +87,50 @@ def exposure_at(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: s
     return pairs.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
+def expose(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, start: str, end: str,
+           aggs: Mapping[str, Column], how: str = "inner", hot: HotGroups | None | str = AUTO) -> DataFrame:
+    """Points with aggregates over the intervals active at their time; ``how="left"`` keeps all points.
+
+    (group, ``t``) has to be unique in ``points``. Aggregates must ignore a row with a null ``start``, which
+    is what a point without an interval gives. The points go through one join and one aggregate that both
+    sit on the group key, so ordinary groups are shuffled once.
+    """
+    by = list(by)
+    if isinstance(hot, str):
+        hot = merge(hot_groups(points, by), hot_groups(intervals, by))
+    named = [c.alias(n) for n, c in aggs.items()]
+    if hot is None:
+        spans = intervals.where(F.col(start) < F.col(end)).withColumnsRenamed({c: f"_i_{c}" for c in by})
+        on = _inside(t, start, end)
+        for c in by:
+            on = on & (F.col(c) == F.col(f"_i_{c}"))
+        return points.join(spans, on, how).groupBy(*points.columns).agg(*named)
+    found = interval_join(points.select(*by, t), intervals, by, t, start, end, hot).groupBy(*by, t).agg(*named)
+    return salted_join(points, found, [*by, t], how, hot)
+
+
 def attach(points: DataFrame, matched: DataFrame, on: Sequence[str],
            hot: HotGroups | None | str = None) -> DataFrame:
     """Add the matched columns; points without a match stay with nulls."""
     return salted_join(points, matched, on, "left", hot)
 
 
+def attach_intervals(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, start: str, end: str,
+                     hot: HotGroups | None | str = AUTO) -> DataFrame:
+    """Left join of points and the intervals active at their time; overlapping intervals repeat the point."""
+    by = list(by)
+    if isinstance(hot, str):
+        hot = merge(hot_groups(points, by), hot_groups(intervals, by))
+    if hot is None:
+        spans = intervals.where(F.col(start) < F.col(end)).withColumnsRenamed({c: f"_i_{c}" for c in by})
+        on = _inside(t, start, end)
+        for c in by:
+            on = on & (F.col(c) == F.col(f"_i_{c}"))
+        return points.join(spans, on, "left").drop(*[f"_i_{c}" for c in by])
+    pairs = interval_join(points.select(*by, t).distinct(), intervals, by, t, start, end, hot)
+    return salted_join(points, pairs, [*by, t], "left", hot)
+
+
 def hull_match(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, start: str, end: str,
                aggs: Mapping[str, Column], hot: HotGroups | None | str = AUTO) -> DataFrame:
     """Hull (min start, max end) of the active intervals of each point, with ``aggs`` over the intervals

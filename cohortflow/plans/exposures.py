@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import paste, sum_strict
@@ -12,7 +13,7 @@ from ..functions.categories import map_values
 from ..functions.clock import add_clock, hours_between, icu_day, midnight
 from ..functions.predicates import contains_any, exclude_any, is_in, overlaps, within
 from ..operators.groups import first_per_key
-from ..operators.intervals import attach, exposure_at, hull_match, interval_join, merge_intervals, order_pair
+from ..operators.intervals import attach, attach_intervals, expose, hull_match, merge_intervals, order_pair
 from ..operators.intervals import points_to_periods, runs
 from ..operators.skew import AUTO, HotGroups
 from ..sources import lookups as L
@@ -21,6 +22,38 @@ from ..sources.tables import lookup
 KEY = ["stay_id", "time_seq"]
 
 
+@dataclass(frozen=True)
+class Kind:
+    """Intervals of one exposure and what a measurement takes from those active at its time.
+
+    The hull (earliest start, latest end) is always taken. ``aggs`` gets the mask of the exposure's rows,
+    which carry their times in ``_start`` and ``_end``; ``finish`` adds row-wise columns.
+    """
+
+    name: str
+    intervals: DataFrame
+    start: str
+    end: str
+    aggs: Callable[[Column], dict[str, Column]]
+    finish: Callable[[DataFrame], DataFrame]
+
+
+def attach_exposures(points: DataFrame, kinds: Sequence[Kind], hot: HotGroups | None | str = AUTO) -> DataFrame:
+    """Measurements with the given exposures: the intervals of all kinds go through a single join."""
+    spans = None
+    aggs: dict[str, Column] = {}
+    for k in kinds:
+        part = k.intervals.withColumnsRenamed({k.start: "_start", k.end: "_end"}).withColumn("_kind", F.lit(k.name))
+        spans = part if spans is None else spans.unionByName(part, allowMissingColumns=True)
+        on = F.col("_kind") == k.name
+        aggs |= {k.start: F.min(F.when(on, F.col("_start"))), k.end: F.max(F.when(on, F.col("_end"))), **k.aggs(on)}
+    clash = [c for c in spans.columns if c in points.columns and c != "stay_id"]
+    out = expose(points, spans.drop(*clash), ["stay_id"], "time_seq", "_start", "_end", aggs, "left", hot)
+    for k in kinds:
+        out = k.finish(out)
+    return out
+
+
 def administrations(inputs: DataFrame, items: DataFrame, stays: DataFrame) -> DataFrame:
     """Input events of the listed items in the listed stays, on the stay clock."""
     events = (inputs.where(F.col("amount") > 0).join(items.select("itemid", "label"), "itemid")
@@ -51,22 +84,15 @@ def dextrose_rates(events: DataFrame) -> DataFrame:
         F.col("itemid").alias("itemid_dext"), rate.alias("rate_dext"))
 
 
-def dextrose_exposure(points: DataFrame, rates: DataFrame, hot: HotGroups | None | str = AUTO) -> DataFrame:
-    """Per measured time with dextrose running: hull, summed rate (unknown if one is), labels."""
-    order = F.struct("starttime_dext_seq", "endtime_dext_seq", "itemid_dext", "amount_total")
-    return exposure_at(points, rates, ["stay_id"], "time_seq", "starttime_dext_seq", "endtime_dext_seq", {
-        "starttime_dext_seq": F.min("starttime_dext_seq"),
-        "endtime_dext_seq": F.max("endtime_dext_seq"),
-        "rate_dext": sum_strict(F.col("rate_dext")),
-        "label_dext": paste(F.col("label_dext"), order),
-        "ordercat_dext": paste(F.col("ordercat_dext"), order),
-    }, hot)
-
-
-def attach_dextrose(points: DataFrame, found: DataFrame, hot: HotGroups | None = None) -> DataFrame:
-    out = attach(points, found, KEY, hot)
-    return out.withColumns({"dext_yn": F.when(F.col("starttime_dext_seq").isNotNull(), "y").otherwise("n"),
-                            "rate_dext": F.coalesce("rate_dext", F.lit(0.0))})
+def dextrose_kind(rates: DataFrame) -> Kind:
+    order = F.struct("_start", "_end", "itemid_dext", "amount_total")
+    return Kind("dextrose", rates, "starttime_dext_seq", "endtime_dext_seq", lambda on: {
+        "rate_dext": sum_strict(F.col("rate_dext"), on),
+        "label_dext": paste(F.col("label_dext"), order, on=on),
+        "ordercat_dext": paste(F.col("ordercat_dext"), order, on=on),
+    }, lambda df: df.withColumns({
+        "dext_yn": F.when(F.col("starttime_dext_seq").isNotNull(), "y").otherwise("n"),
+        "rate_dext": F.coalesce("rate_dext", F.lit(0.0))}))
 
 
 # insulin
@@ -91,30 +117,31 @@ def insulin_rates(events: DataFrame) -> DataFrame:
     return df.withColumn("rate_insu", F.when(length > 0, F.col("units_insu") / length))
 
 
-def insulin_exposure(points: DataFrame, rates: DataFrame, mode: str = "sum",
-                     hot: HotGroups | None | str = AUTO) -> DataFrame:
-    """Per measured time with insulin acting: hull and rate.
+def _insulin_flags(df: DataFrame) -> DataFrame:
+    return df.withColumns({"insu_yn": F.when(F.col("starttime_insu_seq_corr").isNotNull(), "y").otherwise("n"),
+                           "rate_insu": F.coalesce("rate_insu", F.lit(0.0))})
 
-    ``sum`` adds the rates of all acting doses. ``hull`` adds only those of doses whose window equals the
-    hull of all acting windows; with none the rate is unknown.
-    """
+
+def insulin_kind(rates: DataFrame) -> Kind:
+    """Hull of the acting windows and the summed rate of all acting doses."""
+    order = F.struct("_start", "_end", "itemid_insu", "units_insu")
+    return Kind("insulin", rates, "starttime_insu_seq_corr", "endtime_insu_seq_corr", lambda on: {
+        "insu_cat": paste(F.col("insu_cat"), order, on=on),
+        "ordercategoryname": paste(F.col("ordercategoryname"), order, on=on),
+        "rate_insu": sum_strict(F.col("rate_insu"), on),
+    }, _insulin_flags)
+
+
+def insulin_hull(points: DataFrame, rates: DataFrame, hot: HotGroups | None | str = AUTO) -> DataFrame:
+    """Only the rates of doses whose window equals the hull of all acting windows; with none the rate is 0
+    although the flag is ``y``."""
     order = F.struct("starttime_insu_seq_corr", "endtime_insu_seq_corr", "itemid_insu", "units_insu")
-    values = {
+    found = hull_match(points, rates, ["stay_id"], "time_seq", "starttime_insu_seq_corr", "endtime_insu_seq_corr", {
         "insu_cat": paste(F.col("insu_cat"), order),
         "ordercategoryname": paste(F.col("ordercategoryname"), order),
         "rate_insu": sum_strict(F.col("rate_insu")),
-    }
-    start, end = "starttime_insu_seq_corr", "endtime_insu_seq_corr"
-    if mode == "hull":
-        return hull_match(points, rates, ["stay_id"], "time_seq", start, end, values, hot)
-    return exposure_at(points, rates, ["stay_id"], "time_seq", start, end,
-                       {start: F.min(start), end: F.max(end), **values}, hot)
-
-
-def attach_insulin(points: DataFrame, found: DataFrame, hot: HotGroups | None = None) -> DataFrame:
-    out = attach(points, found, KEY, hot)
-    return out.withColumns({"insu_yn": F.when(F.col("starttime_insu_seq_corr").isNotNull(), "y").otherwise("n"),
-                            "rate_insu": F.coalesce("rate_insu", F.lit(0.0))})
+    }, hot)
+    return _insulin_flags(attach(points, found, KEY))
 
 
 def daily_total(rates: DataFrame, t: str = "starttime_insu_seq", amount: str = "units_insu",
@@ -150,12 +177,12 @@ def _extra(tie: Sequence[str]) -> list[str]:
     return [c for c in tie if c not in ("valuenum", "value", "charttime", "stay_id")]
 
 
-def score_at(points: DataFrame, periods: DataFrame, hot: HotGroups | None | str = AUTO) -> DataFrame:
-    """Score in force at each measured time; of overlapping periods the earliest."""
-    first = F.min_by(F.struct("ras_score", "ras_label"), F.struct("starttime_ras_seq", "intnr"))
-    found = exposure_at(points, periods, ["stay_id"], "time_seq", "starttime_ras_seq", "endtime_ras_seq",
-                        {"_s": first}, hot)
-    return found.select(*KEY, "_s.ras_score", "_s.ras_label")
+def score_kind(periods: DataFrame) -> Kind:
+    """Score in force; of overlapping periods the earliest."""
+    return Kind("score", periods, "starttime_ras_seq", "endtime_ras_seq", lambda on: {
+        "_score": F.min_by(F.when(on, F.struct("ras_score", "ras_label")), F.when(on, F.struct("_start", "intnr"))),
+    }, lambda df: df.withColumns({"ras_score": F.col("_score.ras_score"), "ras_label": F.col("_score.ras_label")})
+        .drop("_score", "starttime_ras_seq", "endtime_ras_seq"))
 
 
 # ventilation
@@ -174,12 +201,11 @@ def status_at(points: DataFrame, intervals: DataFrame, dedupe: bool = False,
               hot: HotGroups | None | str = AUTO) -> DataFrame:
     """Ventilation record in force and its class. Overlapping records repeat the measurement unless
     ``dedupe`` keeps the earliest record only."""
-    pairs = interval_join(points.select(*KEY).distinct(), intervals, ["stay_id"], "time_seq",
-                          "starttime_vent_seq", "endtime_vent_seq", hot)
+    start, end = "starttime_vent_seq", "endtime_vent_seq"
+    out = attach_intervals(points, intervals, ["stay_id"], "time_seq", start, end, hot)
     if dedupe:
-        pairs = first_per_key(pairs, KEY, ["starttime_vent_seq", "endtime_vent_seq", "ventilation_status"])
-    out = attach(points, pairs.select(*KEY, "ventilation_status"), KEY, None if isinstance(hot, str) else hot)
-    return out.withColumn("ventilation_status_cat", ventilation_class())
+        out = first_per_key(out, KEY, [start, end, "ventilation_status"])
+    return out.withColumn("ventilation_status_cat", ventilation_class()).drop(start, end)
 
 
 # glucocorticoids
@@ -212,18 +238,16 @@ def drug_intervals(pharmacy: DataFrame, stays: DataFrame) -> DataFrame:
                      (last + L.GLUCOCORTICOID_HOURS).alias("cort_interval_endtime_seq"))
 
 
-def drug_exposure(points: DataFrame, pharmacy: DataFrame, stays: DataFrame,
-                  hot: HotGroups | None | str = AUTO) -> DataFrame:
-    """Hull of the merged action periods in force at each measured time."""
-    start, end = "cort_interval_starttime_seq", "cort_interval_endtime_seq"
-    merged = merge_intervals(drug_intervals(pharmacy, stays), ["stay_id"], start, end, hot=hot)
-    return exposure_at(points, merged, ["stay_id"], "time_seq", start, end, {start: F.min(start), end: F.max(end)}, hot)
+def drug_periods(pharmacy: DataFrame, stays: DataFrame, hot: HotGroups | None | str = AUTO) -> DataFrame:
+    """Merged periods of action per stay."""
+    return merge_intervals(drug_intervals(pharmacy, stays), ["stay_id"], "cort_interval_starttime_seq",
+                           "cort_interval_endtime_seq", hot=hot)
 
 
-def attach_drug(points: DataFrame, found: DataFrame, hot: HotGroups | None = None) -> DataFrame:
-    out = attach(points, found, KEY, hot)
-    return out.withColumn("glucocorticoid_yn",
-                          F.when(F.col("cort_interval_starttime_seq").isNotNull(), "y").otherwise("n"))
+def drug_kind(periods: DataFrame) -> Kind:
+    return Kind("glucocorticoid", periods, "cort_interval_starttime_seq", "cort_interval_endtime_seq", lambda on: {},
+                lambda df: df.withColumn("glucocorticoid_yn", F.when(
+                    F.col("cort_interval_starttime_seq").isNotNull(), "y").otherwise("n")))
 
 
 def administered_doses(emar: DataFrame, pharmacy: DataFrame, stays: DataFrame) -> DataFrame:

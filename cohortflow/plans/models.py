@@ -14,6 +14,7 @@ from ..models.mixed import Design, Fit, Statistics, Term
 from ..operators.groups import group_attach
 from ..operators.skew import AUTO, HotGroups
 from ..operators.summaries import extreme_flag
+from ..session import cut
 from ..sources import lookups as L
 
 RESPONSE = "glucose_value_mmolL"
@@ -47,9 +48,15 @@ def analysis_rows(table: DataFrame) -> DataFrame:
 
 
 def nested_statistics(table: DataFrame) -> dict[str, Statistics]:
-    """Statistics of the nested models over the same rows: those complete for the largest model."""
-    rows = Design(RESPONSE, GROUP, FINAL).complete(analysis_rows(table)).withColumn("subgroup", F.lit(mixed.ALL))
-    return {name: Statistics(rows, Design(RESPONSE, GROUP, terms)) for name, terms in MODELS.items()}
+    """Statistics of the nested models over the same rows, those complete for the largest model, from one
+    pass: the cells of the largest model hold those of the others."""
+    cell = final_cells(table)
+    return {name: Statistics(cell, Design(RESPONSE, GROUP, terms)) for name, terms in MODELS.items()}
+
+
+def final_cells(table: DataFrame) -> DataFrame:
+    rows = analysis_rows(table).withColumn("subgroup", F.lit(mixed.ALL))
+    return cut(mixed.cells(rows, Design(RESPONSE, GROUP, FINAL)))
 
 
 def requirement_class(df: DataFrame, hot: HotGroups | None | str = AUTO) -> DataFrame:
@@ -100,7 +107,8 @@ def with_subgroups(table: DataFrame, hot: HotGroups | None | str = AUTO) -> Data
 
 def subgroup_fits(table: DataFrame, terms: Sequence[Term] = FINAL, hot: HotGroups | None | str = AUTO) -> list[Fit]:
     """All refits from one grouped pass. A subgroup with too few rows for its terms gives no fit."""
-    return mixed.fit_statistics(Statistics(with_subgroups(table, hot), Design(RESPONSE, GROUP, tuple(terms))))
+    design = Design(RESPONSE, GROUP, tuple(terms))
+    return mixed.fit_statistics(Statistics(cut(mixed.cells(with_subgroups(table, hot), design)), design))
 
 
 def subgroup_sizes(table: DataFrame, hot: HotGroups | None | str = AUTO) -> DataFrame:

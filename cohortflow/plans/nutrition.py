@@ -11,7 +11,7 @@ from ..functions.aggregates import paste, sum_strict
 from ..functions.clock import add_clock
 from ..functions.predicates import contains_any, is_in
 from ..operators.groups import group_attach, keep_groups_all
-from ..operators.intervals import exposure_at, islands
+from ..operators.intervals import expose, islands
 from ..operators.skew import AUTO, HotGroups
 from ..sources import lookups as L
 from ..sources.tables import lookup
@@ -95,17 +95,16 @@ def feeding_exposure(points: DataFrame, enteral: DataFrame, factors: DataFrame |
     """
     feeds = carbohydrate_rate(enteral, factors)
     order = F.struct("starttime_nut_seq", "endtime_nut_seq", "itemid_nut")
-    found = exposure_at(points, feeds.select("stay_id", "starttime_nut_seq", "endtime_nut_seq", "rate_nut",
-                                             "rate_nut_cho", "label_nut", "itemid_nut"),
-                        ["stay_id"], "time_seq", "starttime_nut_seq", "endtime_nut_seq", {
-                            "rate_nut_cho": sum_strict(F.col("rate_nut_cho")),
-                            "rate_nut": sum_strict(F.col("rate_nut")),
-                            "label_nut": paste(F.col("label_nut"), order),
-                            "itemid_nut": paste(F.col("itemid_nut"), order),
-                            "starttime_nut_seq": F.min("starttime_nut_seq"),
-                            "endtime_nut_seq": F.max("endtime_nut_seq"),
-                        }, hot)
-    return points.join(found, ["stay_id", "time_seq"])
+    spans = feeds.select("stay_id", "starttime_nut_seq", "endtime_nut_seq", "rate_nut", "rate_nut_cho", "label_nut",
+                         "itemid_nut")
+    return expose(points, spans, ["stay_id"], "time_seq", "starttime_nut_seq", "endtime_nut_seq", {
+        "rate_nut_cho": sum_strict(F.col("rate_nut_cho")),
+        "rate_nut": sum_strict(F.col("rate_nut")),
+        "label_nut": paste(F.col("label_nut"), order),
+        "itemid_nut": paste(F.col("itemid_nut"), order),
+        "starttime_nut_seq": F.min("starttime_nut_seq"),
+        "endtime_nut_seq": F.max("endtime_nut_seq"),
+    }, "inner", hot)
 
 
 def feeding_known(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.categories import glucose_mmol
 from ..operators.skew import AUTO, HotGroups, hot_groups, merge
+from ..session import cut
 from ..sources.tables import included_ids, write_table
 from . import attributes, cohort, exposures, measurements, nutrition
 
@@ -19,7 +20,8 @@ from . import attributes, cohort, exposures, measurements, nutrition
 class Study:
     """Each step is a frame that is planned on first use and never collected.
 
-    ``hot`` lists the stays too large for one task; it is looked up once and shared by every step.
+    The two frames that many later steps read, the enteral events and the fed measurements, are written to
+    the checkpoint folder once. ``hot`` lists the stays too large for one task; it is looked up once and shared by every step.
     """
 
     tables: Mapping[str, DataFrame]
@@ -47,7 +49,7 @@ class Study:
 
     @cached_property
     def enteral(self) -> DataFrame:
-        return nutrition.enteral_periods(self.feeding, self.hot)
+        return cut(nutrition.enteral_periods(self.feeding, self.hot))
 
     @cached_property
     def fed_stays(self) -> DataFrame:
@@ -74,7 +76,7 @@ class Study:
 
     @cached_property
     def fed(self) -> DataFrame:
-        return nutrition.feeding_known(self.exposed)
+        return cut(nutrition.feeding_known(self.exposed))
 
     @cached_property
     def stays(self) -> DataFrame:
@@ -101,19 +103,21 @@ class Study:
 
     @cached_property
     def glucocorticoid(self) -> DataFrame:
-        """Hull of the action periods at each measured time that has one."""
-        return exposures.drug_exposure(self.fed, self.tables["pharmacy"], self.cohort, self.hot)
+        """Merged periods of glucocorticoid action."""
+        return exposures.drug_periods(self.tables["pharmacy"], self.cohort, self.hot)
 
     @cached_property
     def exposures(self) -> DataFrame:
         """Measurements with every exposure attached."""
-        base, hot = self.fed, self.hot
-        df = exposures.attach_dextrose(base, exposures.dextrose_exposure(base, self.dextrose, hot))
-        df = exposures.attach_insulin(df, exposures.insulin_exposure(base, self.insulin, self.insulin_mode, hot))
+        kinds = [exposures.dextrose_kind(self.dextrose), exposures.score_kind(self.sedation),
+                 exposures.drug_kind(self.glucocorticoid)]
+        if self.insulin_mode == "sum":
+            kinds.append(exposures.insulin_kind(self.insulin))
+        df = exposures.attach_exposures(self.fed, kinds, self.hot)
+        if self.insulin_mode == "hull":
+            df = exposures.insulin_hull(df, self.insulin, self.hot)
         df = exposures.attach_daily(df, exposures.daily_total(self.insulin))
-        df = exposures.attach(df, exposures.score_at(base, self.sedation, hot), exposures.KEY)
-        df = exposures.attach_drug(df, self.glucocorticoid)
-        return exposures.status_at(df, self.ventilation, self.vent_dedupe, hot)
+        return exposures.status_at(df, self.ventilation, self.vent_dedupe, self.hot)
 
     @cached_property
     def table(self) -> DataFrame:
@@ -141,7 +145,8 @@ class Study:
             "dextrose_administrations": self.dextrose.join(self.stays.select("stay_id"), "stay_id", "left_semi"),
             "enteral_feeding": self.enteral,
             "all_measurements": self.measured,
-            "glucocorticoid_administrations": self.glucocorticoid,
+            "glucocorticoid_administrations": self.exposures.select(
+                "stay_id", "time_seq", "cort_interval_starttime_seq", "cort_interval_endtime_seq").na.drop().distinct(),
         }
         for name, df in outputs.items():
             write_table(df, f"{root}/{name}", fmt)

@@ -8,6 +8,7 @@ from ..models import mixed, trees
 from ..operators import summaries
 from ..plans import descriptives, exposures
 from ..plans import models as M
+from ..session import cut
 from .registry import query, r, rounded, sel, study
 from .views import VENT_CLASS, cut_sql
 
@@ -139,7 +140,7 @@ def timeline(spark, d):
 
 
 @query("day_hour_grid", """
-WITH bouts AS (SELECT stay_id, island, MIN(s) AS s, MAX(e) AS e, MAX(intime_seq) AS lo, MAX(outtime_seq) AS hi FROM enteral GROUP BY stay_id, island),
+, bouts AS (SELECT stay_id, island, MIN(s) AS s, MAX(e) AS e, MAX(intime_seq) AS lo, MAX(outtime_seq) AS hi FROM enteral GROUP BY stay_id, island),
 fedh AS (SELECT DISTINCT stay_id, h FROM (SELECT stay_id, UNNEST(GENERATE_SERIES(CAST(GREATEST(FLOOR(s), FLOOR(lo)) AS BIGINT), CAST(LEAST(CEIL(e) - 1, CEIL(hi)) AS BIGINT))) AS h FROM bouts)),
 grid AS (SELECT stay_id, UNNEST(GENERATE_SERIES(CAST(FLOOR(MAX(lo)) AS BIGINT), CAST(CEIL(MAX(hi)) AS BIGINT))) AS h FROM bouts GROUP BY stay_id)
 SELECT g.stay_id, CAST(FLOOR(g.h / 24) AS BIGINT) AS day, CASE WHEN f.h IS NULL THEN 'n' ELSE 'y' END AS feeding_yn,
@@ -174,7 +175,7 @@ LAST = mixed.Design(M.RESPONSE, M.GROUP, M.FINAL).size
 
 
 @query("lmm_xtx", f"""
-WITH act AS (SELECT ROW_NUMBER() OVER () AS rid, glucose_value_mmolL AS y, {ACTIVE} AS ids FROM model_rows),
+, act AS (SELECT ROW_NUMBER() OVER () AS rid, glucose_value_mmolL AS y, {ACTIVE} AS ids FROM model_rows),
 long AS (SELECT rid, UNNEST(ids) AS id, 1.0 AS v FROM act UNION ALL SELECT rid, {LAST}, y FROM act)
 SELECT CAST(p.id AS INT) AS a, CAST(q.id AS INT) AS b, {r('SUM(CAST(p.v AS DOUBLE) * q.v)', 4)} AS v
 FROM long p JOIN long q ON p.rid = q.rid AND p.id <= q.id GROUP BY 1, 2""")
@@ -185,7 +186,7 @@ def lmm_xtx(spark, d):
 
 
 @query("lmm_group_moments", f"""
-WITH act AS (SELECT stay_id, glucose_value_mmolL AS y, {ACTIVE} AS ids FROM model_rows),
+, act AS (SELECT stay_id, glucose_value_mmolL AS y, {ACTIVE} AS ids FROM model_rows),
 sizes AS (SELECT stay_id, COUNT(*) AS n FROM act GROUP BY stay_id),
 long AS (SELECT stay_id, UNNEST(ids) AS id, CAST(1.0 AS DOUBLE) AS v FROM act UNION ALL SELECT stay_id, {LAST}, y FROM act),
 sums AS (SELECT stay_id, id, SUM(v) AS v FROM long GROUP BY stay_id, id)
@@ -225,8 +226,8 @@ def marginal_means(spark, d):
 
 @query("lmm_residual_hist")
 def lmm_residual_hist(spark, d):
-    rows = M.analysis_rows(table(spark, d)).withColumn("subgroup", F.lit(mixed.ALL))
-    stats = mixed.Statistics(rows, mixed.Design(M.RESPONSE, M.GROUP, M.FINAL))
+    rows = cut(M.analysis_rows(table(spark, d)))
+    stats = mixed.Statistics(M.final_cells(rows), mixed.Design(M.RESPONSE, M.GROUP, M.FINAL))
     return mixed.residual_histogram(mixed.residuals(stats, mixed.fit_statistics(stats)[0], rows))
 
 
@@ -283,8 +284,8 @@ SMALL = {**trees.PARAMS, "n_estimators": 20}
 
 @query("feature_table", f"""
 SELECT {sel('stay_id, ~time_seq, ~glucose_value_mmolL, ~time_dec, ~CAST(age AS DOUBLE) AS age, ~rate_insu, ~rate_dext, ~rate_nut_cho')},
-       CASE WHEN sex = 'M' THEN 1.0 ELSE 0.0 END AS sex_M, CASE WHEN diabetes_status = 'y' THEN 1.0 ELSE 0.0 END AS diabetes_status_y,
-       CASE WHEN glucocorticoid_yn = 'y' THEN 1.0 ELSE 0.0 END AS glucocorticoid_yn_y
+       CASE WHEN sex = 'M' THEN 1e0 ELSE 0e0 END AS sex_M, CASE WHEN diabetes_status = 'y' THEN 1e0 ELSE 0e0 END AS diabetes_status_y,
+       CASE WHEN glucocorticoid_yn = 'y' THEN 1e0 ELSE 0e0 END AS glucocorticoid_yn_y
 FROM study WHERE glucose_value_mmolL IS NOT NULL AND time_dec IS NOT NULL AND age IS NOT NULL AND rate_nut_cho IS NOT NULL""")
 def feature_table(spark, d):
     return rounded(trees.feature_table(table(spark, d), levels=LEVELS)[0])
@@ -292,7 +293,7 @@ def feature_table(spark, d):
 
 def _features(spark, d):
     df, names = trees.feature_table(table(spark, d), levels=LEVELS)
-    return df.persist(), names
+    return cut(df), names
 
 
 @query("gbt_score")

@@ -239,9 +239,9 @@ def first_per_key(spark, d):
         "user_id", "event_type", "event_id")
 
 
-@query("center_on_group", f"SELECT event_id, {r('value - AVG(value) OVER (PARTITION BY user_id)')} AS centred FROM base")
+@query("center_on_group", f"SELECT event_id, {r('value - AVG(value) OVER (PARTITION BY user_id)', 9)} AS centred FROM base")
 def center_on_group(spark, d):
-    return rounded(groups.center(tables(spark, d)["base"], ["user_id"], "value", "centred").select("event_id", "centred"))
+    return rounded(groups.center(tables(spark, d)["base"], ["user_id"], "value", "centred").select("event_id", "centred"), 9)
 
 
 @query("quantiles", f"""
@@ -293,7 +293,7 @@ def sample_n(spark, d):
 # study steps
 
 @query("subject_flow", """
-WITH f AS (SELECT s.subject_id, s.los >= 6 AS is_long, s.stay_id IN (SELECT stay_id FROM cohort) AS is_first,
+, f AS (SELECT s.subject_id, s.los >= 6 AS is_long, s.stay_id IN (SELECT stay_id FROM cohort) AS is_first,
                   s.stay_id IN (SELECT stay_id FROM measured) AS is_meas, s.stay_id IN (SELECT stay_id FROM enteral) AS is_fed FROM icustays s),
 c AS (SELECT COUNT(*) AS a, COUNT(DISTINCT subject_id) AS ap, COUNT(*) FILTER (is_long) AS l,
              COUNT(DISTINCT subject_id) FILTER (is_long) AS lp, COUNT(*) FILTER (is_first) AS k,
@@ -372,7 +372,7 @@ SELECT {sel('v.event_id, v.stay_id, ~d.starttime_dext_seq, ~d.endtime_dext_seq,
 FROM fed v LEFT JOIN dext_at d ON v.stay_id = d.stay_id AND v.time_seq = d.time_seq""")
 def dextrose_exposure(spark, d):
     s = study(spark, d)
-    out = exposures.attach_dextrose(s.fed, exposures.dextrose_exposure(s.fed, s.dextrose, s.hot))
+    out = exposures.attach_exposures(s.fed, [exposures.dextrose_kind(s.dextrose)], s.hot)
     return rounded(out.select("event_id", "stay_id", "starttime_dext_seq", "endtime_dext_seq", "rate_dext", "label_dext",
                               "ordercat_dext", "dext_yn"))
 
@@ -390,20 +390,19 @@ SELECT {sel('v.event_id, v.stay_id, ~i.starttime_insu_seq_corr, ~i.endtime_insu_
 FROM fed v LEFT JOIN {view} i ON v.stay_id = i.stay_id AND v.time_seq = i.time_seq"""
 
 
-def _insulin(spark, d, mode):
-    s = study(spark, d)
-    out = exposures.attach_insulin(s.fed, exposures.insulin_exposure(s.fed, s.insulin, mode, s.hot))
-    return rounded(out.select("event_id", "stay_id", "starttime_insu_seq_corr", "endtime_insu_seq_corr", "insu_cat", "rate_insu", "insu_yn"))
+INSULIN_COLUMNS = ("event_id", "stay_id", "starttime_insu_seq_corr", "endtime_insu_seq_corr", "insu_cat", "rate_insu", "insu_yn")
 
 
 @query("insulin_exposure_sum", _insulin_sql("insu_at"))
 def insulin_exposure_sum(spark, d):
-    return _insulin(spark, d, "sum")
+    s = study(spark, d)
+    return rounded(exposures.attach_exposures(s.fed, [exposures.insulin_kind(s.insulin)], s.hot).select(*INSULIN_COLUMNS))
 
 
 @query("insulin_exposure_hull", _insulin_sql("insu_hull"))
 def insulin_exposure_hull(spark, d):
-    return _insulin(spark, d, "hull")
+    s = study(spark, d)
+    return rounded(exposures.insulin_hull(s.fed, s.insulin, s.hot).select(*INSULIN_COLUMNS))
 
 
 @query("daily_total", f"""
@@ -425,7 +424,7 @@ SELECT {sel('v.event_id, v.stay_id, ~r.ras_score, r.ras_label')}
 FROM fed v LEFT JOIN score_at r ON v.stay_id = r.stay_id AND v.time_seq = r.time_seq""")
 def score_at(spark, d):
     s = study(spark, d)
-    out = exposures.attach(s.fed, exposures.score_at(s.fed, s.sedation, s.hot), exposures.KEY)
+    out = exposures.attach_exposures(s.fed, [exposures.score_kind(s.sedation)], s.hot)
     return rounded(out.select("event_id", "stay_id", "ras_score", "ras_label"))
 
 
@@ -452,8 +451,7 @@ def status_at_first(spark, d):
 @query("drug_intervals", f"SELECT stay_id, interval_no, {sel('~s AS cort_interval_starttime_seq, ~e AS cort_interval_endtime_seq')} FROM drug_merged")
 def drug_intervals(spark, d):
     s = study(spark, d)
-    acting = exposures.drug_intervals(s.tables["pharmacy"], s.cohort)
-    return rounded(intervals.merge_intervals(acting, ["stay_id"], "cort_interval_starttime_seq", "cort_interval_endtime_seq", hot=s.hot))
+    return rounded(exposures.drug_periods(s.tables["pharmacy"], s.cohort, s.hot))
 
 
 @query("drug_exposure", f"""
@@ -462,7 +460,7 @@ SELECT {sel('v.event_id, v.stay_id, ~g.cort_interval_starttime_seq, ~g.cort_inte
 FROM fed v LEFT JOIN drug_at g ON v.stay_id = g.stay_id AND v.time_seq = g.time_seq""")
 def drug_exposure(spark, d):
     s = study(spark, d)
-    out = exposures.attach_drug(s.fed, s.glucocorticoid)
+    out = exposures.attach_exposures(s.fed, [exposures.drug_kind(s.glucocorticoid)], s.hot)
     return rounded(out.select("event_id", "stay_id", "cort_interval_starttime_seq", "cort_interval_endtime_seq", "glucocorticoid_yn"))
 
 

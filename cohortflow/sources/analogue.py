@@ -60,10 +60,10 @@ SELECT event_id, stay_id, user_id, ts,
             WHEN stay_id % 8 = 6 THEN 226452
             WHEN stay_id % 8 = 7 AND event_id % 3 = 0 THEN 225916
             WHEN stay_id % 8 = 7 AND event_id % 3 = 1 THEN 226452
-            ELSE CASE event_id % 12 WHEN 0 THEN 229574 WHEN 1 THEN 225970 WHEN 2 THEN 228356 WHEN 3 THEN 228356
+            ELSE CASE event_id % 24 WHEN 0 THEN 229574 WHEN 1 THEN 225970 WHEN 2 THEN 228356 WHEN 3 THEN 228356
                  WHEN 4 THEN 226020 WHEN 5 THEN 226020 WHEN 6 THEN 229297 WHEN 7 THEN 229297 ELSE 225930 END
        END AS itemid,
-       6 + event_id % 42 AS hours, value * 40e0 AS amount
+       16 + event_id % 62 AS hours, value * 40e0 AS amount
 FROM base WHERE event_type = 'signup'""",
     "drips": """
 SELECT event_id, stay_id, user_id, ts,
@@ -179,7 +179,11 @@ def duckdb_sql(query: str, extra: dict[str, str] | None = None) -> str:
     """``query`` with the stand-in views (and ``extra`` ones) it reads put in front."""
     views = {"base": BASE_DUCKDB, **VIEWS, **(extra or {})}
     wanted = _needs(query, tuple(views))
-    return f"WITH {with_clause(views, wanted)}\n{query.strip()}" if wanted else query.strip()
+    text = query.strip()
+    if not wanted:
+        return text
+    # a query that starts with a comma goes on with the WITH list
+    return f"WITH {with_clause(views, wanted)}{'' if text.startswith(',') else chr(10)}{text}"
 
 
 class AnalogueTables(dict):

@@ -25,7 +25,7 @@ def connect(sf_dir: str):
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.6f}"
+        return "nan" if math.isnan(v) else repr(v + 0.0)
     return repr(v)
 
 
@@ -51,7 +51,7 @@ def compare(spark, con, sf_dir, name):
 if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"})
+    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = []
