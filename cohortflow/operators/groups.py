@@ -23,7 +23,7 @@ def group_attach(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
         w = Window.partitionBy(*by)
         return df.withColumns({n: c.over(w) for n, c in aggs.items()})
     totals = df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()])
-    return salted_join(df, totals, by, "left", hot)
+    return salted_join(df, totals, by, "left", hot, null_safe=True)
 
 
 def center(df: DataFrame, by: Sequence[str], c: str, name: str, hot: HotGroups | None | str = AUTO) -> DataFrame:

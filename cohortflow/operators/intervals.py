@@ -6,6 +6,7 @@ Intervals are matched half-open, ``(start, end]``. Times are doubles in hours.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,9 +54,8 @@ def _blocked(points: DataFrame, intervals: DataFrame, by: list[str], t: str, sta
 
     span = None
     for k, w in enumerate(BLOCK_HOURS):
-        # the lambda default keeps this loop's tier
-        cells = F.transform(F.sequence(F.floor(F.col(start) / w), F.floor(F.col(end) / w)),
-                            lambda b, k=k: cell(k, b))
+        blocks = F.sequence(F.floor(F.col(start) / w), F.floor(F.col(end) / w))
+        cells = F.transform(blocks, partial(cell, k))
         last = k == len(BLOCK_HOURS) - 1
         fits = F.lit(True) if last else (F.col(end) - F.col(start) <= w)
         span = F.when(fits, cells) if span is None else span.when(fits, cells)

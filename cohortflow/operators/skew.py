@@ -83,11 +83,6 @@ def merge(a: HotGroups | None, b: HotGroups | None) -> HotGroups | None:
     return HotGroups(a.by, tuple(best.values()), a.schema, a.limit)
 
 
-def same_key(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
-    """Key equality in which a null equals a null."""
-    return reduce(lambda x, y: x & y, [left[c].eqNullSafe(right[c]) for c in by])
-
-
 def mark_hot(df: DataFrame, hot: HotGroups, name: str = "_n") -> DataFrame:
     """Add the row count of the group where it is hot, null elsewhere. The list is at most MAX_HOT rows."""
     keys = hot.frame(df.sparkSession)
@@ -104,17 +99,26 @@ def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame]:
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-                hot: HotGroups | None | str = AUTO) -> DataFrame:
+                hot: HotGroups | None | str = AUTO, null_safe: bool = False) -> DataFrame:
     """Equi-join in which rows of a hot left key are spread and the right rows of that key copied.
 
-    ``hot`` may be keyed by a subset of ``on``. For joins whose right side has few rows per key.
+    ``hot`` may be keyed by a subset of ``on``. For joins whose right side has few rows per key. With
+    ``null_safe`` a null key matches a null key.
     """
     on = list(on)
     hot = resolve(left, on, hot)
     if hot is None:
-        return left.join(right, on, how)
+        return _join(left, right, on, how, null_safe)
     parts = F.ceil(F.coalesce(F.col("_n"), F.lit(1)) / F.lit(float(hot.limit))).cast("long")
     lhs = mark_hot(left, hot).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), parts)).drop("_n")
     rhs = (mark_hot(right, hot)
            .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_n"))
-    return lhs.join(rhs, [*on, "_salt"], how).drop("_salt")
+    return _join(lhs, rhs, [*on, "_salt"], how, null_safe).drop("_salt")
+
+
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str, null_safe: bool) -> DataFrame:
+    if not null_safe:
+        return left.join(right, on, how)
+    right = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    cond = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(right, cond, how).drop(*[f"_r_{c}" for c in on])

@@ -20,8 +20,8 @@ from . import attributes, cohort, exposures, measurements, nutrition
 class Study:
     """Each step is a frame that is planned on first use and never collected.
 
-    The two frames that many later steps read, the enteral events and the fed measurements, are written to
-    the checkpoint folder once. ``hot`` lists the stays too large for one task; it is looked up once and shared by every step.
+    The frames that many later steps read (cohort, enteral events, fed measurements) are written to the
+    checkpoint folder once. ``hot`` lists the stays too large for one task; it is looked up once and shared by every step.
     """
 
     tables: Mapping[str, DataFrame]
@@ -39,7 +39,7 @@ class Study:
 
     @cached_property
     def cohort(self) -> DataFrame:
-        return cohort.select_cohort(self.tables["icustays"], self.min_los)
+        return cut(cohort.select_cohort(self.tables["icustays"], self.min_los))
 
     @cached_property
     def feeding(self) -> DataFrame:

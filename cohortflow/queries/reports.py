@@ -170,7 +170,7 @@ ACTIVE = "LIST_FILTER([0, " + ", ".join(
     "CASE " + t.column + " " + " ".join(
         f"WHEN {level if isinstance(level, int) else repr(level)} THEN {k}"
         for k, (c, level) in enumerate(mixed.Design(M.RESPONSE, M.GROUP, M.FINAL).columns, start=1) if c == t.column) + " END"
-    for t in M.FINAL) + "], x -> x IS NOT NULL)"
+    for t in M.FINAL) + "], lambda x: x IS NOT NULL)"
 LAST = mixed.Design(M.RESPONSE, M.GROUP, M.FINAL).size
 
 
