@@ -54,17 +54,10 @@ def attach_exposures(points: DataFrame, kinds: Sequence[Kind], hot: HotGroups |
     return out
 
 
-def administrations(inputs: DataFrame, items: DataFrame, stays: DataFrame) -> DataFrame:
-    """Input events of the listed items in the listed stays, on the stay clock."""
-    events = (inputs.where(F.col("amount") > 0).join(items.select("itemid", "label"), "itemid")
-              .join(stays.select("stay_id", "intime"), "stay_id"))
-    return add_clock(events, {"start_seq": "starttime", "end_seq": "endtime"}, "intime")
-
-
 # dextrose
 
-def dextrose_items(items: DataFrame) -> DataFrame:
-    return items.where(contains_any(F.col("label"), ["dextrose"]))
+def is_dextrose() -> Column:
+    return contains_any(F.col("label"), ["dextrose"])
 
 
 def dextrose_rates(events: DataFrame) -> DataFrame:
@@ -72,14 +65,14 @@ def dextrose_rates(events: DataFrame) -> DataFrame:
     parenteral; unknown otherwise."""
     strength = lookup(events.sparkSession, L.DEXTROSE_CONCENTRATION, "label string, strength double")
     order = F.col("ordercategorydescription")
-    length = F.col("end_seq") - F.col("start_seq")
+    length = F.col("endtime_seq") - F.col("starttime_seq")
     rate = (F.when((F.col("rateuom") == "mL/hour") & order.isin(*L.CONTINUOUS_ORDERS) & F.col("strength").isNotNull(),
                    F.col("strength") * F.col("rate"))
             .when(order.isin(*L.PUSH_ORDERS) & F.col("strength").isNotNull(),
                   F.col("strength") * F.col("amount") / L.BOLUS_HOURS)
             .when((F.col("label") == L.DEXTROSE_PARENTERAL) & (length > 0), F.col("amount") / length))
     return events.join(strength, "label", "left").select(
-        "stay_id", F.col("start_seq").alias("starttime_dext_seq"), F.col("end_seq").alias("endtime_dext_seq"),
+        "stay_id", F.col("starttime_seq").alias("starttime_dext_seq"), F.col("endtime_seq").alias("endtime_dext_seq"),
         F.col("label").alias("label_dext"), order.alias("ordercat_dext"), F.col("amount").alias("amount_total"),
         F.col("itemid").alias("itemid_dext"), rate.alias("rate_dext"))
 
@@ -97,8 +90,8 @@ def dextrose_kind(rates: DataFrame) -> Kind:
 
 # insulin
 
-def insulin_items(items: DataFrame) -> DataFrame:
-    return items.where(contains_any(F.col("label"), ["insulin"]) & is_in(F.col("category"), ["Medications"]))
+def is_insulin() -> Column:
+    return contains_any(F.col("label"), ["insulin"]) & is_in(F.col("category"), ["Medications"])
 
 
 def insulin_rates(events: DataFrame) -> DataFrame:
@@ -107,9 +100,9 @@ def insulin_rates(events: DataFrame) -> DataFrame:
     order = F.col("ordercategorydescription")
     onset = F.when(F.col("_tail").isNotNull(), F.lit(L.INSULIN_ONSET_HOURS)).otherwise(F.lit(0.0))
     df = events.join(action, "label", "left").select(
-        "stay_id", F.col("start_seq").alias("starttime_insu_seq"), F.col("end_seq").alias("endtime_insu_seq"),
-        (F.col("start_seq") + onset).alias("starttime_insu_seq_corr"),
-        (F.col("end_seq") + F.coalesce("_tail", F.lit(0.0))).alias("endtime_insu_seq_corr"),
+        "stay_id", F.col("starttime_seq").alias("starttime_insu_seq"), F.col("endtime_seq").alias("endtime_insu_seq"),
+        (F.col("starttime_seq") + onset).alias("starttime_insu_seq_corr"),
+        (F.col("endtime_seq") + F.coalesce("_tail", F.lit(0.0))).alias("endtime_insu_seq_corr"),
         F.col("itemid").alias("itemid_insu"), F.col("label").alias("label_insu"), "ordercategoryname",
         order.alias("ordercat_insu"), F.col("amount").alias("units_insu"),
         F.when(order.isin(*L.CONTINUOUS_ORDERS), "infusion").when(order == "Drug Push", "bolus").alias("insu_cat"))
@@ -158,12 +151,12 @@ def attach_daily(points: DataFrame, daily: DataFrame, name: str = "unitsperday_i
 
 # sedation
 
-def score_periods(chart: DataFrame, stays: DataFrame, item: int = L.SEDATION_ITEM,
-                  tie: Sequence[str] = ("valuenum",), hot: HotGroups | None | str = AUTO) -> DataFrame:
-    """Runs of an unchanged score: each score lasts to the next one, the last to the end of the stay."""
-    scores = (chart.where(F.col("itemid") == item).select("stay_id", "charttime", "valuenum", "value", *_extra(tie))
-              .join(stays.select("stay_id", "intime", "outtime"), "stay_id")
-              .where(within(F.col("charttime"), F.col("intime"), F.col("outtime"))))
+def score_periods(charted: DataFrame, item: int = L.SEDATION_ITEM, tie: Sequence[str] = ("valuenum",),
+                  hot: HotGroups | None | str = AUTO) -> DataFrame:
+    """Runs of an unchanged score among the rows charted in a stay: each score lasts to the next one, the
+    last to the end of the stay."""
+    scores = charted.where(F.col("itemid") == item).select("stay_id", "charttime", "valuenum", "value", *_extra(tie),
+                                                           "intime", "outtime")
     scores = add_clock(scores, {"charttime_seq": "charttime", "outtime_seq": "outtime"}, "intime")
     periods = points_to_periods(scores, ["stay_id"], "charttime_seq", "outtime_seq", tie,
                                 "starttime_ras_seq", "endtime_ras_seq", hot)

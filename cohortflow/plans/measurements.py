@@ -49,12 +49,16 @@ def corrected_time(missing_store: str = "null") -> Column:
     return expr.otherwise(chart) if missing_store == "chart" else expr
 
 
-def raw_measurements(chart: DataFrame, cohort: DataFrame, missing_store: str = "null") -> DataFrame:
-    """Glucose rows charted during a cohort stay, at their corrected time."""
-    return (chart.where(F.col("itemid").isin(*ITEMS))
+def charted_in_stay(chart: DataFrame, cohort: DataFrame, items: Sequence[int] = (*ITEMS, L.SEDATION_ITEM)) -> DataFrame:
+    """Rows of the listed items charted during a cohort stay."""
+    return (chart.where(F.col("itemid").isin(*items))
             .join(cohort.select("stay_id", "intime", "outtime", "los"), "stay_id")
-            .where(within(F.col("charttime"), F.col("intime"), F.col("outtime")))
-            .withColumn("charttime", corrected_time(missing_store)))
+            .where(within(F.col("charttime"), F.col("intime"), F.col("outtime"))))
+
+
+def raw_measurements(charted: DataFrame, missing_store: str = "null") -> DataFrame:
+    """Glucose rows at their corrected time."""
+    return charted.where(F.col("itemid").isin(*ITEMS)).withColumn("charttime", corrected_time(missing_store))
 
 
 def valid_measurements(raw: DataFrame, tie: Sequence[str] = ("storetime", "valuenum")) -> DataFrame:

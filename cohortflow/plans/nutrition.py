@@ -19,20 +19,23 @@ from ..sources.tables import lookup
 STAY_COLUMNS = ("stay_id", "intime", "outtime", "los")
 
 
-def feeding_items(items: DataFrame) -> DataFrame:
-    keep = contains_any(F.col("category"), ["nutrition"]) | F.coalesce(F.col("label") == L.ORAL_LABEL, F.lit(False))
-    return items.where(keep).select("itemid", "label", "category")
+def input_events(inputs: DataFrame, items: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Input events of the listed items during the given stays, on the stay clock."""
+    events = (inputs.where(F.col("amount") > 0)
+              .join(items.select("itemid", "label", "category"), "itemid")
+              .join(cohort.select(*STAY_COLUMNS), "stay_id"))
+    return add_clock(events, {"starttime_seq": "starttime", "endtime_seq": "endtime",
+                              "intime_seq": "intime", "outtime_seq": "outtime"}, "intime")
+
 
+def is_feeding() -> Column:
+    return contains_any(F.col("category"), ["nutrition"]) | F.coalesce(F.col("label") == L.ORAL_LABEL, F.lit(False))
 
-def feeding_events(inputs: DataFrame, items: DataFrame, cohort: DataFrame, tie: Sequence[str] = ("itemid", "amount"),
+
+def feeding_events(events: DataFrame, tie: Sequence[str] = ("itemid", "amount"),
                    hot: HotGroups | None | str = AUTO) -> DataFrame:
-    """All feeding events of the cohort on the stay clock, with the stretch number over **all** feeding."""
-    events = (inputs.where(F.col("amount") > 0)
-              .join(feeding_items(items), "itemid")
-              .join(cohort.select(*STAY_COLUMNS), "stay_id"))
-    events = add_clock(events, {"starttime_seq": "starttime", "endtime_seq": "endtime",
-                                "intime_seq": "intime", "outtime_seq": "outtime"}, "intime")
-    return islands(events, ["stay_id"], "starttime_seq", "endtime_seq", tie, "nut_intervalnr", hot)
+    """Feeding events with the number of their gap-free stretch over **all** feeding of the stay."""
+    return islands(events.where(is_feeding()), ["stay_id"], "starttime_seq", "endtime_seq", tie, "nut_intervalnr", hot)
 
 
 def classify_stay(df: DataFrame, by: Sequence[str], category: str, classes: Sequence[tuple[str, str]] = L.FEEDING_CLASSES,

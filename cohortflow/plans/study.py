@@ -20,8 +20,8 @@ from . import attributes, cohort, exposures, measurements, nutrition
 class Study:
     """Each step is a frame that is planned on first use and never collected.
 
-    The frames that many later steps read (cohort, enteral events, fed measurements) are written to the
-    checkpoint folder once. ``hot`` lists the stays too large for one task; it is looked up once and shared by every step.
+    The frames that several later steps read (cohort, its input events and chart rows, enteral events, fed
+    measurements) are written to the checkpoint folder once. ``hot`` lists the stays too large for one task; it is looked up once and shared by every step.
     """
 
     tables: Mapping[str, DataFrame]
@@ -41,10 +41,21 @@ class Study:
     def cohort(self) -> DataFrame:
         return cut(cohort.select_cohort(self.tables["icustays"], self.min_los))
 
+    @cached_property
+    def inputs(self) -> DataFrame:
+        """Feeding, dextrose and insulin events of the cohort, from one scan of the input events."""
+        items = self.tables["d_items"]
+        wanted = items.where(nutrition.is_feeding() | exposures.is_dextrose() | exposures.is_insulin())
+        return cut(nutrition.input_events(self.tables["inputevents"], wanted, self.cohort))
+
+    @cached_property
+    def charted(self) -> DataFrame:
+        """Glucose and sedation rows of the cohort, from one scan of the chart."""
+        return cut(measurements.charted_in_stay(self.tables["chartevents"], self.cohort))
+
     @cached_property
     def feeding(self) -> DataFrame:
-        events = nutrition.feeding_events(self.tables["inputevents"], self.tables["d_items"], self.cohort,
-                                          hot=self.hot)
+        events = nutrition.feeding_events(self.inputs, hot=self.hot)
         return nutrition.feeding_class(events, self.reference_compat, self.hot)
 
     @cached_property
@@ -58,7 +69,7 @@ class Study:
     @cached_property
     def measured(self) -> DataFrame:
         """All glucose rows of the cohort."""
-        return measurements.raw_measurements(self.tables["chartevents"], self.cohort, self.missing_store)
+        return measurements.raw_measurements(self.charted, self.missing_store)
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -85,17 +96,15 @@ class Study:
 
     @cached_property
     def dextrose(self) -> DataFrame:
-        items = exposures.dextrose_items(self.tables["d_items"])
-        return exposures.dextrose_rates(exposures.administrations(self.tables["inputevents"], items, self.cohort))
+        return exposures.dextrose_rates(self.inputs.where(exposures.is_dextrose()))
 
     @cached_property
     def insulin(self) -> DataFrame:
-        items = exposures.insulin_items(self.tables["d_items"])
-        return exposures.insulin_rates(exposures.administrations(self.tables["inputevents"], items, self.cohort))
+        return exposures.insulin_rates(self.inputs.where(exposures.is_insulin()))
 
     @cached_property
     def sedation(self) -> DataFrame:
-        return exposures.score_periods(self.tables["chartevents"], self.cohort, hot=self.hot)
+        return exposures.score_periods(self.charted, hot=self.hot)
 
     @cached_property
     def ventilation(self) -> DataFrame:

@@ -69,8 +69,8 @@ UNION ALL SELECT 'dextrose', COUNT(DISTINCT i.stay_id) FROM inputevents i JOIN d
 WHERE i.amount > 0 AND LOWER(d.label) LIKE '%dextrose%' AND i.stay_id IN (SELECT stay_id FROM fed)""")
 def ever_exposed(spark, d):
     s = study(spark, d)
-    kinds = {"insulin": exposures.insulin_items, "dextrose": exposures.dextrose_items}
-    parts = [exposures.ever_exposed(s.tables["inputevents"], pick(s.tables["d_items"]), s.stays)
+    kinds = {"insulin": exposures.is_insulin(), "dextrose": exposures.is_dextrose()}
+    parts = [exposures.ever_exposed(s.tables["inputevents"], s.tables["d_items"].where(pick), s.stays)
              .agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_stays")) for kind, pick in kinds.items()]
     return parts[0].unionByName(parts[1])
 

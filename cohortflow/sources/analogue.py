@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut
+
 SOURCES = ("events", "customer", "orders", "lineitem", "part")
 
 _BASE = """
@@ -162,14 +164,14 @@ def _needs(text: str, names: tuple[str, ...]) -> list[str]:
     return [n for n in names if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", text)]
 
 
-def with_clause(views: dict[str, str], wanted: list[str]) -> str:
-    """WITH list holding ``wanted`` and all they read, in definition order."""
+def with_clause(views: dict[str, str], wanted: list[str], stop: tuple[str, ...] = ()) -> str:
+    """WITH list holding ``wanted`` and all they read, in definition order; ``stop`` names are left out."""
     names = tuple(views)
     keep: set[str] = set()
     stack = list(wanted)
     while stack:
         n = stack.pop()
-        if n not in keep:
+        if n not in keep and n not in stop:
             keep.add(n)
             stack += _needs(views[n], names)
     return ",\n".join(f"{n} AS ({views[n]}\n)" for n in names if n in keep)
@@ -187,7 +189,10 @@ def duckdb_sql(query: str, extra: dict[str, str] | None = None) -> str:
 
 
 class AnalogueTables(dict):
-    """Clinical tables by name, each built when first asked for."""
+    """Clinical tables by name, each built when first asked for.
+
+    ``icustays``, which seven of them read, is written to the checkpoint folder once, as a stored table would be.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
@@ -195,12 +200,16 @@ class AnalogueTables(dict):
         self._views = {"base": BASE_SPARK, **VIEWS}
 
     def __missing__(self, name: str) -> DataFrame:
-        clause = with_clause(self._views, [name])
-        used = _needs(clause, SOURCES)
+        if name in SOURCES:
+            self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return self[name]
+        clause = with_clause(self._views, [name], () if name == "icustays" else ("icustays",))
+        defined = tuple(n for n in self._views if f"{n} AS (" in clause)
+        used = [s for s in _needs(clause, (*SOURCES, "icustays")) if s not in defined]
         for s in used:
             clause = re.sub(rf"\b(FROM|JOIN)\s+{s}\b", rf"\1 {{{s}}}", clause)
-        frames = {s: self.spark.read.parquet(f"{self.sf_dir}/{s}.parquet") for s in used}
-        self[name] = self.spark.sql(f"WITH {clause}\nSELECT * FROM {name}", **frames)
+        df = self.spark.sql(f"WITH {clause}\nSELECT * FROM {name}", **{s: self[s] for s in used})
+        self[name] = cut(df) if name == "icustays" else df
         return self[name]
 
 

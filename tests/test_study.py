@@ -49,15 +49,15 @@ def stay(spark):
 
 def test_measurement_times(spark, stay):
     c = chart(spark, [(220621, 10, 9.9, 1), (220621, 11, 11.1, 2), (220621, 12, None, 3), (220621, 4, 4, 4), (220621, 5, 4.5, 5), (999, 20, 20, 6)])
-    got = {r["valuenum"]: r["charttime"] for r in measurements.raw_measurements(c, stay).collect()}
+    got = {r["valuenum"]: r["charttime"] for r in measurements.raw_measurements(measurements.charted_in_stay(c, stay)).collect()}
     assert got == {1.0: at(9.9), 2.0: at(11), 3.0: None, 5.0: at(4.5)}
-    kept = {r["valuenum"]: r["charttime"] for r in measurements.raw_measurements(c, stay, "chart").collect()}
+    kept = {r["valuenum"]: r["charttime"] for r in measurements.raw_measurements(measurements.charted_in_stay(c, stay), "chart").collect()}
     assert kept[3.0] == at(12)
 
 
 def test_preferred_sample_goes_first_even_if_invalid(spark, stay):
     c = chart(spark, [(220621, 10, 10, 1200), (225664, 10, 10, 140), (225664, 20, 20, 500), (226537, 21, 21, 501), (225664, 22, 22, 501)])
-    out = measurements.clean_measurements(measurements.raw_measurements(c, stay)).orderBy("time_seq").collect()
+    out = measurements.clean_measurements(measurements.raw_measurements(measurements.charted_in_stay(c, stay))).orderBy("time_seq").collect()
     assert [(r["time_seq"], r["valuenum"], r["sample_type"]) for r in out] == [
         (20.0, 500.0, "Fingerstick"), (21.0, 501.0, "Lab (whole blood)")]
     assert [r["time_next_measurement"] for r in out] == [1.0, None]
@@ -85,7 +85,7 @@ def test_insulin_modes(spark):
 
 def test_insulin_action(spark):
     ev = spark.createDataFrame([(3, 0.0, 1.0, 1, n, "o", "Drug Push", 9.0) for n in ("Insulin - NPH", "Insulin pump")],
-                               "stay_id int, start_seq double, end_seq double, itemid int, label string, ordercategoryname string, "
+                               "stay_id int, starttime_seq double, endtime_seq double, itemid int, label string, ordercategoryname string, "
                                "ordercategorydescription string, amount double")
     got = {r["label_insu"]: (r["starttime_insu_seq_corr"], r["endtime_insu_seq_corr"], r["rate_insu"], r["insu_cat"])
            for r in exposures.insulin_rates(ev).collect()}
@@ -96,7 +96,7 @@ def test_dextrose_rates_and_unknown_sum(spark):
     data = [("Dextrose 5%", "Continuous IV", "mL/hour", 40.0, 100.0), ("Dextrose 50%", "Drug Push", None, None, 25.0),
             ("Dextrose PN", "Continuous IV", None, None, 30.0), ("Dextrose 10%", "Continuous IV", "units", 5.0, 7.0)]
     ev = spark.createDataFrame([(3, 0.0, 10.0, k, *r) for k, r in enumerate(data)],
-                               "stay_id int, start_seq double, end_seq double, itemid int, label string, ordercategorydescription string, "
+                               "stay_id int, starttime_seq double, endtime_seq double, itemid int, label string, ordercategorydescription string, "
                                "rateuom string, rate double, amount double")
     rates = exposures.dextrose_rates(ev)
     got = {r["label_dext"]: r["rate_dext"] for r in rates.collect()}
