@@ -165,6 +165,11 @@ def _weights(n, lam):
     return w, 1 / one ** 2, -2 * n / one ** 3, 2 * w - n * w * w
 
 
+def _group_count(d: pd.DataFrame) -> int:
+    corner = d[(d["a"] == 0) & (d["b"] == 0)]
+    return int(round((corner["v"] / corner["n"].astype(float) ** 2).sum()))
+
+
 class Statistics:
     """The collapsed statistics of all subgroups."""
 
@@ -178,12 +183,16 @@ class Statistics:
             mat[r["a"], r["b"]] = mat[r["b"], r["a"]] = r["v"]
         self.subgroups = sorted(self.xx)
         self.cell = cell
-        self.moments = cut(group_moments(cell, design))
-        self.local: dict[str, pd.DataFrame] | None = None
-        if self.moments.count() <= LOCAL_ROWS:
-            self.local = dict(tuple(self.moments.toPandas().groupby("subgroup")))
-        groups = self.moments.where((F.col("a") == 0) & (F.col("b") == 0))
-        rows = groups.groupBy("subgroup").agg(F.sum(F.col("v") / (F.col("n") * F.col("n"))).alias("g")).collect()
+        moments = group_moments(cell, design)
+        near = moments.limit(LOCAL_ROWS + 1).toPandas()
+        if len(near) <= LOCAL_ROWS:
+            self.local: dict[str, pd.DataFrame] | None = dict(tuple(near.groupby("subgroup")))
+            self.groups = {s: _group_count(d) for s, d in self.local.items()}
+            return
+        self.local = None
+        self.moments = cut(moments)
+        corner = self.moments.where((F.col("a") == 0) & (F.col("b") == 0))
+        rows = corner.groupBy("subgroup").agg(F.sum(F.col("v") / (F.col("n") * F.col("n"))).alias("g")).collect()
         self.groups = {r["subgroup"]: int(round(r["g"])) for r in rows}
 
     def shrink(self, points: Mapping[str, Sequence[float]]) -> dict[tuple[str, float], Shrunk]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..models.tails import t_quantile
+from .groups import group_attach
 from .scan import SumTo, scan
 from .skew import AUTO, HotGroups, resolve, salted_join
 
@@ -35,9 +36,9 @@ def flag_shares(df: DataFrame, by: str, flags: Sequence[str], yes: str = "y", no
 
 
 def share_within(df: DataFrame, by: str, cat: str) -> DataFrame:
-    """Rows per (by, cat) and their share of ``by``; the window sees counts, not rows."""
-    n = df.groupBy(by, cat).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("prop", F.col("n") / F.sum("n").over(Window.partitionBy(by)))
+    """Rows per (by, cat) and their share of ``by``; totals are taken over the counts, not the rows."""
+    n = group_attach(df.groupBy(by, cat).agg(F.count(F.lit(1)).alias("n")), [by], {"_total": F.sum("n")})
+    return n.withColumn("prop", F.col("n") / F.col("_total")).drop("_total")
 
 
 def histogram(df: DataFrame, c: str, width: float) -> DataFrame:
@@ -102,8 +103,9 @@ def describe_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(variable, level, n, pct): share of the known rows; the unknown row has a null level and share."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "variable", "level")
     n = long.groupBy("variable", "level").agg(F.count(F.lit(1)).alias("n"))
-    known = F.sum(F.when(F.col("level").isNotNull(), F.col("n"))).over(Window.partitionBy("variable"))
-    return n.withColumn("pct", F.when(F.col("level").isNotNull(), F.lit(100.0) * F.col("n") / known))
+    n = group_attach(n, ["variable"], {"_known": F.sum(F.when(F.col("level").isNotNull(), F.col("n")))})
+    share = F.when(F.col("level").isNotNull(), F.lit(100.0) * F.col("n") / F.col("_known"))
+    return n.withColumn("pct", share).drop("_known")
 
 
 def describe_table(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],

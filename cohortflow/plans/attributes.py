@@ -58,9 +58,8 @@ def attach_top_flags(df: DataFrame, scores: DataFrame, included: DataFrame, k: i
     return df.join(merged_flags(scores).select("hadm_id", *names, "charlson_comorbidity_index"), "hadm_id", "left")
 
 
-def stay_attributes(stays: DataFrame, tables: Mapping[str, DataFrame], included: DataFrame | None = None,
-                    k: int = 5) -> DataFrame:
-    """All stay-level facts. ``included`` are the stays whose admissions rank the comorbidities."""
+def stay_attributes(stays: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """All stay-level facts but the comorbidity flags."""
     adm = tables["admissions"].select(
         "hadm_id", "dischtime", "discharge_location", race_category(F.col("race")).alias("race_cat"),
         admission_category(F.col("admission_type")).alias("admtype_cat"))
@@ -73,7 +72,6 @@ def stay_attributes(stays: DataFrame, tables: Mapping[str, DataFrame], included:
           })
           .drop("anchor_age", "anchor_year", "dischtime", "discharge_location", "intime"))
     df = has_code(df, tables["diagnoses_icd"], "hadm_id", "icd_code", L.DIABETES_PREFIXES, "diabetes_status")
-    df = attach_top_flags(df, tables["charlson"], stays if included is None else included, k)
     return (df.join(tables["first_day_sofa"].select("stay_id", "sofa"), "stay_id", "left")
             .join(tables["oasis"].select("stay_id", "oasis"), "stay_id", "left"))
 

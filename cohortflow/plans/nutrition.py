@@ -85,7 +85,7 @@ def carbohydrate_rate(enteral: DataFrame, factors: DataFrame | None = None) -> D
     factors = factor_lookup(enteral) if factors is None else factors
     rate = F.col("amount_nut") / (F.col("endtime_nut_seq") - F.col("starttime_nut_seq"))
     events = enteral.where(F.col("endtime_nut_seq") > F.col("starttime_nut_seq"))
-    return (events.join(F.broadcast(factors), "itemid_nut", "left").withColumn("rate_nut", rate)
+    return (events.join(factors, "itemid_nut", "left").withColumn("rate_nut", rate)
             .withColumn("rate_nut_cho", F.col("rate_nut") * F.col("factor")).drop("factor"))
 
 

@@ -129,14 +129,19 @@ class Study:
         return exposures.status_at(df, self.ventilation, self.vent_dedupe, self.hot)
 
     @cached_property
-    def table(self) -> DataFrame:
+    def analysis(self) -> DataFrame:
         """One row per measurement with exposures, stay facts and categories."""
-        facts = attributes.stay_attributes(self.cohort, self.tables, self.stays).drop("subject_id", "hadm_id")
+        facts = attributes.stay_attributes(self.cohort, self.tables).drop("subject_id", "hadm_id")
         df = self.exposures.withColumnsRenamed({"valuenum": "glucose_value", "valueuom": "glucose_unit",
                                                 "itemid": "glucose_itemid"})
         df = df.withColumn("glucose_value_mmolL", glucose_mmol(F.col("glucose_value")))
         return attributes.categorise(df.join(facts, "stay_id", "left"))
 
+    @cached_property
+    def table(self) -> DataFrame:
+        """``analysis`` with the commonest comorbidities of the included admissions and the index."""
+        return attributes.attach_top_flags(self.analysis, self.tables["charlson"], self.stays)
+
     def subject_flow(self) -> DataFrame:
         return cohort.subject_flow(self.tables["icustays"], self.cohort, self.measured, self.fed_stays, self.min_los)
 

@@ -14,7 +14,7 @@ from .views import VENT_CLASS, cut_sql
 
 
 def table(spark, d):
-    return study(spark, d).table
+    return study(spark, d).analysis
 
 
 # descriptives
@@ -136,7 +136,7 @@ def _track_sql(name: str, a: str, b: str, source: str = "study") -> str:
                "(SELECT stay_id, date_diff('microsecond', date_trunc('day', intime), charttime) / 3.6e9 AS time_seq FROM measured) m")]))
 def timeline(spark, d):
     s = study(spark, d)
-    return rounded(descriptives.timeline(s.table, 72, 144, measured=s.measured))
+    return rounded(descriptives.timeline(s.analysis, 72, 144, measured=s.measured))
 
 
 @query("day_hour_grid", """

@@ -520,7 +520,7 @@ SELECT {', '.join(FACT_COLUMNS)}, CAST(age AS BIGINT) AS age, CAST(sofa AS BIGIN
        CAST(charlson_comorbidity_index AS BIGINT) AS charlson_comorbidity_index FROM facts""")
 def stay_facts(spark, d):
     s = study(spark, d)
-    df = attributes.stay_attributes(s.cohort, s.tables)
+    df = attributes.attach_top_flags(attributes.stay_attributes(s.cohort, s.tables), s.tables["charlson"], s.cohort)
     return df.select(*FACT_COLUMNS, *[F.col(c).cast("long").alias(c) for c in ("age", "sofa", "oasis", "charlson_comorbidity_index")])
 
 
