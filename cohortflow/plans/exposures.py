@@ -134,7 +134,7 @@ def insulin_hull(points: DataFrame, rates: DataFrame, hot: HotGroups | None | st
         "ordercategoryname": paste(F.col("ordercategoryname"), order),
         "rate_insu": sum_strict(F.col("rate_insu")),
     }, hot)
-    return _insulin_flags(attach(points, found, KEY))
+    return _insulin_flags(attach(points, found, KEY, None if isinstance(hot, str) else hot))
 
 
 def daily_total(rates: DataFrame, t: str = "starttime_insu_seq", amount: str = "units_insu",

@@ -11,7 +11,7 @@ from ..functions.clock import measurement_clock
 from ..functions.predicates import within
 from ..operators.groups import dedupe_preferred
 from ..operators.intervals import neighbour_gaps
-from ..operators.skew import AUTO, HotGroups
+from ..operators.skew import AUTO, HotGroups, salted_join
 from ..sources import lookups as L
 
 ITEMS = tuple(item for item, *_ in L.GLUCOSE_ITEMS)
@@ -49,11 +49,12 @@ def corrected_time(missing_store: str = "null") -> Column:
     return expr.otherwise(chart) if missing_store == "chart" else expr
 
 
-def charted_in_stay(chart: DataFrame, cohort: DataFrame, items: Sequence[int] = (*ITEMS, L.SEDATION_ITEM)) -> DataFrame:
+def charted_in_stay(chart: DataFrame, cohort: DataFrame, items: Sequence[int] = (*ITEMS, L.SEDATION_ITEM),
+                    hot: HotGroups | None = None) -> DataFrame:
     """Rows of the listed items charted during a cohort stay."""
-    return (chart.where(F.col("itemid").isin(*items))
-            .join(cohort.select("stay_id", "intime", "outtime", "los"), "stay_id")
-            .where(within(F.col("charttime"), F.col("intime"), F.col("outtime"))))
+    rows = salted_join(chart.where(F.col("itemid").isin(*items)), cohort.select("stay_id", "intime", "outtime", "los"),
+                       ["stay_id"], "inner", hot)
+    return rows.where(within(F.col("charttime"), F.col("intime"), F.col("outtime")))
 
 
 def raw_measurements(charted: DataFrame, missing_store: str = "null") -> DataFrame:

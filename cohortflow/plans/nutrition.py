@@ -12,18 +12,17 @@ from ..functions.clock import add_clock
 from ..functions.predicates import contains_any, is_in
 from ..operators.groups import group_attach, keep_groups_all
 from ..operators.intervals import expose, islands
-from ..operators.skew import AUTO, HotGroups
+from ..operators.skew import AUTO, HotGroups, salted_join
 from ..sources import lookups as L
 from ..sources.tables import lookup
 
 STAY_COLUMNS = ("stay_id", "intime", "outtime", "los")
 
 
-def input_events(inputs: DataFrame, items: DataFrame, cohort: DataFrame) -> DataFrame:
+def input_events(inputs: DataFrame, items: DataFrame, cohort: DataFrame, hot: HotGroups | None = None) -> DataFrame:
     """Input events of the listed items during the given stays, on the stay clock."""
-    events = (inputs.where(F.col("amount") > 0)
-              .join(items.select("itemid", "label", "category"), "itemid")
-              .join(cohort.select(*STAY_COLUMNS), "stay_id"))
+    events = inputs.where(F.col("amount") > 0).join(items.select("itemid", "label", "category"), "itemid")
+    events = salted_join(events, cohort.select(*STAY_COLUMNS), ["stay_id"], "inner", hot)
     return add_clock(events, {"starttime_seq": "starttime", "endtime_seq": "endtime",
                               "intime_seq": "intime", "outtime_seq": "outtime"}, "intime")
 

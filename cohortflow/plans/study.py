@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.categories import glucose_mmol
-from ..operators.skew import AUTO, HotGroups, hot_groups, merge
+from ..operators.skew import AUTO, HotGroups, hot_groups, merge, salted_join
 from ..session import cut
 from ..sources.tables import included_ids, write_table
 from . import attributes, cohort, exposures, measurements, nutrition
@@ -46,12 +46,12 @@ class Study:
         """Feeding, dextrose and insulin events of the cohort, from one scan of the input events."""
         items = self.tables["d_items"]
         wanted = items.where(nutrition.is_feeding() | exposures.is_dextrose() | exposures.is_insulin())
-        return cut(nutrition.input_events(self.tables["inputevents"], wanted, self.cohort))
+        return cut(nutrition.input_events(self.tables["inputevents"], wanted, self.cohort, self.hot))
 
     @cached_property
     def charted(self) -> DataFrame:
         """Glucose and sedation rows of the cohort, from one scan of the chart."""
-        return cut(measurements.charted_in_stay(self.tables["chartevents"], self.cohort))
+        return cut(measurements.charted_in_stay(self.tables["chartevents"], self.cohort, hot=self.hot))
 
     @cached_property
     def feeding(self) -> DataFrame:
@@ -74,7 +74,7 @@ class Study:
     @cached_property
     def raw(self) -> DataFrame:
         """Glucose rows of stays with enteral feeding."""
-        return self.measured.join(self.fed_stays, "stay_id", "left_semi")
+        return salted_join(self.measured, self.fed_stays, ["stay_id"], "left_semi", self.hot)
 
     @cached_property
     def valid(self) -> DataFrame:
@@ -125,7 +125,7 @@ class Study:
         df = exposures.attach_exposures(self.fed, kinds, self.hot)
         if self.insulin_mode == "hull":
             df = exposures.insulin_hull(df, self.insulin, self.hot)
-        df = exposures.attach_daily(df, exposures.daily_total(self.insulin))
+        df = exposures.attach_daily(df, exposures.daily_total(self.insulin), hot=self.hot)
         return exposures.status_at(df, self.ventilation, self.vent_dedupe, self.hot)
 
     @cached_property
@@ -135,12 +135,13 @@ class Study:
         df = self.exposures.withColumnsRenamed({"valuenum": "glucose_value", "valueuom": "glucose_unit",
                                                 "itemid": "glucose_itemid"})
         df = df.withColumn("glucose_value_mmolL", glucose_mmol(F.col("glucose_value")))
-        return attributes.categorise(df.join(facts, "stay_id", "left"))
+        return attributes.categorise(salted_join(df, facts, ["stay_id"], "left", self.hot))
 
     @cached_property
     def table(self) -> DataFrame:
         """``analysis`` with the commonest comorbidities of the included admissions and the index."""
-        return attributes.attach_top_flags(self.analysis, self.tables["charlson"], self.stays)
+        flags = attributes.attach_top_flags(self.cohort.select("stay_id", "hadm_id"), self.tables["charlson"], self.stays)
+        return salted_join(self.analysis, flags.drop("hadm_id"), ["stay_id"], "left", self.hot)
 
     def subject_flow(self) -> DataFrame:
         return cohort.subject_flow(self.tables["icustays"], self.cohort, self.measured, self.fed_stays, self.min_los)
