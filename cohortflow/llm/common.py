@@ -46,3 +46,31 @@ def fold(key: str, parts: int) -> Column:
     A null key counts as the empty text.
     """
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+ROW = "row"  # identity of a row: (doc_id missing, doc_id, file, position), ordered; ties on doc_id go by place
+
+
+def located(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``row`` and ``text``: each row's identity and content locator, the same on every read and in every retry.
+
+    A frame that isn't read from files is written to the shared folder first. Columns of other names are left out.
+    """
+    from pyspark.errors import AnalysisException
+
+    place = (F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    try:
+        rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                           place[0].alias("file"), place[1].alias("position"))
+        rows.schema  # noqa: B018  (resolves the hidden column)
+    except AnalysisException:
+        rows = cut(plain).select("doc_id", "text", place[0].alias("file"), place[1].alias("position"))
+    return rows.select(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "file", "position").alias(ROW), "text")
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs``, as read from files, less the rows whose identity ``dropped`` holds; all columns stay."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_position")]
+    gone = dropped.select(F.col(f"{ROW}.file").alias("_file"), F.col(f"{ROW}.position").alias("_position"))
+    return docs.select("*", *place).join(gone, ["_file", "_position"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
