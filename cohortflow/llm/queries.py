@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from . import exact, lexicon, packing, records, simhash  # noqa: F401  (they register their queries)
+from . import exact, language, lexicon, packing, quality, records, simhash  # noqa: F401  (they register their queries)
 from .common import REGISTRY
 
 __all__ = ["REGISTRY"]
