@@ -1,6 +1,17 @@
 """All registered queries of the subpackage."""
 
-from . import exact, language, lexicon, packing, quality, records, simhash  # noqa: F401  (they register their queries)
+from . import (  # noqa: F401  (they register their queries)
+    chat,
+    exact,
+    language,
+    lexicon,
+    neighbours,
+    packing,
+    quality,
+    records,
+    simhash,
+    token_counts,
+)
 from .common import REGISTRY
 
 __all__ = ["REGISTRY"]
