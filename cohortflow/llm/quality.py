@@ -23,7 +23,8 @@ from .common import ROW, cut, fold, located, query, table
 THRESHOLD = 0.3
 TOWARDS_POOLED = 0.1  # share of the pooled covariance in each class's
 TOWARDS_DIAGONAL = 0.05  # share of a covariance's own diagonal in it
-FLOOR = 1e-4  # least variance of a statistic
+FLOOR = 1e-3  # added to the variance of a statistic
+BYTES, WORDS, LINES = 30, 8, 4  # what shares are over besides the text's own
 
 STATISTICS = ("words", "word_length", "upper", "marks", "stops", "shouts", "pipes", "digits", "distinct", "repeats",
               "commonest", "lines", "same_lines", "spread")
@@ -44,30 +45,33 @@ for _k, _bytes in enumerate(_CLASSES.values()):
 
 
 def statistics(text: bytes | None) -> list[float]:
-    """Transformed statistics of a text; shares by square root, sizes by logarithm. Null counts as empty."""
+    """Transformed statistics of a text; shares by square root, sizes by logarithm. Null counts as empty.
+
+    Shares are over a little more than the text has, so that one mark or line in a short text isn't a large share.
+    """
     text = text or b""
-    size = max(1, len(text))
+    size = len(text) + BYTES
     counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _MEMBER
     of = dict(zip(_CLASSES, counts.tolist()))
     words = text.split()
-    n = max(1, len(words))
+    n = len(words) + WORDS
     tally = Counter(words)
     lines = [x for x in text.split(b"\n") if x]
     root = np.sqrt
     return [
         np.log1p(len(words)),
-        np.log1p(of["letters"] / n),
-        root(of["upper"] / max(1.0, of["ascii"])),
+        np.log1p((of["letters"] + 4 * WORDS) / n),
+        root(of["upper"] / (of["ascii"] + BYTES)),
         root(of["marks"] / size),
         root(of["stops"] / size),
         root(of["shouts"] / size),
         root(of["pipes"] / size),
         root(of["digits"] / size),
-        np.log1p(len(tally)) / np.log1p(n),
+        np.log1p(len(tally)) / np.log1p(max(1, len(words))),
         root(sum(map(operator.eq, words, words[1:])) / n),
         root(max(tally.values(), default=0) / n),
         np.log1p(len(lines) / n),
-        root(1 - len(set(lines)) / max(1, len(lines))),
+        root((len(lines) - len(set(lines))) / (len(lines) + LINES)),
         np.log1p(np.log1p(sum(c * c for c in tally.values()) / n)),
     ]
 
