@@ -123,7 +123,7 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
     ``ids_crc32`` is that of the ids as little-endian unsigned 32-bit integers. Checksums are verified.
     """
     base = manifest.withColumn("base", F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)))
-    per_task = base.select("shard", F.coalesce("base", F.lit(0)).alias("base")).repartition(F.col("shard"))
+    per_task = base.select("shard", F.coalesce("base", F.lit(0)).alias("base")).repartition(max(1, manifest.count()), "shard")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +179,7 @@ def read_index(manifest: DataFrame, folder: str) -> DataFrame:
                                                   pa.array(at[:-1]), pa.array(np.diff(at))],
                                                  names=["shard", "record", "offset", "n_bytes"])
 
-    return manifest.select("shard").repartition(F.col("shard")).mapInArrow(
+    return manifest.select("shard").repartition(max(1, manifest.count()), "shard").mapInArrow(
         read, "shard int, record long, offset long, n_bytes long")
 
 
