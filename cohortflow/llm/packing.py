@@ -2,7 +2,8 @@
 
 Every partition packs its own items by best fit, longest first, and emits the bins that are nearly full. The underfull
 bins of several partitions then meet in one, where each is an item as long as its content, and are packed again; the
-rounds end in one partition. A bin carries its items, at most ``capacity`` of them, so a round shuffles underfull bins only.
+rounds end in one partition. Two bins that are more than half full can't become one, so such a bin is opened and its parts
+go on one by one. A bin carries its pieces, at most ``capacity`` of them, so a round shuffles underfull bins only.
 """
 
 from __future__ import annotations
@@ -57,10 +58,15 @@ def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _packed(lengths: list[int], items: list, capacity: int, part: int, first: int) -> pa.RecordBatch:
-    """The bins of one best fit; ``items`` are lists of piece tuples, their last field the offset."""
+def _packed(lengths: list[int], items: list, capacity: int, part: int, first: int, last: bool) -> pa.RecordBatch:
+    """The bins of one best fit; ``items`` are lists of pieces. Unless it is the last round, bins that are neither nearly
+    full nor at most half full are opened."""
     fills, members = [], []
     for chosen in best_fit(lengths, capacity):
+        if not last and capacity // 2 < sum(lengths[i] for i in chosen) < capacity - SLACK:
+            fills += [lengths[i] for i in chosen]
+            members += [items[i] for i in chosen]
+            continue
         at, own = 0, []
         for i in chosen:
             own += [{**x, "offset": x["offset"] + at} for x in items[i]] if at else items[i]
@@ -75,7 +81,7 @@ def _packed(lengths: list[int], items: list, capacity: int, part: int, first: in
 def first_round(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str, text: str) -> DataFrame:
     """Bins of each partition's pieces: a document's ids and the end id, cut only if longer than a bin."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, first = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, first, last = encoder(tokenizer), TaskContext.get().partitionId(), 0, False
         end = enc.pack([end_id])
         lengths, items = [], []
         for batch in batches:
@@ -87,15 +93,15 @@ def first_round(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key
                     items.append([{"doc_id": doc_id, "piece": piece, "start": start, "length": len(own),
                                    "ids_crc32": zlib.crc32(own.tobytes()), "offset": 0}])
             if len(items) >= BUFFER:
-                yield (out := _packed(lengths, items, capacity, part, first))
+                yield (out := _packed(lengths, items, capacity, part, first, last))
                 first += out.num_rows
                 lengths, items = [], []
-        yield _packed(lengths, items, capacity, part, first)
+        yield _packed(lengths, items, capacity, part, first, last)
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(pack, _BIN_DDL)
 
 
-def next_round(bins: DataFrame, capacity: int) -> DataFrame:
+def next_round(bins: DataFrame, capacity: int, last: bool) -> DataFrame:
     """Best fit over underfull bins as items."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first = TaskContext.get().partitionId(), 0
@@ -104,10 +110,10 @@ def next_round(bins: DataFrame, capacity: int) -> DataFrame:
             lengths += batch.column("fill").to_pylist()
             items += batch.column("items").to_pylist()
             if len(items) >= BUFFER:
-                yield (out := _packed(lengths, items, capacity, part, first))
+                yield (out := _packed(lengths, items, capacity, part, first, last))
                 first += out.num_rows
                 lengths, items = [], []
-        yield _packed(lengths, items, capacity, part, first)
+        yield _packed(lengths, items, capacity, part, first, last)
 
     return bins.select("fill", "items").mapInArrow(pack, _BIN_DDL)
 
@@ -121,20 +127,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: int = CAPACI
     """
     spark = docs.sparkSession
     bins = cut(first_round(docs, tokenizer, end_id, capacity, key, text))
-    width, done, level = bins.select("part").distinct().count(), [], 0
+    width, done, level, last = bins.select("part").distinct().count(), [], 1, False
     full = F.col("fill") >= capacity - SLACK
-    while True:
-        level += 1
-        if width <= 1:
-            done.append(_placed(bins, level))
-            break
+    while not last:
         done.append(_placed(bins.where(full), level))
         rest = bins.where(~full)
-        narrower = max(-(-width // FAN_IN), -(-rest.count() // MOST))
-        if narrower >= width:  # as narrow as the bound lets it be
-            done.append(_placed(rest, level))
-            break
-        bins, width = cut(next_round(rest.repartition(narrower), capacity)), narrower
+        narrower = max(1, -(-width // FAN_IN), -(-rest.count() // MOST))
+        last = narrower == 1 or narrower >= width  # one partition, or as narrow as the bound lets it be
+        bins, width, level = cut(next_round(rest.repartition(narrower), capacity, last)), narrower, level + 1
+    done.append(_placed(bins, level))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
