@@ -71,6 +71,7 @@ def located(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs``, as read from files, less the rows whose identity ``dropped`` holds; all columns stay."""
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_position")]
-    gone = dropped.select(F.col(f"{ROW}.file").alias("_file"), F.col(f"{ROW}.position").alias("_position"))
-    return docs.select("*", *place).join(gone, ["_file", "_position"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    file, position = f"_file_{uuid.uuid4().hex}", f"_position_{uuid.uuid4().hex}"
+    placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(position))
+    gone = dropped.select(F.col(f"{ROW}.file").alias(file), F.col(f"{ROW}.position").alias(position))
+    return placed.join(gone, [file, position], "left_anti").select(*[f"`{c}`" for c in docs.columns])
