@@ -174,9 +174,9 @@ def _slices(texts: Sequence[bytes], size: int = 1 << 21) -> Iterator[list[bytes]
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = MEMO) -> Encoder:
     """One encoder per Python worker and file."""
-    return Encoder(path)
+    return Encoder(path, memo)
 
 
 def tokenizer_path(name: str) -> str:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import query, table
 from .encoding import Encoder, encoder, tokenizer_path
 
+MEMO = 120_000  # stretches that a worker remembers; building and editing have workers of their own
 LEAF = 512  # characters that a leaf has at least, but for the last one
 Edit = tuple[int, int, str]  # place in the text before any edit, characters removed, text put there
 
@@ -192,7 +193,7 @@ def build(docs: DataFrame, tokenizer: str, *, text: str = "text") -> DataFrame:
     base = docs.drop("chars", "tokens", "leaves")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, MEMO)
         for batch in batches:
             split = [leaves_of(t or "", enc.kind) for t in batch.column(text).to_pylist()]
             counts = iter(count(enc, [x for s in split for x in s]))
@@ -211,19 +212,21 @@ def with_edits(trees: DataFrame, edits: DataFrame, key: str = "doc_id") -> DataF
     return trees.drop("edits").join(lists, key, "left")
 
 
-def apply_edits(trees: DataFrame, tokenizer: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Counts after each document's ``edits`` (array of at, removed, inserted; null: none).
+def apply_edits(trees: DataFrame, tokenizer: str, *, text: str = "text", key: str = "doc_id",
+                find: Callable[[str], list[Edit]] | None = None) -> DataFrame:
+    """Counts after each document's ``edits`` (array of at, removed, inserted; null: none), or after those that ``find``
+    makes of its text.
 
     key, n_edits, tokens_before, tokens_after, encoded_chars (characters encoded again), new text, chars, tokens, leaves.
     Edits are taken in order of place; see `ordered` for such as overlap or lie outside.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, MEMO)
         for batch in batches:
             work, again = [], []
-            for r in zip(*[batch.column(c).to_pylist() for c in ("key", "text", "chars", "tokens", "leaves", "edits")]):
+            for r in zip(*[batch.column(c).to_pylist() for c in batch.schema.names]):
                 t = r[1] or ""
-                edits = ordered([(e["at"], e["removed"], e["inserted"]) for e in r[5] or []], len(t))
+                edits = ordered(find(t) if find else [(e["at"], e["removed"], e["inserted"]) for e in r[5] or []], len(t))
                 tree = Tree(np.array(r[2], np.int64), np.array(r[3], np.int64), r[4])
                 parts = []
                 for first, last, _, _, new in regions(tree, t, edits):
@@ -245,7 +248,7 @@ def apply_edits(trees: DataFrame, tokenizer: str, *, text: str = "text", key: st
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _EDITED)], schema=_EDITED)
 
     return trees.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), "chars", "tokens", "leaves",
-                        "edits").mapInArrow(run, _EDITED_DDL).withColumnRenamed("key", key)
+                        *([] if find else ["edits"])).mapInArrow(run, _EDITED_DDL).withColumnRenamed("key", key)
 
 
 _EDITED = pa.schema([("key", pa.int64()), ("n_edits", pa.int32()), ("tokens_before", pa.int64()), ("tokens_after", pa.int64()),
@@ -268,25 +271,10 @@ def cleaning_edits(text: str) -> list[Edit]:
     return found
 
 
-def with_cleaning_edits(trees: DataFrame, text: str = "text", find: Callable[[str], list[Edit]] = cleaning_edits) -> DataFrame:
-    """The column ``edits`` from a function of the text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            edits = [[{"at": a, "removed": n, "inserted": s} for a, n, s in find(t or "")] for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, _EDITS)], names=[*batch.schema.names, "edits"])
-
-    base = trees.drop("edits")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{ddl}, edits array<struct<at: long, removed: long, inserted: string>>")
-
-
-_EDITS = pa.list_(pa.struct([("at", pa.int64()), ("removed", pa.int64()), ("inserted", pa.string())]))
-
-
 @query("op2_edit_token_counts")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document before and after cleaning, and how much of it was encoded again."""
     path = tokenizer_path("byte_bpe_50k.json")
     trees = build(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    done = apply_edits(with_cleaning_edits(trees), path)
+    done = apply_edits(trees, path, find=cleaning_edits)
     return done.select("doc_id", "n_edits", "tokens_before", "tokens_after", "encoded_chars")

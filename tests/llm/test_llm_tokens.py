@@ -97,11 +97,11 @@ def test_edits_match_a_full_count(a, b, edits):
 
 def test_token_counts(spark, odd, none):
     trees = token_counts.build(odd, BYTES)
-    got = token_counts.apply_edits(token_counts.with_cleaning_edits(trees), BYTES).collect()
+    got = token_counts.apply_edits(trees, BYTES, find=token_counts.cleaning_edits).collect()
     texts = [r["text"] or "" for r in odd.select("text").collect()]
     assert Counter(r["tokens_before"] for r in got) == Counter(map(len, library(BYTES, texts)))
     assert [r["tokens_after"] for r in got] == list(map(len, library(BYTES, [r["text"] for r in got])))
-    assert token_counts.apply_edits(token_counts.with_cleaning_edits(token_counts.build(none, BYTES)), BYTES).collect() == []
+    assert token_counts.apply_edits(token_counts.build(none, BYTES), BYTES, find=token_counts.cleaning_edits).collect() == []
     edits = spark.createDataFrame([(1, 4, 3, "dog"), (1, 0, 0, "So, "), (99, 0, 0, "x")], "doc_id long, at long, removed long, inserted string")
     one = token_counts.apply_edits(token_counts.with_edits(trees.where("doc_id = 1"), edits), BYTES).first()
     assert one["text"].startswith("So, The dog sat") and one["n_edits"] == 2
