@@ -349,7 +349,8 @@ def fit_statistics(stats: Statistics, reml: bool = True) -> list[Fit]:
     value = {s: [like[s].at(first[s, lam])["value"] for lam in GRID] for s in like}
     best = {s: int(np.argmin(v)) for s, v in value.items()}
     lam = {s: GRID[k] for s, k in best.items()}
-    bracket = {s: (math.log(GRID[max(k - 1, 1)]), math.log(GRID[min(k + 1, len(GRID) - 1)]))
+    top = math.log(GRID[-1])
+    bracket = {s: (math.log(GRID[max(k - 1, 1)]), math.log(GRID[k + 1]) if k + 1 < len(GRID) else 2 * top)
                for s, k in best.items() if k > 0}
     # a minimum between zero and the smallest positive grid point counts as zero
     open_ = set(bracket)
@@ -371,10 +372,39 @@ def fit_statistics(stats: Statistics, reml: bool = True) -> list[Fit]:
                 open_.discard(s)
             else:
                 lam[s] = math.exp(step)
+    if open_:
+        raise ArithmeticError(f"no minimum found for {sorted(open_)}")
     last = stats.shrink({s: [lam[s]] for s in like})
     return [_summary(stats, s, like[s], lam[s], like[s].at(last[s, lam[s]])) for s in like]
 
 
+def fit_at(stats: Statistics, lam: float, reml: bool = True) -> list[Fit]:
+    """The model of each subgroup at a given variance ratio; 0 gives least squares."""
+    like = {s: _Likelihood(stats.xx[s], reml) for s in stats.subgroups}
+    got = stats.shrink({s: [lam] for s in like})
+    return [_summary(stats, s, m, lam, m.at(got[s, lam])) for s, m in like.items()]
+
+
+def profile(spark: SparkSession, stats: Statistics, lams: Sequence[float] = GRID, reml: bool = True) -> DataFrame:
+    """(subgroup, lam, value, intercept): -2 log-likelihood over variance ratios."""
+    like = {s: _Likelihood(stats.xx[s], reml) for s in stats.subgroups}
+    got = stats.shrink({s: list(lams) for s in like})
+    rows = []
+    for s, m in like.items():
+        for lam in lams:
+            at = m.at(got[s, lam])
+            rows.append((s, float(lam), float(at["value"]), float(at["beta"][0])))
+    return spark.createDataFrame(rows, "subgroup string, lam double, value double, intercept double")
+
+
+def normal_equations(spark: SparkSession, stats: Statistics, lam: float) -> DataFrame:
+    """(subgroup, a, b, v) with a <= b: cross products weighted by the inverse covariance at a variance ratio."""
+    got = stats.shrink({s: [lam] for s in stats.subgroups})
+    rows = [(s, a, b, float(stats.xx[s][a, b] - got[s, lam].w[a, b])) for s in stats.subgroups
+            for a in range(len(stats.xx[s])) for b in range(a, len(stats.xx[s]))]
+    return spark.createDataFrame(rows, "subgroup string, a int, b int, v double")
+
+
 def _summary(stats: Statistics, s: str, like: _Likelihood, lam: float, m: dict) -> Fit:
     names = stats.design.names
     sigma2 = m["rss"] / like.free

@@ -40,8 +40,8 @@ def _gamma_upper(a: float, x: float) -> float:
         step = c * d
         h *= step
         if abs(step - 1) < 1e-15:
-            break
-    return front * h
+            return front * h
+    raise ArithmeticError(f"the fraction does not settle for a = {a}, x = {x}")
 
 
 def chi2_upper(x: float, df: float) -> float:
@@ -65,8 +65,8 @@ def _beta_reg(x: float, a: float, b: float) -> float:
             c = 1 + num / c or _TINY
             h *= c * d
         if abs(c * d - 1) < 1e-15:
-            break
-    return front * h
+            return front * h
+    raise ArithmeticError(f"the fraction does not settle for a = {a}, b = {b}, x = {x}")
 
 
 def t_two_sided(t: float, df: float) -> float:

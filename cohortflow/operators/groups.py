@@ -62,6 +62,6 @@ def dedupe_preferred(df: DataFrame, keys: Sequence[str], preference: Column, tie
 
 
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all if fewer), the same ones for the same seed."""
-    draw = F.xxhash64(*key, F.lit(seed))
+    """Exactly ``n`` rows (all if fewer), the same ones for the same seed: the first by md5 of key and seed as text."""
+    draw = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
     return df.withColumn("_draw", draw).orderBy("_draw", *key).limit(n).drop("_draw")

@@ -12,134 +12,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scan import Lag, Lead, MaxBefore, SumTo, scan
-from .skew import AUTO, HotGroups, hot_groups, mark_hot, merge, salted_join
+from .skew import AUTO, HotGroups, spread
 
-# Block widths in hours for hot groups: an interval goes to the narrowest width that is not below its
-# length, so it meets at most two blocks unless it is longer than the widest one.
-BLOCK_HOURS = (24.0, 384.0, 6144.0)
+# Widths in hours of the time blocks: an interval goes to the narrowest width that is not below its length, so it meets
+# at most two blocks unless it is longer than the widest one.
+BLOCK_HOURS = (6.0, 96.0, 1536.0)
+CELL_PAIRS = "spark.cohortflow.cellPairs"
+DEFAULT_CELL_PAIRS = 20_000_000  # pairs of one block that one task compares
 
 
 def _inside(t: str, start: str, end: str) -> Column:
     return (F.col(t) > F.col(start)) & (F.col(t) <= F.col(end))
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, start: str, end: str,
-                  hot: HotGroups | None | str = AUTO) -> DataFrame:
+def interval_join(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, start: str, end: str) -> DataFrame:
     """Pairs of a point and an interval of the same group with ``start < t <= end``.
 
-    Ordinary groups join on the group key. A hot group joins on (group, time block) and a crowded block is
-    spread further over salts, so neither a long stay nor a busy hour lands in one task.
+    Always joins on (group, time block), so the work follows the length of the intervals, not the size of the group.
+    Of a block with many points times intervals the points are spread over salts.
     """
-    by = list(by)
-    intervals = intervals.where(F.col(start) < F.col(end))
-    if isinstance(hot, str):
-        hot = merge(hot_groups(points, by), hot_groups(intervals, by))
-    if hot is None:
-        return points.join(intervals, by, "inner").where(_inside(t, start, end))
-    points, intervals = _blocked(points, intervals, by, t, start, end, hot)
-    cells = ["_tier", "_block", "_salt"]
-    return points.join(intervals, [*by, *cells], "inner").where(_inside(t, start, end)).drop(*cells)
-
-
-def _blocked(points: DataFrame, intervals: DataFrame, by: list[str], t: str, start: str, end: str,
-             hot: HotGroups) -> tuple[DataFrame, DataFrame]:
-    cold = F.array(F.struct(F.lit(-1).alias("tier"), F.lit(0).cast("long").alias("block")))
-
+    cells = [*by, "_tier", "_block"]
+    p, i = _blocked(points, intervals.where(F.col(start) < F.col(end)), t, start, end)
+    limit = float(points.sparkSession.conf.get(CELL_PAIRS, str(DEFAULT_CELL_PAIRS)))
+    pairs = p.groupBy(*cells).agg(F.count(F.lit(1)).alias("_p")).join(
+        i.groupBy(*cells).agg(F.count(F.lit(1)).alias("_i")), cells)
+    parts = F.ceil(F.col("_p") * F.col("_i") / F.lit(limit))
+    # no more rows than all pairs that are compared divided by the limit
+    crowded = F.broadcast(pairs.where(F.col("_p") * F.col("_i") > limit).select(*cells, parts.alias("_parts")))
+    n = F.coalesce("_parts", F.lit(1).cast("long"))
+    p = p.join(crowded, cells, "left").withColumn("_salt", F.pmod(F.col("_spread"), n)).drop("_parts", "_spread")
+    i = i.join(crowded, cells, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("_parts")
+    return p.join(i, [*cells, "_salt"]).where(_inside(t, start, end)).drop("_tier", "_block", "_salt")
+
+
+def _blocked(points: DataFrame, intervals: DataFrame, t: str, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """Points in their block of every width, intervals in the blocks of their own width."""
     def cell(tier: int, block: Column) -> Column:
         return F.struct(F.lit(tier).alias("tier"), block.cast("long").alias("block"))
 
+    flat = [F.col("_cell.tier").alias("_tier"), F.col("_cell.block").alias("_block")]
     at = F.array(*[cell(k, F.floor(F.col(t) / w)) for k, w in enumerate(BLOCK_HOURS)])
-    p = (mark_hot(points.where(F.col(t).isNotNull()), hot)
-         .withColumn("_cell", F.explode(F.when(F.col("_n").isNull(), cold).otherwise(at))))
-
+    p = points.where(F.col(t).isNotNull()).withColumn("_spread", spread(points)).withColumn("_cell", F.explode(at))
     span = None
     for k, w in enumerate(BLOCK_HOURS):
-        blocks = F.sequence(F.floor(F.col(start) / w), F.floor(F.col(end) / w))
-        cells = F.transform(blocks, partial(cell, k))
-        last = k == len(BLOCK_HOURS) - 1
-        fits = F.lit(True) if last else (F.col(end) - F.col(start) <= w)
+        cells = F.transform(F.sequence(F.floor(F.col(start) / w), F.floor(F.col(end) / w)), partial(cell, k))
+        fits = F.lit(True) if k == len(BLOCK_HOURS) - 1 else (F.col(end) - F.col(start) <= w)
         span = F.when(fits, cells) if span is None else span.when(fits, cells)
-    i = (mark_hot(intervals, hot)
-         .withColumn("_cell", F.explode(F.when(F.col("_n").isNull(), cold).otherwise(span))))
-
-    flat = [F.col("_cell.tier").alias("_tier"), F.col("_cell.block").alias("_block")]
-    p = p.select(*points.columns, *flat, "_n")
-    i = i.select(*intervals.columns, *flat)
-
-    keys = [*by, "_tier", "_block"]
-    crowded = hot_groups(p.where(F.col("_n").isNotNull()), keys)
-    p = p.drop("_n")
-    if crowded is None:
-        return p.withColumn("_salt", F.lit(0).cast("long")), i.withColumn("_salt", F.lit(0).cast("long"))
-    parts = F.ceil(F.coalesce(F.col("_n"), F.lit(1)) / F.lit(float(crowded.limit))).cast("long")
-    p = mark_hot(p, crowded).withColumn("_salt", F.pmod(F.xxhash64(*points.columns), parts)).drop("_n")
-    i = mark_hot(i, crowded).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_n")
-    return p, i
+    i = intervals.withColumn("_cell", F.explode(span))
+    return p.select(*points.columns, "_spread", *flat), i.select(*intervals.columns, *flat)
 
 
 def exposure_at(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, start: str, end: str,
-                aggs: Mapping[str, Column], hot: HotGroups | None | str = AUTO) -> DataFrame:
+                aggs: Mapping[str, Column]) -> DataFrame:
     """One row per (group, point time) with at least one active interval: ``aggs`` over those intervals."""
     keys = [*by, t]
-    slim = points.select(*keys).distinct()
-    pairs = interval_join(slim, intervals, by, t, start, end, hot)
+    pairs = interval_join(points.select(*keys).distinct(), intervals, by, t, start, end)
     return pairs.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
 def expose(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, start: str, end: str,
-           aggs: Mapping[str, Column], how: str = "inner", hot: HotGroups | None | str = AUTO) -> DataFrame:
+           aggs: Mapping[str, Column], how: str = "inner") -> DataFrame:
     """Points with aggregates over the intervals active at their time; ``how="left"`` keeps all points.
 
-    (group, ``t``) has to be unique in ``points``. Aggregates must ignore a row with a null ``start``, which
-    is what a point without an interval gives. The points go through one join and one aggregate that both
-    sit on the group key, so ordinary groups are shuffled once.
+    (group, ``t``) has to be unique in ``points``. A point without an interval has null aggregates.
     """
-    by = list(by)
-    if isinstance(hot, str):
-        hot = merge(hot_groups(points, by), hot_groups(intervals, by))
+    keys = [*by, t]
     named = [c.alias(n) for n, c in aggs.items()]
-    if hot is None:
-        spans = intervals.where(F.col(start) < F.col(end)).withColumnsRenamed({c: f"_i_{c}" for c in by})
-        on = _inside(t, start, end)
-        for c in by:
-            on = on & (F.col(c) == F.col(f"_i_{c}"))
-        return points.join(spans, on, how).groupBy(*points.columns).agg(*named)
-    found = interval_join(points.select(*by, t), intervals, by, t, start, end, hot).groupBy(*by, t).agg(*named)
-    return salted_join(points, found, [*by, t], how, hot)
-
-
-def attach(points: DataFrame, matched: DataFrame, on: Sequence[str],
-           hot: HotGroups | None | str = None) -> DataFrame:
+    found = interval_join(points.select(*keys), intervals, by, t, start, end).groupBy(*keys).agg(*named)
+    return points.join(found, keys, how)
+
+
+def attach(points: DataFrame, matched: DataFrame, on: Sequence[str]) -> DataFrame:
     """Add the matched columns; points without a match stay with nulls."""
-    return salted_join(points, matched, on, "left", hot)
+    return points.join(matched, list(on), "left")
 
 
-def attach_intervals(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, start: str, end: str,
-                     hot: HotGroups | None | str = AUTO) -> DataFrame:
+def attach_intervals(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, start: str, end: str) -> DataFrame:
     """Left join of points and the intervals active at their time; overlapping intervals repeat the point."""
-    by = list(by)
-    if isinstance(hot, str):
-        hot = merge(hot_groups(points, by), hot_groups(intervals, by))
-    if hot is None:
-        spans = intervals.where(F.col(start) < F.col(end)).withColumnsRenamed({c: f"_i_{c}" for c in by})
-        on = _inside(t, start, end)
-        for c in by:
-            on = on & (F.col(c) == F.col(f"_i_{c}"))
-        return points.join(spans, on, "left").drop(*[f"_i_{c}" for c in by])
-    pairs = interval_join(points.select(*by, t).distinct(), intervals, by, t, start, end, hot)
-    return salted_join(points, pairs, [*by, t], "left", hot)
+    keys = [*by, t]
+    return points.join(interval_join(points.select(*keys).distinct(), intervals, by, t, start, end), keys, "left")
 
 
 def hull_match(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, start: str, end: str,
-               aggs: Mapping[str, Column], hot: HotGroups | None | str = AUTO) -> DataFrame:
+               aggs: Mapping[str, Column]) -> DataFrame:
     """Hull (min start, max end) of the active intervals of each point, with ``aggs`` over the intervals
     that equal the hull. A hull no interval equals keeps null aggregates."""
-    hulls = exposure_at(points, intervals, by, t, start, end,
-                        {f"_{start}": F.min(start), f"_{end}": F.max(end)}, hot)
+    hulls = exposure_at(points, intervals, by, t, start, end, {f"_{start}": F.min(start), f"_{end}": F.max(end)})
     hulls = hulls.withColumnsRenamed({f"_{start}": start, f"_{end}": end})
-    keys = [*by, start, end]
-    return (salted_join(hulls, intervals, keys, "left", None)
+    return (hulls.join(intervals, [*by, start, end], "left")
             .groupBy(*by, t, start, end).agg(*[c.alias(n) for n, c in aggs.items()]))
 
 
@@ -217,9 +178,8 @@ def order_pair(a: Column, b: Column) -> tuple[Column, Column]:
     return F.when(a > b, b).otherwise(a), F.when(a > b, a).otherwise(b)
 
 
-def semi_interval(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, start: str, end: str,
-                  hot: HotGroups | None | str = AUTO) -> DataFrame:
+def semi_interval(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, start: str, end: str) -> DataFrame:
     """Points inside at least one interval."""
     keys = [*by, t]
-    inside = interval_join(points.select(*keys).distinct(), intervals.select(*by, start, end), by, t, start, end, hot)
+    inside = interval_join(points.select(*keys).distinct(), intervals.select(*by, start, end), by, t, start, end)
     return points.join(inside.select(*keys).distinct(), keys, "left_semi")

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .skew import AUTO, HotGroups, resolve, split_hot
 
-MAX_SEGMENTS = 10_000
-
 
 @dataclass(frozen=True)
 class Lag:
@@ -125,7 +123,7 @@ def _windowed(df: DataFrame, by: list[str], order: list[str], stages: Sequence[S
 
 def _segmented(df: DataFrame, by: list[str], order: list[str], stages: Sequence[Stage],
                hot: HotGroups) -> DataFrame:
-    parts = min(MAX_SEGMENTS, max(2, math.ceil(hot.total / hot.limit)))
+    parts = max(2, math.ceil(hot.total / hot.limit))
     df = cut(df.repartitionByRange(parts, *by, *order).withColumn("_seg", F.spark_partition_id()))
     inner = Window.partitionBy(*by, "_seg").orderBy(*order)
     outer = Window.partitionBy(*by).orderBy("_seg")

@@ -1,8 +1,8 @@
 """Hot groups: find them once, then split the work on them.
 
-A group is hot when it holds more rows than one task should take. The list of hot groups is bounded:
-it keeps the ``MAX_HOT`` largest, so a group left off it holds less than one part in ``MAX_HOT`` of
-all rows. Whether a group is on the list changes how the work is split, never the result.
+A group is hot when it holds more rows than one task should take, by a count of its rows at any input size. There can
+be no more hot groups than all rows divided by that limit, which bounds the list. Whether a group is on the list changes how the
+work is split, never the result.
 """
 
 from __future__ import annotations
@@ -16,10 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_ROWS = "spark.cohortflow.hotRows"
-MIN_BYTES = "spark.cohortflow.minBytes"
 DEFAULT_HOT_ROWS = 5_000_000
-DEFAULT_MIN_BYTES = 4 << 30
-MAX_HOT = 10_000
 
 AUTO = "auto"
 
@@ -46,22 +43,10 @@ class HotGroups:
         return sum(r["_n"] for r in self.rows)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes the optimizer expects the plan to read from its sources."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
-
-
 def hot_groups(df: DataFrame, by: Sequence[str], key: Sequence[Column] | None = None) -> HotGroups | None:
-    """Groups of ``df`` too large for one task, or None. Inputs below the size floor are not scanned."""
-    spark = df.sparkSession
-    if input_bytes(df) < int(spark.conf.get(MIN_BYTES, str(DEFAULT_MIN_BYTES))):
-        return None
-    limit = hot_rows(spark)
-    counts = (
-        df.groupBy(*(key or by)).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > limit).orderBy(F.desc("_n")).limit(MAX_HOT)
-    )
+    """Groups of ``df`` too large for one task, or None: one count, partial before the shuffle."""
+    limit = hot_rows(df.sparkSession)
+    counts = df.groupBy(*(key or by)).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
     rows = counts.collect()
     return HotGroups(tuple(by), tuple(rows), counts.schema, limit) if rows else None
 
@@ -84,7 +69,7 @@ def merge(a: HotGroups | None, b: HotGroups | None) -> HotGroups | None:
 
 
 def mark_hot(df: DataFrame, hot: HotGroups, name: str = "_n") -> DataFrame:
-    """Add the row count of the group where it is hot, null elsewhere. The list is at most MAX_HOT rows."""
+    """Add the row count of the group where it is hot, null elsewhere. The list is short: see above."""
     keys = hot.frame(df.sparkSession)
     keys = keys.select(*[F.col(c).alias(f"_hot_{c}") for c in hot.by], F.col("_n").alias(name))
     cond = reduce(lambda x, y: x & y, [df[c].eqNullSafe(keys[f"_hot_{c}"]) for c in hot.by])
@@ -98,6 +83,12 @@ def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame]:
             marked.where(F.col("_hot_n").isNotNull()).drop("_hot_n"))
 
 
+def spread(df: DataFrame) -> Column:
+    """A number that differs between rows, and between equal rows of different partitions; a task that runs again gives
+    the same one."""
+    return F.xxhash64(*df.columns, F.spark_partition_id())
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
                 hot: HotGroups | None | str = AUTO, null_safe: bool = False) -> DataFrame:
     """Equi-join in which rows of a hot left key are spread and the right rows of that key copied.
@@ -110,7 +101,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     if hot is None:
         return _join(left, right, on, how, null_safe)
     parts = F.ceil(F.coalesce(F.col("_n"), F.lit(1)) / F.lit(float(hot.limit))).cast("long")
-    lhs = mark_hot(left, hot).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), parts)).drop("_n")
+    lhs = mark_hot(left, hot).withColumn("_salt", F.pmod(spread(left), parts)).drop("_n")
     rhs = (mark_hot(right, hot)
            .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_n"))
     return _join(lhs, rhs, [*on, "_salt"], how, null_safe).drop("_salt")

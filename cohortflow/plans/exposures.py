@@ -38,7 +38,7 @@ class Kind:
     finish: Callable[[DataFrame], DataFrame]
 
 
-def attach_exposures(points: DataFrame, kinds: Sequence[Kind], hot: HotGroups | None | str = AUTO) -> DataFrame:
+def attach_exposures(points: DataFrame, kinds: Sequence[Kind]) -> DataFrame:
     """Measurements with the given exposures: the intervals of all kinds go through a single join."""
     spans = None
     aggs: dict[str, Column] = {}
@@ -48,7 +48,7 @@ def attach_exposures(points: DataFrame, kinds: Sequence[Kind], hot: HotGroups |
         on = F.col("_kind") == k.name
         aggs |= {k.start: F.min(F.when(on, F.col("_start"))), k.end: F.max(F.when(on, F.col("_end"))), **k.aggs(on)}
     clash = [c for c in spans.columns if c in points.columns and c != "stay_id"]
-    out = expose(points, spans.drop(*clash), ["stay_id"], "time_seq", "_start", "_end", aggs, "left", hot)
+    out = expose(points, spans.drop(*clash), ["stay_id"], "time_seq", "_start", "_end", aggs, "left")
     for k in kinds:
         out = k.finish(out)
     return out
@@ -125,7 +125,7 @@ def insulin_kind(rates: DataFrame) -> Kind:
     }, _insulin_flags)
 
 
-def insulin_hull(points: DataFrame, rates: DataFrame, hot: HotGroups | None | str = AUTO) -> DataFrame:
+def insulin_hull(points: DataFrame, rates: DataFrame) -> DataFrame:
     """Only the rates of doses whose window equals the hull of all acting windows; with none the rate is 0
     although the flag is ``y``."""
     order = F.struct("starttime_insu_seq_corr", "endtime_insu_seq_corr", "itemid_insu", "units_insu")
@@ -133,8 +133,8 @@ def insulin_hull(points: DataFrame, rates: DataFrame, hot: HotGroups | None | st
         "insu_cat": paste(F.col("insu_cat"), order),
         "ordercategoryname": paste(F.col("ordercategoryname"), order),
         "rate_insu": sum_strict(F.col("rate_insu")),
-    }, hot)
-    return _insulin_flags(attach(points, found, KEY, None if isinstance(hot, str) else hot))
+    })
+    return _insulin_flags(attach(points, found, KEY))
 
 
 def daily_total(rates: DataFrame, t: str = "starttime_insu_seq", amount: str = "units_insu",
@@ -144,9 +144,8 @@ def daily_total(rates: DataFrame, t: str = "starttime_insu_seq", amount: str = "
             .agg(sum_strict(F.col(amount)).alias(name)))
 
 
-def attach_daily(points: DataFrame, daily: DataFrame, name: str = "unitsperday_insu",
-                 hot: HotGroups | None = None) -> DataFrame:
-    return attach(points, daily, ["stay_id", "time_icudays"], hot).withColumn(name, F.coalesce(name, F.lit(0.0)))
+def attach_daily(points: DataFrame, daily: DataFrame, name: str = "unitsperday_insu") -> DataFrame:
+    return attach(points, daily, ["stay_id", "time_icudays"]).withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
 # sedation
@@ -190,12 +189,11 @@ def ventilation_intervals(ventilation: DataFrame, stays: DataFrame) -> DataFrame
         "stay_id", "starttime_vent_seq", "endtime_vent_seq", "ventilation_status")
 
 
-def status_at(points: DataFrame, intervals: DataFrame, dedupe: bool = False,
-              hot: HotGroups | None | str = AUTO) -> DataFrame:
+def status_at(points: DataFrame, intervals: DataFrame, dedupe: bool = False) -> DataFrame:
     """Ventilation record in force and its class. Overlapping records repeat the measurement unless
     ``dedupe`` keeps the earliest record only."""
     start, end = "starttime_vent_seq", "endtime_vent_seq"
-    out = attach_intervals(points, intervals, ["stay_id"], "time_seq", start, end, hot)
+    out = attach_intervals(points, intervals, ["stay_id"], "time_seq", start, end)
     if dedupe:
         out = first_per_key(out, KEY, [start, end, "ventilation_status"])
     return out.withColumn("ventilation_status_cat", ventilation_class()).drop(start, end)

@@ -88,8 +88,7 @@ def carbohydrate_rate(enteral: DataFrame, factors: DataFrame | None = None) -> D
             .withColumn("rate_nut_cho", F.col("rate_nut") * F.col("factor")).drop("factor"))
 
 
-def feeding_exposure(points: DataFrame, enteral: DataFrame, factors: DataFrame | None = None,
-                     hot: HotGroups | None | str = AUTO) -> DataFrame:
+def feeding_exposure(points: DataFrame, enteral: DataFrame, factors: DataFrame | None = None) -> DataFrame:
     """Measurements taken during enteral feeding, with the summed rate of all running feeds.
 
     A feed of unknown content makes the carbohydrate rate unknown; rows with an unknown or zero rate are
@@ -106,7 +105,7 @@ def feeding_exposure(points: DataFrame, enteral: DataFrame, factors: DataFrame |
         "itemid_nut": paste(F.col("itemid_nut"), order),
         "starttime_nut_seq": F.min("starttime_nut_seq"),
         "endtime_nut_seq": F.max("endtime_nut_seq"),
-    }, "inner", hot)
+    })
 
 
 def feeding_known(df: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ class Study:
     @cached_property
     def exposed(self) -> DataFrame:
         """Valid measurements during enteral feeding, unknown and zero rates included."""
-        return nutrition.feeding_exposure(self.valid, self.enteral, hot=self.hot)
+        return nutrition.feeding_exposure(self.valid, self.enteral)
 
     @cached_property
     def fed(self) -> DataFrame:
@@ -122,11 +122,11 @@ class Study:
                  exposures.drug_kind(self.glucocorticoid)]
         if self.insulin_mode == "sum":
             kinds.append(exposures.insulin_kind(self.insulin))
-        df = exposures.attach_exposures(self.fed, kinds, self.hot)
+        df = exposures.attach_exposures(self.fed, kinds)
         if self.insulin_mode == "hull":
-            df = exposures.insulin_hull(df, self.insulin, self.hot)
-        df = exposures.attach_daily(df, exposures.daily_total(self.insulin), hot=self.hot)
-        return exposures.status_at(df, self.ventilation, self.vent_dedupe, self.hot)
+            df = exposures.insulin_hull(df, self.insulin)
+        df = exposures.attach_daily(df, exposures.daily_total(self.insulin))
+        return exposures.status_at(df, self.ventilation, self.vent_dedupe)
 
     @cached_property
     def analysis(self) -> DataFrame:

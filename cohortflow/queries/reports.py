@@ -198,6 +198,52 @@ def lmm_group_moments(spark, d):
     return rounded(mixed.group_moments(mixed.cells(df, design), design).drop("subgroup"), 4)
 
 
+RATIOS = (0.0, 0.01, 0.1, 0.5, 1.0, 10.0)
+
+
+def _final_statistics(spark, d, terms):
+    return mixed.Statistics(M.final_cells(M.analysis_rows(table(spark, d))), mixed.Design(M.RESPONSE, M.GROUP, terms))
+
+
+@query("lmm_profile", f"""
+, g AS (SELECT stay_id, CAST(COUNT(*) AS DOUBLE) AS n, SUM(glucose_value_mmolL) AS s, SUM(glucose_value_mmolL * glucose_value_mmolL) AS q
+        FROM model_rows GROUP BY stay_id),
+ratios AS (SELECT UNNEST([{', '.join(f'CAST({x} AS DOUBLE)' for x in RATIOS)}]) AS l),
+t AS (SELECT l, SUM(n) AS nn, SUM(n / (1 + n * l)) AS a, SUM(s / (1 + n * l)) AS b, SUM(q - l / (1 + n * l) * s * s) AS c,
+             SUM(LN(1 + n * l)) AS d FROM g CROSS JOIN ratios GROUP BY l)
+SELECT l AS lam, {r('(nn - 1) * LN(2 * PI() * (c - b * b / a) / (nn - 1)) + nn - 1 + d + LN(a)', 4)} AS value, {r('b / a', 6)} AS intercept
+FROM t""")
+def lmm_profile(spark, d):
+    """Restricted likelihood of the intercept-only model over variance ratios."""
+    out = mixed.profile(spark, _final_statistics(spark, d, ()), RATIOS).drop("subgroup")
+    return out.withColumns({"value": F.round("value", 4) + F.lit(0.0), "intercept": F.round("intercept", 6) + F.lit(0.0)})
+
+
+@query("lmm_normal_equations", f"""
+, act AS (SELECT ROW_NUMBER() OVER () AS rid, stay_id, glucose_value_mmolL AS y, {ACTIVE} AS ids FROM model_rows),
+sizes AS (SELECT stay_id, COUNT(*) AS n FROM act GROUP BY stay_id),
+long AS (SELECT rid, stay_id, UNNEST(ids) AS id, CAST(1.0 AS DOUBLE) AS v FROM act UNION ALL SELECT rid, stay_id, {LAST}, y FROM act),
+sums AS (SELECT stay_id, id, SUM(v) AS v FROM long GROUP BY stay_id, id),
+plain AS (SELECT p.id AS a, q.id AS b, SUM(p.v * q.v) AS v FROM long p JOIN long q ON p.rid = q.rid AND p.id <= q.id GROUP BY 1, 2),
+shrunk AS (SELECT p.id AS a, q.id AS b, SUM(p.v * q.v * 0.5e0 / (1 + 0.5e0 * s.n)) AS v
+           FROM sums p JOIN sums q ON p.stay_id = q.stay_id AND p.id <= q.id JOIN sizes s ON p.stay_id = s.stay_id GROUP BY 1, 2)
+SELECT CAST(i.range AS INT) AS a, CAST(j.range AS INT) AS b, {r('COALESCE(x.v, 0) - COALESCE(w.v, 0)', 4)} AS v
+FROM range({LAST} + 1) i JOIN range({LAST} + 1) j ON i.range <= j.range
+     LEFT JOIN plain x ON x.a = i.range AND x.b = j.range LEFT JOIN shrunk w ON w.a = i.range AND w.b = j.range""")
+def lmm_normal_equations(spark, d):
+    """Left and right side of the final model's equations at a variance ratio of one half."""
+    return rounded(mixed.normal_equations(spark, _final_statistics(spark, d, M.FINAL), 0.5).drop("subgroup"), 4)
+
+
+@query("lmm_hour_means", f"""
+SELECT CAST(time_hbin AS VARCHAR) AS time_hbin, {r('AVG(glucose_value_mmolL)', 6)} AS emmean FROM model_rows GROUP BY time_hbin""")
+def lmm_hour_means(spark, d):
+    """Marginal means of the model with the hour alone, without variance between stays: the hourly means."""
+    hour = tuple(t for t in M.FINAL if t.column == "time_hbin")
+    fits = mixed.fit_at(_final_statistics(spark, d, hour), 0.0)
+    return rounded(mixed.marginal_means(spark, fits, "time_hbin").select("time_hbin", "emmean"))
+
+
 def final_fit(spark, d):
     return mixed.fit(M.analysis_rows(table(spark, d)), M.RESPONSE, M.FINAL, M.GROUP)
 

@@ -285,7 +285,8 @@ def unit_conversion(spark, d):
     return rounded(chart.select("event_id", glucose_mmol(F.col("valuenum")).alias("glucose_value_mmolL")))
 
 
-@query("sample_n", None)
+@query("sample_n", """
+SELECT event_id, user_id, value FROM base ORDER BY md5(concat_ws(':', CAST(event_id AS VARCHAR), '42')), event_id LIMIT 500""")
 def sample_n(spark, d):
     return groups.sample_n(tables(spark, d)["base"], 500, ["event_id"]).select("event_id", "user_id", "value")
 
@@ -372,7 +373,7 @@ SELECT {sel('v.event_id, v.stay_id, ~d.starttime_dext_seq, ~d.endtime_dext_seq,
 FROM fed v LEFT JOIN dext_at d ON v.stay_id = d.stay_id AND v.time_seq = d.time_seq""")
 def dextrose_exposure(spark, d):
     s = study(spark, d)
-    out = exposures.attach_exposures(s.fed, [exposures.dextrose_kind(s.dextrose)], s.hot)
+    out = exposures.attach_exposures(s.fed, [exposures.dextrose_kind(s.dextrose)])
     return rounded(out.select("event_id", "stay_id", "starttime_dext_seq", "endtime_dext_seq", "rate_dext", "label_dext",
                               "ordercat_dext", "dext_yn"))
 
@@ -396,13 +397,13 @@ INSULIN_COLUMNS = ("event_id", "stay_id", "starttime_insu_seq_corr", "endtime_in
 @query("insulin_exposure_sum", _insulin_sql("insu_at"))
 def insulin_exposure_sum(spark, d):
     s = study(spark, d)
-    return rounded(exposures.attach_exposures(s.fed, [exposures.insulin_kind(s.insulin)], s.hot).select(*INSULIN_COLUMNS))
+    return rounded(exposures.attach_exposures(s.fed, [exposures.insulin_kind(s.insulin)]).select(*INSULIN_COLUMNS))
 
 
 @query("insulin_exposure_hull", _insulin_sql("insu_hull"))
 def insulin_exposure_hull(spark, d):
     s = study(spark, d)
-    return rounded(exposures.insulin_hull(s.fed, s.insulin, s.hot).select(*INSULIN_COLUMNS))
+    return rounded(exposures.insulin_hull(s.fed, s.insulin).select(*INSULIN_COLUMNS))
 
 
 @query("daily_total", f"""
@@ -424,7 +425,7 @@ SELECT {sel('v.event_id, v.stay_id, ~r.ras_score, r.ras_label')}
 FROM fed v LEFT JOIN score_at r ON v.stay_id = r.stay_id AND v.time_seq = r.time_seq""")
 def score_at(spark, d):
     s = study(spark, d)
-    out = exposures.attach_exposures(s.fed, [exposures.score_kind(s.sedation)], s.hot)
+    out = exposures.attach_exposures(s.fed, [exposures.score_kind(s.sedation)])
     return rounded(out.select("event_id", "stay_id", "ras_score", "ras_label"))
 
 
@@ -433,7 +434,7 @@ SELECT v.event_id, v.stay_id, x.ventilation_status, {VENT_CLASS} AS ventilation_
 FROM fed v LEFT JOIN vent_at x ON v.stay_id = x.stay_id AND v.time_seq = x.time_seq""")
 def status_at(spark, d):
     s = study(spark, d)
-    return exposures.status_at(s.fed, s.ventilation, hot=s.hot).select("event_id", "stay_id", "ventilation_status", "ventilation_status_cat")
+    return exposures.status_at(s.fed, s.ventilation).select("event_id", "stay_id", "ventilation_status", "ventilation_status_cat")
 
 
 @query("status_at_first", f"""
@@ -445,7 +446,7 @@ FROM fed v LEFT JOIN (
   ON v.stay_id = x.stay_id AND v.time_seq = x.time_seq""")
 def status_at_first(spark, d):
     s = study(spark, d)
-    return exposures.status_at(s.fed, s.ventilation, True, s.hot).select("event_id", "stay_id", "ventilation_status", "ventilation_status_cat")
+    return exposures.status_at(s.fed, s.ventilation, True).select("event_id", "stay_id", "ventilation_status", "ventilation_status_cat")
 
 
 @query("drug_intervals", f"SELECT stay_id, interval_no, {sel('~s AS cort_interval_starttime_seq, ~e AS cort_interval_endtime_seq')} FROM drug_merged")
@@ -460,7 +461,7 @@ SELECT {sel('v.event_id, v.stay_id, ~g.cort_interval_starttime_seq, ~g.cort_inte
 FROM fed v LEFT JOIN drug_at g ON v.stay_id = g.stay_id AND v.time_seq = g.time_seq""")
 def drug_exposure(spark, d):
     s = study(spark, d)
-    out = exposures.attach_exposures(s.fed, [exposures.drug_kind(s.glucocorticoid)], s.hot)
+    out = exposures.attach_exposures(s.fed, [exposures.drug_kind(s.glucocorticoid)])
     return rounded(out.select("event_id", "stay_id", "cort_interval_starttime_seq", "cort_interval_endtime_seq", "glucocorticoid_yn"))
 
 

@@ -116,10 +116,13 @@ SELECT s.subject_id, s.hadm_id, s.intime AS admittime, s.outtime + INTERVAL '1'
             WHEN 'FURNITURE' THEN 'ASIAN - KOREAN' WHEN 'HOUSEHOLD' THEN 'UNKNOWN'
             ELSE CONCAT('HISPANIC/LATINO - ', c.c_name) END AS race
 FROM icustays s LEFT JOIN customer c ON s.subject_id = c.c_custkey""",
+    "users": "\nSELECT MAX(user_id) + 1 AS n FROM base",
+    "placed": """
+SELECT o.*, o.o_custkey % u.n AS subject_id FROM orders o CROSS JOIN users u""",
     "diagnoses_icd": """
 SELECT s.hadm_id, CONCAT(CASE o.o_orderkey % 12 WHEN 0 THEN '250' WHEN 1 THEN 'E11' ELSE 'I10' END,
                          CAST(FLOOR(o.o_totalprice) AS BIGINT) % 10) AS icd_code
-FROM orders o JOIN icustays s ON s.subject_id = o.o_custkey AND s.stay_id % 10 = o.o_orderkey % 4""",
+FROM placed o JOIN icustays s ON s.subject_id = o.subject_id AND s.stay_id % 10 = o.o_orderkey % 4""",
     "pharmacy": """
 SELECT s.hadm_id, CASE WHEN l.l_partkey % 13 = 0 THEN NULL ELSE l.l_orderkey * 10 + l.l_linenumber END AS pharmacy_id,
        CASE p.p_size % 6 WHEN 0 THEN 'Dexamethasone' WHEN 1 THEN 'Hydrocortisone Na Succ.' WHEN 2 THEN 'PredniSONE'
@@ -129,8 +132,8 @@ SELECT s.hadm_id, CASE WHEN l.l_partkey % 13 = 0 THEN NULL ELSE l.l_orderkey * 1
        s.intime + INTERVAL '1' HOUR * (CAST(l.l_quantity AS INT) * 5 - 30) AS starttime,
        s.intime + INTERVAL '1' HOUR * (CAST(l.l_quantity AS INT) * 5 - 30 + l.l_linenumber * 8 - 12) AS stoptime,
        l.l_linestatus, l.l_linenumber, l.l_suppkey, l.l_extendedprice
-FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-     JOIN icustays s ON s.subject_id = o.o_custkey AND s.stay_id % 10 = l.l_linenumber % 4
+FROM lineitem l JOIN placed o ON l.l_orderkey = o.o_orderkey
+     JOIN icustays s ON s.subject_id = o.subject_id AND s.stay_id % 10 = l.l_linenumber % 4
      JOIN part p ON l.l_partkey = p.p_partkey""",
     "emar": """
 SELECT hadm_id, pharmacy_id, medication,

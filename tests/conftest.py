@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from cohortflow.operators import skew  # noqa: E402
+from cohortflow.operators import intervals, skew  # noqa: E402
 from cohortflow.session import build_session  # noqa: E402
 
 
@@ -21,16 +21,16 @@ def spark():
 
 @pytest.fixture
 def hot(spark):
-    """Context in which groups of more than ``limit`` rows count as hot, whatever the input size."""
+    """Context in which groups of more than ``limit`` rows count as hot, and blocks of more than five pairs as crowded."""
     @contextmanager
     def use(limit):
         spark.conf.set(skew.HOT_ROWS, str(limit))
-        spark.conf.set(skew.MIN_BYTES, "0")
+        spark.conf.set(intervals.CELL_PAIRS, "5")
         try:
             yield
         finally:
             spark.conf.unset(skew.HOT_ROWS)
-            spark.conf.unset(skew.MIN_BYTES)
+            spark.conf.unset(intervals.CELL_PAIRS)
     return use
 
 

@@ -134,3 +134,13 @@ def test_salted_join(points, spark, hot):
     dim = spark.range(60).select(F.col("id").alias("g"), (F.col("id") * 2).alias("x"))
     both(hot, lambda: salted_join(points, dim, ["g"], "left"))
     both(hot, lambda: salted_join(points, dim, ["g"], "inner"))
+
+
+def test_one_stay_with_many_points_and_intervals(spark):
+    """Work follows the length of the intervals: 20,000 by 20,000 in one stay meet in blocks, not all with all."""
+    n = 20_000
+    p = spark.range(n).select(F.lit(1).alias("g"), (F.col("id") / 4.0 + 0.1).alias("t"), F.col("id").alias("event"))
+    i = spark.range(n).select(F.lit(1).alias("g"), (F.col("id") / 4.0).alias("s"), (F.col("id") / 4.0 + 1).alias("e"))
+    out = intervals.interval_join(p, i, ["g"], "t", "s", "e")
+    assert out.count() == 4 * n - 6
+    assert "CartesianProduct" not in out._jdf.queryExecution().toString()
