@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -69,32 +70,40 @@ def _all(flags: tuple[str, ...]) -> Column:
     return cond
 
 
-def measurement_flow(raw: DataFrame, valid: DataFrame, exposed: DataFrame, invalid: Column,
+def measurement_flow(raw: DataFrame, valid: DataFrame, exposed: DataFrame, fed_stays: DataFrame, invalid: Column,
                      key: tuple[str, ...] = ("subject_id", "stay_id", "charttime")) -> DataFrame:
-    """(metric, value) for measurements: raw, duplicate, invalid, valid, fed, missing or zero rate, final.
+    """(metric, value) for measurements: raw, duplicate, invalid, valid, outside and during feeding, missing or zero
+    rate, final, and the stays that are lost with those outside.
 
-    Invalid rows are counted before duplicates go, so the counts need not add up.
+    Invalid rows are counted before duplicates go, so the counts need not add up. Rows are counted per key or stay first,
+    so that distinct counts see one row for each.
     """
     rate = F.col("rate_nut_cho")
     used = F.coalesce(rate != 0, F.lit(False))
-    one_key = F.struct(*key)
+    n = F.count(F.lit(1))
+    keys = raw.groupBy(*key).agg(n.alias("n"), F.count_if(F.coalesce(invalid, F.lit(False))).alias("bad"))
+    per_stay = exposed.groupBy("stay_id").agg(
+        n.alias("n"), F.count_if(rate.isNull()).alias("missing"),
+        F.count_if(F.coalesce(rate == 0, F.lit(False))).alias("zero"), F.count_if(used).alias("used"))
+    outside, lost = "total_outside_feeding_glucose_m", "total_outside_feeding_glucose_m_patients"
     parts = [
-        counter_table(raw, {
-            "total_glucose_m": F.count(F.lit(1)),
+        counter_table(keys, {
+            "total_glucose_m": F.sum("n"),
             "total_glucose_m_patients": F.count_distinct("stay_id"),
-            "total_duplicates_glucose_m": F.count(F.lit(1)) - F.count_distinct(one_key),
-            "total_invalid_glucose_m": F.count_if(F.coalesce(invalid, F.lit(False))),
-        }),
-        counter_table(valid, {
-            "total_valid_glucose_m": F.count(F.lit(1)),
-            "total_valid_glucose_m_icustays": F.count_distinct("stay_id"),
+            "total_duplicates_glucose_m": F.sum("n") - n,
+            "total_invalid_glucose_m": F.sum("bad"),
         }),
-        counter_table(exposed, {
-            "total_during_feeding_glucose_m": F.count(F.lit(1)),
-            "total_missing_cho_glucose_m": F.count_if(rate.isNull()),
-            "total_zero_cho_glucose_m": F.count_if(F.coalesce(rate == 0, F.lit(False))),
-            "total_final_glucose_m": F.count_if(used),
-            "total_final_glucose_m_patients": F.count_distinct(F.when(used, F.col("stay_id"))),
+        counter_table(valid.groupBy("stay_id").agg(n.alias("n")), {
+            "total_valid_glucose_m": F.sum("n"), "total_valid_glucose_m_icustays": n, outside: F.sum("n")}),
+        counter_table(per_stay, {
+            "total_during_feeding_glucose_m": F.sum("n"),
+            "total_missing_cho_glucose_m": F.sum("missing"),
+            "total_zero_cho_glucose_m": F.sum("zero"),
+            "total_final_glucose_m": F.sum("used"),
+            "total_final_glucose_m_patients": F.count_if(F.col("used") > 0),
+            outside: -F.sum("n"), lost: -F.count_if(F.col("used") > 0),
         }),
+        counter_table(fed_stays, {lost: n}),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("metric").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value"))

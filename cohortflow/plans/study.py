@@ -147,7 +147,7 @@ class Study:
         return cohort.subject_flow(self.tables["icustays"], self.cohort, self.measured, self.fed_stays, self.min_los)
 
     def measurement_flow(self) -> DataFrame:
-        return cohort.measurement_flow(self.raw, self.valid, self.exposed, measurements.invalid())
+        return cohort.measurement_flow(self.raw, self.valid, self.exposed, self.fed_stays, measurements.invalid())
 
     def write(self, root: str, fmt: str = "parquet") -> None:
         """The study's nine result tables under ``root``."""

@@ -322,6 +322,8 @@ UNION ALL SELECT 'total_valid_glucose_m_icustays', COUNT(DISTINCT stay_id) FROM
 UNION ALL SELECT 'total_during_feeding_glucose_m', COUNT(*) FROM exposed
 UNION ALL SELECT 'total_missing_cho_glucose_m', COUNT(*) FROM exposed WHERE rate_nut_cho IS NULL
 UNION ALL SELECT 'total_zero_cho_glucose_m', COUNT(*) FROM exposed WHERE rate_nut_cho = 0
+UNION ALL SELECT 'total_outside_feeding_glucose_m', (SELECT COUNT(*) FROM valid) - (SELECT COUNT(*) FROM exposed)
+UNION ALL SELECT 'total_outside_feeding_glucose_m_patients', (SELECT COUNT(DISTINCT stay_id) FROM enteral) - (SELECT COUNT(DISTINCT stay_id) FROM fed)
 UNION ALL SELECT 'total_final_glucose_m', COUNT(*) FROM fed
 UNION ALL SELECT 'total_final_glucose_m_patients', COUNT(DISTINCT stay_id) FROM fed""")
 def measurement_flow(spark, d):

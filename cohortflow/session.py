@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,6 +37,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="cohortflow-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)  # a scratch folder ends with the process
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
