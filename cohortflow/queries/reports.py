@@ -112,16 +112,18 @@ def hourly_share_fed(spark, d):
 MIX_LABEL = """CASE rate_nut_cho_cat WHEN '(-Inf,4.5]' THEN '≤ 4.5 grams/hour' WHEN '(4.5,6.5]' THEN '4.5-6.5 grams/hour'
        WHEN '(6.5,8.5]' THEN '6.5-8.5 grams/hour' ELSE '≥ 8.5 grams/hour' END"""
 
+MIX_ORDER = """CAST(CASE rate_nut_cho_cat WHEN '(-Inf,4.5]' THEN 0 WHEN '(4.5,6.5]' THEN 1 WHEN '(6.5,8.5]' THEN 2 ELSE 3 END AS INT)"""
+
 
 @query("hourly_rate_mix", f"""
-SELECT time_dec, rate_nut_cho_cat, {MIX_LABEL} AS level_label, n, {r('n / CAST(SUM(n) OVER (PARTITION BY time_dec) AS DOUBLE)')} AS prop
+SELECT time_dec, rate_nut_cho_cat, {MIX_ORDER} AS level_ord, {MIX_LABEL} AS level_label, n, {r('n / CAST(SUM(n) OVER (PARTITION BY time_dec) AS DOUBLE)')} AS prop
 FROM (SELECT CAST(h - 24 * FLOOR(h / 24) AS DOUBLE) AS time_dec, rate_nut_cho_cat, COUNT(*) AS n
       FROM (SELECT UNNEST(GENERATE_SERIES(CAST(GREATEST(CEIL(s), FLOOR(intime_seq)) AS BIGINT), CAST(LEAST(CEIL(e) - 1, CEIL(outtime_seq)) AS BIGINT))) AS h,
                    REPLACE({cut_sql('rate_nut_cho', '4.5 6.5 8.5')}, '[-Inf', '(-Inf') AS rate_nut_cho_cat
             FROM feeds_rate WHERE rate_nut_cho IS NOT NULL AND stay_id IN (SELECT stay_id FROM fed)) GROUP BY 1, 2)""")
 def hourly_rate_mix(spark, d):
     s = study(spark, d)
-    return rounded(descriptives.hourly_rate_mix(s.enteral, s.stays).drop("level_ord"))
+    return rounded(descriptives.hourly_rate_mix(s.enteral, s.stays))
 
 
 def _track_sql(name: str, a: str, b: str, source: str = "study") -> str:
@@ -163,6 +165,32 @@ def normalized_profile_ci(spark, d):
     return rounded(descriptives.normalized_profile(table(spark, d), ci=True))
 
 
+# what the cut points rest on
+
+CUT_VALUES = {"age": "age", "rate_dext > 0": "rate_dext", "rate_insu > 0": "rate_insu", "rate_nut_cho": "rate_nut_cho"}
+CUT_PROBS = (0, 0.25, 0.5, 0.75, 1)
+CATEGORIES = ("age_cat", "rate_dext_cat", "rate_insu_cat", "rate_nut_cho_cat")
+
+
+@query("cut_point_quantiles", " UNION ALL ".join(
+    f"SELECT '{name}' AS variable, " + ", ".join(
+        f"{r(f'QUANTILE_CONT(CAST({c} AS DOUBLE), {p})')} AS {summaries.quantile_name(p)}" for p in CUT_PROBS)
+    + f" FROM study WHERE {name if '>' in name else 'TRUE'}" for name, c in CUT_VALUES.items()))
+def cut_point_quantiles(spark, d):
+    """Quantiles of what is cut into categories, of rates above zero only."""
+    rows = table(spark, d).select(*[
+        (F.when(F.col(c) > 0, F.col(c)) if ">" in name else F.col(c)).cast("double").alias(name) for name, c in CUT_VALUES.items()])
+    long = rows.unpivot([], [f"`{n}`" for n in CUT_VALUES], "variable", "x")
+    return rounded(summaries.quantiles(long, "x", CUT_PROBS, ["variable"]))
+
+
+@query("category_frequencies", " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, {c} AS level, COUNT(*) AS n FROM study GROUP BY {c}" for c in CATEGORIES))
+def category_frequencies(spark, d):
+    long = table(spark, d).select(*CATEGORIES).unpivot([], list(CATEGORIES), "variable", "level")
+    return long.groupBy("variable", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
 # mixed models
 
 TERM_COLUMNS = [t.column for t in M.FINAL]

@@ -531,9 +531,14 @@ STUDY_TEXT = ("sample_type", "dext_yn", "insu_yn", "glucocorticoid_yn", "ras_lab
               "sex", "race_cat", "died_hospstay_yn", "diabetes_status", "admtype_cat", "age_cat", "rate_dext_cat", "rate_insu_cat",
               "rate_nut_cho_cat")
 STUDY_NUMBERS = ("time_seq", "time_dec", "glucose_value_mmolL", "rate_nut_cho", "rate_dext", "rate_insu", "unitsperday_insu", "ras_score",
-                 "starttime_nut_seq", "endtime_nut_seq", "starttime_dext_seq", "starttime_insu_seq_corr", "cort_interval_starttime_seq")
+                 "starttime_nut_seq", "endtime_nut_seq", "starttime_dext_seq", "starttime_insu_seq_corr", "cort_interval_starttime_seq",
+                 "endtime_dext_seq", "endtime_insu_seq_corr", "cort_interval_endtime_seq", "time_next_measurement", "los")
+STUDY_COUNTS = ("subject_id", "age", "sofa", "oasis", "charlson_comorbidity_index")
 
 
-@query("measurement_table", f"SELECT stay_id, time_hbin, time_icudays, {', '.join(STUDY_TEXT)}, {sel(', '.join('~' + c for c in STUDY_NUMBERS))} FROM study")
+@query("measurement_table", f"""
+SELECT stay_id, time_hbin, time_icudays, {', '.join(STUDY_TEXT)}, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in STUDY_COUNTS)},
+       {sel(', '.join('~' + c for c in STUDY_NUMBERS))} FROM study""")
 def measurement_table(spark, d):
-    return rounded(study(spark, d).table.select("stay_id", "time_hbin", "time_icudays", *STUDY_TEXT, *STUDY_NUMBERS))
+    return rounded(study(spark, d).table.select("stay_id", "time_hbin", "time_icudays", *STUDY_TEXT, *STUDY_NUMBERS,
+                                                *[F.col(c).cast("long").alias(c) for c in STUDY_COUNTS]))
