@@ -84,21 +84,27 @@ class Tree:
     def total(self) -> int:
         return int(self.tokens[1]) if len(self.tokens) > 1 else 0
 
-    def put(self, first: int, last: int, chars: Sequence[int], tokens: Sequence[int]) -> None:
-        """New values for leaves first..last: on the paths above if there are as many, else a new tree of the same leaves."""
+    def put(self, changes: Sequence[tuple[int, int, Sequence[int], Sequence[int]]]) -> None:
+        """New values for runs of leaves (first, last, chars, tokens), in order: added on the paths above where every run
+        keeps its number of leaves, else one new tree over the values of all leaves."""
         width = len(self.chars) // 2
-        for heap, new in ((self.chars, chars), (self.tokens, tokens)):
-            if len(new) == last - first + 1:
-                for k, v in zip(range(first, last + 1), new):
-                    node, more = width + k, v - int(heap[width + k])
-                    while node and more:
-                        heap[node] += more
-                        node //= 2
-        if len(chars) != last - first + 1:
-            old = [h[width:width + self.n].tolist() for h in (self.chars, self.tokens)]
-            new = [[*o[:first], *x, *o[last + 1:]] for o, x in zip(old, (chars, tokens))]
-            self.n = len(new[0])
-            self.chars, self.tokens = tree_over(new[0]), tree_over(new[1])
+        if all(len(chars) == last - first + 1 for first, last, chars, _ in changes):
+            for first, _, *values in changes:
+                for heap, new in zip((self.chars, self.tokens), values):
+                    for node, v in enumerate(new, width + first):
+                        more = v - int(heap[node])
+                        while node and more:
+                            heap[node] += more
+                            node //= 2
+            return
+        for which, name in ((2, "chars"), (3, "tokens")):
+            old, out, at = getattr(self, name)[width:width + self.n].tolist(), [], 0
+            for change in changes:
+                out += [*old[at:change[0]], *change[which]]
+                at = change[1] + 1
+            out += old[at:]
+            setattr(self, name, tree_over(out))
+        self.n = len(out)
 
 
 def regions(tree: Tree, text: str, edits: Sequence[Edit]) -> list[tuple[int, int, int, int, str]]:
@@ -118,11 +124,13 @@ def regions(tree: Tree, text: str, edits: Sequence[Edit]) -> list[tuple[int, int
         at, removed, _ = edit
         first, begin = leaf_at(tree.chars, min(at, len(text) - 1))
         last, last_begin = leaf_at(tree.chars, min(max(at, at + removed - 1), len(text) - 1))
-        region = [first, last, begin, end_of(last, last_begin), [edit]]
-        while found and found[-1][1] >= region[0]:
-            f = found.pop()
-            region = [f[0], max(f[1], region[1]), f[2], max(f[3], region[3]), f[4] + region[4]]
-        found.append(region)
+        if found and found[-1][1] >= first:  # edits are in order, so only the last region can overlap
+            cur = found[-1]
+            if last > cur[1]:
+                cur[1], cur[3] = last, end_of(last, last_begin)
+            cur[4].append(edit)
+        else:
+            found.append([first, last, begin, end_of(last, last_begin), [edit]])
 
     def content(r: list) -> str:
         out, at = [], r[2]
@@ -131,35 +139,50 @@ def regions(tree: Tree, text: str, edits: Sequence[Edit]) -> list[tuple[int, int
             at = place + removed
         return "".join([*out, text[at:r[3]]])
 
-    done: list[list] = []
-    k = 0
-    while k < len(found):
-        r = found[k]
-        new = content(r)
-        left = done and done[-1][1] == r[0] - 1
-        before = done[-1][5][-1:] if left else text[r[2] - 1:r[2]]
-        if r[0] and not _safe(before, new[:2]):
-            if left:  # joins the region before
-                p = done.pop()
-                r = [p[0], r[1], p[2], r[3], p[4] + r[4]]
-            else:
-                r = [r[0] - 1, r[1], r[2] - int(tree.chars[width + r[0] - 1]), r[3], r[4]]
-                if done and done[-1][1] >= r[0]:
-                    p = done.pop()
-                    r = [p[0], r[1], p[2], r[3], p[4] + r[4]]
-            found[k] = r
-            continue
-        after = text[r[3]:r[3] + 2]
-        nearest = k + 1 < len(found) and found[k + 1][0] == r[1] + 1
-        if r[1] < tree.n - 1 and not nearest and not _safe(new, after):
-            found[k] = [r[0], r[1] + 1, r[2], end_of(r[1] + 1, r[3]), r[4]]
-            if k + 1 < len(found) and found[k + 1][0] <= found[k][1]:
-                nxt = found.pop(k + 1)
-                found[k] = [found[k][0], max(found[k][1], nxt[1]), found[k][2], max(found[k][3], nxt[3]), found[k][4] + nxt[4]]
-            continue
-        done.append([*r, new])
-        k += 1
-    return [(r[0], r[1], r[2], r[3], r[5]) for r in done]
+    done: list[_Region] = []
+    for first, last, begin, end, own in found:
+        new = content([first, last, begin, end, own])
+        if done:
+            cur = done[-1]
+            while cur.last < first - 1 and not _safe(cur.tail, text[cur.end:cur.end + 2]):
+                cur.last += 1
+                cur.put(text[cur.end:end_of(cur.last, cur.end)])
+                cur.end = end_of(cur.last, cur.end)
+            if cur.last == first - 1:
+                if _safe(cur.tail, new[:2]):
+                    done.append(_Region(first, last, begin, end, new))
+                else:
+                    cur.put(new)
+                    cur.last, cur.end = last, end
+                continue
+        lowest = done[-1].last + 1 if done else 0  # a region that ends there ends at a safe place
+        parts, head = [new], new[:2]
+        while first > lowest and not _safe(text[begin - 1:begin], head):
+            first -= 1
+            size = int(tree.chars[width + first])
+            parts.append(text[begin - size:begin])
+            begin -= size
+            head = (parts[-1] + head)[:2]
+        done.append(_Region(first, last, begin, end, *reversed(parts)))
+    for cur in done[-1:]:
+        while cur.last < tree.n - 1 and not _safe(cur.tail, text[cur.end:cur.end + 2]):
+            cur.last += 1
+            cur.put(text[cur.end:end_of(cur.last, cur.end)])
+            cur.end = end_of(cur.last, cur.end)
+    return [(r.first, r.last, r.begin, r.end, "".join(r.parts)) for r in done]
+
+
+class _Region:
+    """Leaves first..last, the place they take in the old text, and what stands there now, in parts."""
+
+    def __init__(self, first: int, last: int, begin: int, end: int, *parts: str) -> None:
+        self.first, self.last, self.begin, self.end, self.parts, self.tail = first, last, begin, end, [], ""
+        for p in parts:
+            self.put(p)
+
+    def put(self, part: str) -> None:
+        self.parts.append(part)
+        self.tail = part[-1:] or self.tail
 
 
 def edited(text: str, edits: Sequence[Edit]) -> str:
@@ -239,9 +262,8 @@ def apply_edits(trees: DataFrame, tokenizer: str, *, text: str = "text", key: st
             for doc, t, edits, tree, parts in work:
                 before, encoded = tree.total, 0
                 new = [(f, x, [len(p) for p in ps], [next(counts) for _ in ps]) for f, x, ps in parts]
-                for first, last, chars, tokens in reversed(new):
-                    tree.put(first, last, chars, tokens)
-                    encoded += sum(chars)
+                tree.put(new)
+                encoded += sum(sum(chars) for _, _, chars, _ in new)
                 rows.append((doc, len(edits), before, tree.total, encoded, edited(t, edits), tree.chars.tolist(),
                              tree.tokens.tolist(), tree.n))
             columns = list(zip(*rows)) or [[]] * len(_EDITED)

@@ -38,7 +38,8 @@ def test_encoder(path, texts):
 @given(st.lists(TEXT, min_size=1, max_size=40))
 def test_lexicon_encoder_and_decoder(texts):
     words = [b" the", b"a", b"Foo"]
-    lex = lexicon.Lexicon(lexicon.compile_lexicon(zip(words, lexicon.Vocabulary(BYTES).merge(words))))
+    ids = [np.frombuffer(x, "<u4").tolist() for x in lexicon.Vocabulary(BYTES).merge(words)]
+    lex = lexicon.Lexicon(lexicon.compile_lexicon(zip(words, ids)))
     enc, dec = lexicon.LexiconEncoder(BYTES, lex), lexicon.Decoder(BYTES)
     ids = [enc.unpack(x).tolist() for x in enc.encode([t.encode() for t in texts])]
     assert ids == library(BYTES, texts)
@@ -86,9 +87,11 @@ def test_edits_match_a_full_count(a, b, edits):
     leaves = token_counts.leaves_of(text, enc.kind, 6)
     tree = token_counts.Tree(*[token_counts.tree_over(x) for x in (list(map(len, leaves)), token_counts.count(enc, leaves))], len(leaves))
     edits = token_counts.ordered(edits, len(text))
-    for first, last, _, _, new in reversed(token_counts.regions(tree, text, edits)):
+    changes = []
+    for first, last, _, _, new in token_counts.regions(tree, text, edits):
         parts = token_counts.leaves_of(new, enc.kind, 6)
-        tree.put(first, last, list(map(len, parts)), token_counts.count(enc, parts))
+        changes.append((first, last, list(map(len, parts)), token_counts.count(enc, parts)))
+    tree.put(changes)
     after = token_counts.edited(text, edits)
     assert tree.total == len(library(BYTES, [after])[0])
     width = len(tree.tokens) // 2
