@@ -120,7 +120,7 @@ class Encoder:
             self.words = {}
             new = {w for _, ws in plain for w in ws}
         new = list(new)
-        self.words.update(zip(new, self._library(new)))
+        self.words.update(zip(new, self._words(new)))
         word = self.words.__getitem__
         found.update((s, b"".join(map(word, ws))) for s, ws in plain)
         found.update(zip(whole, self._library([s.decode() for s in whole])))
@@ -138,6 +138,10 @@ class Encoder:
                 cur += t
         return b"".join(self._library([*joined, cur]))
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words that are pre-tokens as they stand."""
+        return self._library(words)
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 

@@ -19,12 +19,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import query, scratch, table
-from .encoding import _PLAIN, _RUN, Encoder, _slices, tokenizer_path
+from .common import cut, query, scratch, table
+from .encoding import _PLAIN, _RUN, Encoder, _slices, encoder, tokenizer_path
 
 FREQUENT = 50_000  # words of the lexicon; about 3 MB
+MEMO = 120_000  # stretches that a worker remembers; less than elsewhere, as encoding and decoding have workers of their own
+TALLY = 200_000  # stretches that a task counts before it passes their words on
 _NO_RANK = np.int64(1) << 40
 
 
@@ -64,21 +67,21 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), at, -1)
 
-    def merge(self, words: Sequence[bytes]) -> list[list[int]]:
-        """Ids of each word: the pair of the lowest rank is joined, leftmost first, until none is left."""
-        out: list[list[int]] = [[]] * len(words)
+    def merge(self, words: Sequence[bytes], dtype: np.dtype = np.dtype("<u4")) -> list[bytes]:
+        """Packed ids of each word: the pair of the lowest rank is joined, leftmost first, until none is left."""
+        out: list[bytes] = [b""] * len(words)
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
         for part in _runs(order, words):
-            for k, ids in zip(part, self._merge([words[k] for k in part])):
+            for k, ids in zip(part, self._merge([words[k] for k in part], dtype)):
                 out[k] = ids
         return out
 
-    def _merge(self, words: list[bytes]) -> list[list[int]]:
+    def _merge(self, words: list[bytes], dtype: np.dtype) -> list[bytes]:
         n, width = len(words), max(map(len, words)) + 1
         sym = np.full((n, width), -1, np.int64)
-        for k, w in enumerate(words):
-            sym[k, :len(w)] = self.single[np.frombuffer(w, np.uint8)]
-        out: list[list[int]] = [[]] * n
+        size = np.fromiter(map(len, words), np.int64, n)
+        sym[np.arange(width) < size[:, None]] = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        out: list[bytes] = [b""] * n
         alive = np.arange(n)
         at = self.look_up(sym[:, :-1], sym[:, 1:])
         rank = np.where(at >= 0, self.ranks[at], _NO_RANK)
@@ -88,8 +91,11 @@ class Vocabulary:
             row = np.arange(len(alive))
             done = rank[row, best] == _NO_RANK
             if done.any():
-                for k, ids in zip(alive[done].tolist(), sym[done].tolist()):
-                    out[k] = [i for i in ids if i >= 0]
+                left = sym[done]
+                used = left >= 0
+                flat, ends = left[used].astype(dtype).tobytes(), (used.sum(1).cumsum() * dtype.itemsize).tolist()
+                for k, begin, end in zip(alive[done].tolist(), [0, *ends], ends):
+                    out[k] = flat[begin:end]
                 go = ~done
                 alive, sym, rank, best = alive[go], sym[go], rank[go], best[go]
                 row = np.arange(len(alive))
@@ -219,26 +225,31 @@ class LexiconEncoder(Encoder):
     """The library's result, without the library's merges: automaton first, exact merges for other words."""
 
     def __init__(self, path: str, lexicon: Lexicon) -> None:
-        super().__init__(path)
+        super().__init__(path, MEMO)
         if self.kind != "spaces":
             raise ValueError("a byte-level BPE file is needed")
         self.vocabulary, self.lexicon = Vocabulary(path), lexicon
+        self.ids, self.ends = lexicon.ids.astype(self.dtype).tobytes(), lexicon.ends.tolist()
         self.known = self.unseen = 0
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        return self._look_up([w.encode() for w in words])
+
     def _library(self, texts: list[str]) -> list[bytes]:
         split = [words_of(self, t) for t in texts]
         words = list({w for ws in split for w in ws if not isinstance(w, int)})
-        number = self.lexicon.numbers(words)
-        ends, ids = self.lexicon.ends, self.lexicon.ids.astype(self.dtype)
-        packed: dict[bytes | int, bytes] = {}
-        for w, k in zip(words, number.tolist()):
-            if k >= 0:
-                packed[w] = ids[ends[k]:ends[k + 1]].tobytes()
-        rest = [w for w, k in zip(words, number.tolist()) if k < 0]
-        packed.update(zip(rest, map(self.pack, self.vocabulary.merge(rest))))
-        self.known, self.unseen = self.known + len(words) - len(rest), self.unseen + len(rest)
+        packed = dict(zip(words, self._look_up(words)))
         return [b"".join(self.pack([w]) if isinstance(w, int) else packed[w] for w in ws) for ws in split]
 
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of pre-tokens: from the automaton, else merged."""
+        number = self.lexicon.numbers(words).tolist()
+        ends, size = self.ends, self.dtype.itemsize
+        rest = [w for w, k in zip(words, number) if k < 0]
+        merged = iter(self.vocabulary.merge(rest, self.dtype))
+        self.known, self.unseen = self.known + len(words) - len(rest), self.unseen + len(rest)
+        return [self.ids[ends[k] * size:ends[k + 1] * size] if k >= 0 else next(merged) for k in number]
+
 
 def words_of(enc: Encoder, text: str) -> list[bytes | int]:
     """Pre-tokens of a stretch as bytes, and ids of added tokens in it."""
@@ -261,38 +272,41 @@ def _symbol_bytes() -> dict[str, int]:
 def word_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
     """word (binary), n: every pre-token of all texts; each task adds up its own first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, total = Encoder(tokenizer), Counter()
+        enc, stretches = encoder(tokenizer, MEMO), Counter()
         for batch in batches:
             for part in _slices(batch.column(0).cast(pa.binary()).to_pylist()):
-                stretches: Counter = Counter()
                 for t in part:
                     stretches.update(enc._cut(t) if t else ())
-                for s, n in stretches.items():
-                    for w in words_of(enc, s.decode()):
-                        if not isinstance(w, int):
-                            total[w] += n
-                if len(total) > 400_000:
-                    yield _counted(total)
-                    total = Counter()
-        yield _counted(total)
+                if len(stretches) > TALLY:
+                    yield _counted(enc, stretches)
+                    stretches = Counter()
+        yield _counted(enc, stretches)
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(total: Counter) -> pa.RecordBatch:
+def _counted(enc: Encoder, stretches: Counter) -> pa.RecordBatch:
+    total: Counter = Counter()
+    for s, n in stretches.items():
+        for w in words_of(enc, s.decode()):
+            if not isinstance(w, int):
+                total[w] += n
     return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())],
                                       names=["word", "n"])
 
 
 def build(docs: DataFrame, tokenizer: str, *, text: str = "text", frequent: int = FREQUENT) -> str:
-    """Count all words, compile the ``frequent`` most frequent, write the automaton; returns the file's URI.
+    """Count all words, compile the most frequent, at most ``frequent``, write the automaton; returns the file's URI.
 
-    At most ``frequent`` words reach the driver.
+    Words of equal count are taken all or none, so that no more than these words reach the driver.
     """
-    top = (word_counts(docs.select(F.col(text)), tokenizer).where("word is not null")
-           .orderBy(F.desc("n"), "word").limit(frequent).collect())
+    counts = cut(word_counts(docs.select(F.col(text)), tokenizer))
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))  # one row per count that occurs
+    upto = sizes.withColumn("upto", F.sum("words").over(W.orderBy(F.desc("n"))))
+    least = upto.where(F.col("upto") <= frequent).agg(F.min("n")).first()[0]
+    top = [] if least is None else counts.where(F.col("n") >= least).select("word").collect()
     words = [bytes(r["word"]) for r in top]
-    data = compile_lexicon(zip(words, Vocabulary(tokenizer).merge(words)))
+    data = compile_lexicon(zip(words, (np.frombuffer(x, "<u4").tolist() for x in Vocabulary(tokenizer).merge(words))))
     folder = scratch(docs.sparkSession, "lexicon")
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
