@@ -100,7 +100,8 @@ class Encoder:
         if self.kind == "words":
             return text.split()
         parts = text.split(b" ")
-        return [parts[0], *[b" " + p for p in parts[1:]]] if len(parts) > 1 else parts
+        rest = [b" " + p for p in parts[1:]]
+        return [parts[0], *rest] if parts[0] else rest  # a text may open with the space of its first word
 
     def _learn(self, fresh: set[bytes]) -> dict[bytes, object]:
         """What the fresh stretches are encoded as."""

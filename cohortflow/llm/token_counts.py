@@ -277,7 +277,8 @@ _EDITED = pa.schema([("key", pa.int64()), ("n_edits", pa.int32()), ("tokens_befo
                      ("encoded_chars", pa.int64()), ("text", pa.string()), *_TREE])
 _EDITED_DDL = ("key long, n_edits int, tokens_before long, tokens_after long, encoded_chars long, text string, " + _TREE_DDL)
 
-_PRIVATE = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\d(?:[ -]?\d){6,}")
+_MAIL = re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
+_NUMBER = re.compile(r"\d(?:[ -]?\d){6,}")
 
 
 def cleaning_edits(text: str) -> list[Edit]:
@@ -288,7 +289,9 @@ def cleaning_edits(text: str) -> list[Edit]:
             found.append((at, min(len(line) + 1, len(text) - at), ""))
         else:
             seen.add(line)
-            found += [(at + m.start(), m.end() - m.start(), "[removed]") for m in _PRIVATE.finditer(line)]
+            spans = [m.span() for m in _MAIL.finditer(line)] if "@" in line else []
+            spans += [m.span() for m in _NUMBER.finditer(line) if not any(a < m.end() and m.start() < b for a, b in spans)]
+            found += [(at + a, b - a, "[removed]") for a, b in spans]
         at += len(line) + 1
     return found
 
