@@ -27,7 +27,7 @@ SAMPLE = 20_000  # documents per language that a model is fitted on, about; pick
 ORDERS = (5, 4, 3, 2, 1)
 STEP_DOWN = 0.4  # factor for each character less than the longest n-gram
 SMOOTH = 0.5
-MEMO = 300_000  # words whose scores one task remembers
+MEMO = 400_000  # words whose scores one Python worker remembers, about 80 MB
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 # ASCII letters lowered, other ASCII characters blank, bytes of other characters as they are
@@ -72,24 +72,27 @@ def _counted(total: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies of words and n-grams per language; at most `WORDS` words a language, and their n-grams."""
+    """Log frequencies of words and n-grams per language, as rows of one table; at most `WORDS` words a language, and their
+    n-grams. A row is less its mean over the languages, an n-gram's also discounted."""
 
-    def __init__(self, langs: Sequence[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]) -> None:
-        self.langs, self.words, self.grams = list(langs), words, grams
+    def __init__(self, langs: Sequence[str], words: dict[str, int], grams: dict[str, int], rows: np.ndarray) -> None:
+        self.langs, self.words, self.grams, self.rows = list(langs), words, grams, rows
 
-    def word(self, word: str) -> np.ndarray:
-        """Score of a word in each language, less their mean."""
+    def places(self, word: str) -> list[int]:
+        """Rows that add up to a word's score: its own, or those of the longest known n-gram at each place."""
         if (known := self.words.get(word)) is not None:
-            return known
-        marked = f"<{word}>"
-        total = np.zeros(len(self.langs))
+            return [known]
+        marked, found, grams = f"<{word}>", [], self.grams
         for i in range(len(marked)):
             for order in ORDERS:
-                gram = marked[i:i + order]
-                if len(gram) == order and (g := self.grams.get(gram)) is not None:
-                    total += STEP_DOWN ** (ORDERS[0] - order) * g / order
+                if (g := grams.get(marked[i:i + order])) is not None:
+                    found.append(g)
                     break
-        return total
+        return found
+
+    def word(self, word: str) -> np.ndarray:
+        """Score of a word in each language."""
+        return self.rows[self.places(word)].sum(0)
 
 
 def model_of(counts: Sequence[tuple[str, str, int]]) -> Model:
@@ -105,15 +108,18 @@ def model_of(counts: Sequence[tuple[str, str, int]]) -> Model:
             for i in range(len(marked) - order + 1):
                 grams[marked[i:i + order]][place[lang]] += n
 
-    def logs(tallies: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not tallies:
-            return {}
-        x = np.array(list(tallies.values()))
-        x = np.log(x + SMOOTH) - np.log(x.sum(0) + SMOOTH * len(x))
-        return dict(zip(tallies, x - x.mean(1, keepdims=True)))
-
-    by_order = [logs({g: v for g, v in grams.items() if len(g) == order}) for order in ORDERS]
-    return Model(langs, logs(dict(words)), {g: v for part in by_order for g, v in part.items()})
+    tables = [words, *({g: v for g, v in grams.items() if len(g) == order} for order in ORDERS)]
+    weights = [1.0, *(STEP_DOWN ** (ORDERS[0] - order) / order for order in ORDERS)]
+    rows, names = [np.zeros((0, len(langs)))], []
+    for tallies, weight in zip(tables, weights):
+        if tallies:
+            x = np.array(list(tallies.values()))
+            x = np.log(x + SMOOTH) - np.log(x.sum(0) + SMOOTH * len(x))
+            rows.append(weight * (x - x.mean(1, keepdims=True)))
+        names += tallies
+    known = len(words)
+    return Model(langs, {w: k for k, w in enumerate(names[:known])},
+                 {g: k + known for k, g in enumerate(names[known:])}, np.concatenate(rows))
 
 
 def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", key: str = "doc_id", words: int = WORDS,
@@ -159,11 +165,19 @@ class Predictor:
         need = len(self.memo) + len(fresh)
         if need > len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros((need, self.rows.shape[1]))))
-        for s in fresh:
-            k = self.memo[s] = len(self.memo)
+        first, places, sizes = len(self.memo), [], []
+        for k, s in enumerate(fresh, first):
+            self.memo[s] = k
             words = words_in(s)
             self.rows[k, -1] = len(words)
-            self.rows[k, :-1] = sum(map(self.model.word, words)) if words else 0
+            before = len(places)
+            for w in words:
+                places += self.model.places(w)
+            sizes.append(len(places) - before)
+        upto = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        sums = np.concatenate((np.zeros((1, len(self.model.langs))), np.cumsum(self.model.rows[places], axis=0))) \
+            if places else np.zeros((1, len(self.model.langs)))
+        self.rows[first:first + len(sizes), :-1] = sums[upto[1:]] - sums[upto[:-1]]
 
     def _best(self, total: np.ndarray) -> tuple[str, float]:
         if not total[-1] or not self.model.langs:
@@ -182,7 +196,8 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(shared.value)
+        model = shared.value  # the same object for all tasks of a worker, which so share the memo
+        predictor = model.__dict__.setdefault("predictor", Predictor(model))
         for batch in batches:
             langs, scores = predictor.predict(batch.column("text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
