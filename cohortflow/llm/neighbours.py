@@ -1,11 +1,15 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Largest inner product becomes nearest direction: index vectors are divided by the largest norm and get one more coordinate that
-makes them unit vectors, queries are made unit vectors with a zero there. A table turns vectors by a fast pseudo-rotation
+Largest inner product becomes nearest direction: index vectors are divided by the largest norm of their band and get one more
+coordinate that makes them unit vectors, queries are made unit vectors with a zero there. A band holds norms that differ by less
+than a fifth, so that coordinate stays small; in a cell a query meets vectors of all bands. A table turns vectors by a fast pseudo-rotation
 (three rounds of random signs and a Hadamard transform) and assigns them to the nearest signed axis. A query looks in several
 cells of every table, those of its largest turned coordinates, and what it finds there is ranked by the exact inner
 product of the original vectors.
 
+Bands of few vectors, which cells can't part, are compared with every query, and so is the whole index with queries that found
+too few in their cells.
+
 Cells are dealt in groups. A group with many vectors is split into blocks, and so are the queries, so that a task holds a bounded
 number of either. Of equal vectors only the first ``k + 1`` ids can be among ``k`` nearest; the others are searched for nobody,
 which is exact and takes the weight out of a vector that many rows share.
@@ -28,6 +32,8 @@ TABLES = 8
 PROBES = 36
 GROUPS = 4  # groups of cells per table
 BLOCK = 32_768  # index vectors, and queries, of a group that one task holds
+PER_OCTAVE = 4  # bands of norms
+FEW = 256  # index vectors from which on a band is hashed: as many as a table of 64 coordinates has cells
 SEED = 11
 _TIE = 1e-9  # relative: how far a fast product may be off the exact one
 
@@ -75,24 +81,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _vectors(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
-    """id, v (packed doubles) of the usable vectors of the given width."""
+    """id, v (packed doubles), norm of the usable vectors of the given width."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in x], pa.binary())],
-                                             names=["id", "v"])
+            top = np.abs(x).max(1, initial=0.0)  # squares of very small or large values would be 0 or infinite
+            norm = np.minimum(top * np.sqrt(((x / top[:, None]) ** 2).sum(1)), np.finfo(float).max)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(norm)], names=["id", "v", "norm"])
 
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(usable("v") & (F.size("v") == width))
-    return rows.mapInArrow(run, "id long, v binary")
+    return rows.mapInArrow(run, "id long, v binary, norm double")
 
 
-def _index_cells(vectors: DataFrame, largest: float, tables: int) -> DataFrame:
-    """t, cell, id, v: every vector in its cell of every table."""
+def _index_cells(vectors: DataFrame, largest: dict[int, float], tables: int) -> DataFrame:
+    """t, cell, id, v: every vector in its cell of every table; ``largest`` has the largest norm of each band."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("v")) / largest
+            x = _matrix(batch.column("v")) / np.array([[largest[b]] for b in batch.column("band").to_pylist()])
             x = _padded(x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1))))
             for t in range(tables):
                 cell = sides(rotated(x, t)).argmax(1).astype("int32")
@@ -109,7 +117,7 @@ def _probes(queries: DataFrame, tables: int, probes: int, groups: int) -> DataFr
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column("v"))
-            x = _padded(x / np.sqrt((x * x).sum(1, keepdims=True)), 0.0)
+            x = _padded(x / batch.column("norm").to_numpy()[:, None], 0.0)
             for t in range(tables):
                 near = sides(rotated(x, t))
                 cells = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype("int32")
@@ -170,6 +178,34 @@ def _found(q: list, v: list, s: list) -> pa.Table:
     return pa.table({"query_id": pa.array(join(q, "i8")), "vec_id": pa.array(join(v, "i8")), "score": pa.array(join(s, "f8"))})
 
 
+def _all_cells(vectors: DataFrame, t: int, groups: int) -> DataFrame:
+    """t, cell, id, v, grp: a table whose cells hold vectors by id; its queries look in all of them."""
+    cell = F.pmod("id", F.lit(groups)).cast("int")
+    return vectors.select(F.lit(t).alias("t"), cell.alias("cell"), "id", "v", cell.alias("grp"))
+
+
+def _all_probes(queries: DataFrame, t: int, groups: int) -> DataFrame:
+    """t, grp, cells, id, v: every query in every cell of such a table."""
+    placed = queries.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return placed.select(F.lit(t).alias("t"), "grp", F.array("grp").alias("cells"), "id", "v")
+
+
+def _search(cells: DataFrame, probes: DataFrame, asked: int, k: int, groups: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: what is nearest in the cells that each of the ``asked`` queries looks in."""
+    sizes = {(r["t"], r["grp"]): r["count"] for r in cells.groupBy("t", "grp").count().collect()}  # tables x groups rows
+    blocks = F.create_map(*[F.lit(x) for (t, g), n in sorted(sizes.items()) for x in (t * groups + g, -(-n // block))])
+    place = F.col("t") * groups + F.col("grp")
+    parts = max(1, -(-asked // block))
+    left = (cells.withColumn("blk", F.pmod(F.xxhash64("id"), blocks[place]))
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
+    right = (probes.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+             .where(blocks[place].isNotNull())
+             .withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), blocks[place].cast("long") - 1))))
+    on = ["t", "grp", "blk", "part"]
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(
+        _ranked(k), "query_id long, vec_id long, score double").distinct()
+
+
 def search(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = NEAREST,
            tables: int = TABLES, probes: int = PROBES, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: up to ``k`` rows found nearest to each query row, itself left out.
@@ -183,25 +219,30 @@ def search(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     known = cut(_vectors(vectors.where(F.col(key).isNotNull()), key, vector, sizes["w"]).dropDuplicates(["id", "v"]))
+    top = known.agg(F.max("norm")).first()[0]
+    if top is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     first = W.partitionBy("v").orderBy("id")
     index = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).drop("n")
-    squares = vectors.where(usable(vector)).select(
-        F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")).alias("s"))
-    largest = float(squares.agg(F.max("s")).first()[0]) ** 0.5
-    cells = cut(_index_cells(index, largest, tables).withColumn("grp", F.col("cell") % groups))
+    index = cut(index.withColumn("band", F.floor((F.log2(F.lit(top)) - F.log2("norm")) * PER_OCTAVE)))
     asked = known.where(is_query)
-    sizes = {(r["t"], r["grp"]): r["count"] for r in cells.groupBy("t", "grp").count().collect()}  # tables x groups rows
-    blocks = F.create_map(*[F.lit(x) for (t, g), n in sorted(sizes.items()) for x in (t * groups + g, -(-n // block))])
-    place = F.col("t") * groups + F.col("grp")
-    parts = max(1, -(-asked.count() // block))
-    left = (cells.withColumn("blk", F.pmod(F.xxhash64("id"), blocks[place]))
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
-    right = (_probes(asked, tables, probes, groups).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-             .where(blocks[place].isNotNull())
-             .withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), blocks[place].cast("long") - 1))))
-    on = ["t", "grp", "blk", "part"]
-    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(
-        _ranked(k), "query_id long, vec_id long, score double").distinct()
+    bands = index.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).collect()  # 8,392 at most
+    largest = {r["band"]: r["top"] for r in bands if r["n"] >= FEW}
+    hashed = F.col("band").isin(*largest)
+    cells = _all_cells(index.where(~hashed), tables, groups)
+    looked = _all_probes(asked, tables, groups)
+    if largest:
+        own = _index_cells(index.where(hashed), largest, tables).withColumn("grp", F.col("cell") % groups)
+        cells, looked = own.unionByName(cells), _probes(asked, tables, probes, groups).unionByName(looked)
+    found = _search(cut(cells), looked, asked.count(), k, groups, block)
+    if largest:
+        found = cut(found)
+        enough = found.groupBy("query_id").count().where(F.col("count") >= k)
+        short = cut(asked.join(enough, asked["id"] == enough["query_id"], "left_anti"))
+        n = short.count()
+        if n:
+            more = _search(cut(_all_cells(index, 0, groups)), _all_probes(short, 0, groups), n, k, groups, block)
+            found = found.unionByName(more).distinct()
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -56,3 +56,52 @@ def test_odd_vectors(spark):
         assert [v for v, _ in mine] == [v for v, _ in want] and np.allclose([s for _, s in mine], [s for _, s in want])
     assert {r["query_id"] for r in got} == {int(v) for v in ids if v % 20 == 0}
     assert neighbours.search(frame.limit(0), F.col("id") % 20 == 0).collect() == []
+
+
+def recall(spark, ids, x):
+    """Share of the exact nearest that a search with the default tables and probes finds, and the least rows of a query."""
+    frame = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(frame, F.col("id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    asked = np.flatnonzero(ids % 20 == 0)
+    for i in asked:
+        want = exact(ids, x, i)
+        hits, total = hits + len({v for v, _ in want} & got.get(ids[i], set())), total + len(want)
+    return hits / total, min(len(got.get(ids[i], ())) for i in asked)
+
+
+@pytest.fixture(scope="module")
+def unit(spark):
+    rows = sorted(table(spark, "/root/testdata/sf0.1", "embeddings").collect(), key=lambda r: r["vec_id"])
+    return np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+
+
+@pytest.mark.parametrize("norm", ["outlier 2", "outlier 100", "log-normal 0.5", "log-normal 1.0", "tiny"])
+def test_recall_of_unequal_norms(spark, unit, norm):
+    ids, x = unit
+    x, (kind, _, size) = x.copy(), norm.partition(" ")
+    if kind == "outlier":
+        x[7] *= float(size)
+    elif kind == "tiny":
+        x[7] *= 1e-200
+    else:
+        x *= np.exp(np.random.default_rng(0).normal(size=(len(x), 1)) * float(size))
+    found, least = recall(spark, ids, x)
+    assert found >= 0.97 and least == 20
+
+
+@pytest.mark.parametrize("n", [15, 20, 30, 50])
+def test_few_rows_are_searched_exactly(spark, unit, n):
+    ids, x = unit
+    assert recall(spark, np.arange(n), x[:n]) == (1, min(n - 1, 20))
+
+
+def test_queries_with_too_few_candidates(spark):
+    """Index vectors that all stand in one cell, queries that look elsewhere."""
+    rng = np.random.default_rng(1)
+    x = np.eye(1, 64) + rng.normal(size=(400, 64)) * 1e-3
+    ids = np.arange(400)
+    x[::20] = -x[::20]
+    assert recall(spark, ids, x) == (1, 20)
