@@ -353,7 +353,6 @@ def subgroup_label_positions(spark, d):
 # boosted trees
 
 LEVELS = {"sex": ("F", "M"), "diabetes_status": ("n", "y"), "glucocorticoid_yn": ("n", "y")}
-SMALL = {**trees.PARAMS, "n_estimators": 20}
 
 
 @query("feature_table", f"""
@@ -373,19 +372,18 @@ def _features(spark, d):
 @query("gbt_score")
 def gbt_score(spark, d):
     df, names = _features(spark, d)
-    return trees.train_rmse(trees.score(trees.fit_gbt(df, names, SMALL), df, names))
+    return trees.train_rmse(trees.score(trees.fit_gbt(df, names), df, names))
 
 
 @query("gbt_tune")
 def gbt_tune(spark, d):
     df, names = _features(spark, d)
-    spec = {"max_depth": (3, 5), "eta": (0.1, 0.3), "n_estimators": (5,)}
-    return trees.tuning_table(trees.tune(df, names, spec, folds=3), df)
+    return trees.tuning_table(trees.tune(df, names), df)
 
 
 def _shap(spark, d):
     df, names = _features(spark, d)
-    model = trees.fit_gbt(df, names, SMALL)
+    model = trees.fit_gbt(df, names)
     return trees.tree_shap(model, trees.shap_sample(df), names), names
 
 
