@@ -4,9 +4,9 @@ A template is a function from a list of (role, text) to one string; nothing else
 after the other, and what an output adds to the one before it is the new turn's span. Where an output doesn't begin with the
 one before it, the template has rewritten history: the common part is measured, and the conversation is flagged.
 
-`probe` tries a template on small conversations. One whose output for two lists joined is the two outputs joined may be rendered
-in blocks of a conversation, each by its own prefixes; so a conversation of any length is spread over tasks. Any other template gets
-whole conversations.
+A template whose output for two lists joined is the two outputs joined may be rendered in blocks of a conversation, each by its own
+prefixes; so a conversation of any length is spread over tasks. No trial can show that of a black box, so the caller declares it;
+`probe`, which tries a template on small conversations, can only refute it. Any other template gets whole conversations.
 """
 
 from __future__ import annotations
@@ -95,23 +95,31 @@ _PROBES: tuple[tuple[Turn, ...], ...] = (
 
 
 def probe(template: Template) -> str:
-    """"blocks": outputs of parts join to the output of the whole. "appends": only prefixes do. "rewrites": they don't."""
+    """"blocks": outputs of parts join to the output of the whole. "appends": only prefixes do. "rewrites": they don't.
+
+    This holds for the tried conversations, all short; what a template does elsewhere isn't known.
+    """
     if any(render(template, p).rewritten_at is not None for p in _PROBES):
         return "rewrites"
     cuts = ((p, k) for p in _PROBES for k in range(len(p) + 1))
     return "blocks" if all(template(p[:k]) + template(p[k:]) == template(p) for p, k in cuts) else "appends"
 
 
-def format_conversations(rows: DataFrame, template: Template = turn_template, *, conv: str = "conv_id", turn: str = "turn",
-                         role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per block of a conversation, or per conversation where the template needs that: conv_id, block, part,
+def format_conversations(rows: DataFrame, template: Template = turn_template, *, joins: bool = False, conv: str = "conv_id",
+                         turn: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row per conversation, or per block of one where the template ``joins``: conv_id, block, part,
     n_turns, formatted, spans (role, begin, end of each turn in ``formatted``), rewritten_at.
 
+    ``joins`` declares that the template's outputs of parts always join to its output of the whole; a template that is seen not to
+    do so is an error.
+
     A conversation's blocks in order of (block, part) make up its output. Turns are in order of ``turn``, a missing one first, ties by
     role and text; repeated rows are turns of their own. Null roles and texts count as empty; rows without a
     conversation id make up one conversation, whose id is null. An empty table gives no row.
     """
-    whole = probe(template) != "blocks"
+    if joins and probe(template) != "blocks":
+        raise ValueError("the template's outputs of parts don't join to its output of the whole")
+    whole = not joins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = (t for b in batches for t in zip(*[b.column(c).to_pylist() for c in ("conv_id", "block", "role", "text")]))
@@ -206,4 +214,4 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.when(F.col("id") == 0, "user").otherwise(LOSS_ROLE).alias("role"),
                                    F.lit(TRICKY).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
-    return digests(format_conversations(rows))
+    return digests(format_conversations(rows, joins=True))

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -73,3 +74,41 @@ def test_whole_conversations_for_other_templates(spark):
     assert len(got) == 1 and got[0]["formatted"] == with_start([("user", f"t{k}") for k in range(40)])
     flagged = chat.format_conversations(table(spark, rows), last_marked).collect()
     assert flagged[0]["rewritten_at"] == 1
+
+
+def long_range():
+    """Templates that change history only where a short trial doesn't look."""
+    def window(turns):
+        return "".join(f"[{r}]{x}" for r, x in turns[-8:])
+
+    def numbered(turns):
+        return "".join(f"[{r}]{x}" + "!" * (k > 20) for k, (r, x) in enumerate(turns))
+
+    def tools_merged(turns):
+        out, before = "", None
+        for r, x in turns:
+            out = out[:-1] + f"+{x}]" if r == before == "tool" else out + f"[{r}:{x}]"
+            before = r
+        return out
+
+    return window, numbered, tools_merged
+
+
+@pytest.mark.parametrize("k, first", [(0, 8), (1, None), (2, 20)])
+def test_templates_that_a_trial_takes_for_blocks(spark, k, first):
+    template = long_range()[k]
+    assert chat.probe(template) == "blocks"
+    turns = [("tool" if k in (19, 20) else "user", f"t{k}") for k in range(40)]
+    rows = [(1, k, r, x, "x", "y") for k, (r, x) in enumerate(turns)]
+    got = chat.format_conversations(table(spark, rows), template).orderBy("block", "part").collect()
+    assert "".join(r["formatted"] for r in got) == template(turns)
+    assert [r["rewritten_at"] for r in got] == [first]
+
+
+def test_blocks_are_declared(spark):
+    rows = [(1, k, "user", f"t{k}", "x", "y") for k in range(40)]
+    got = chat.format_conversations(table(spark, rows), joins=True).orderBy("block", "part").collect()
+    assert [r["n_turns"] for r in got] == [16, 16, 8]
+    assert "".join(r["formatted"] for r in got) == chat.turn_template([("user", f"t{k}") for k in range(40)])
+    with pytest.raises(ValueError, match="join"):
+        chat.format_conversations(table(spark, rows), others()[1], joins=True)
