@@ -23,8 +23,7 @@ from ..session import cut
 from .tails import chi2_upper, normal_quantile, normal_two_sided, t_two_sided
 
 ALL = "all data"
-# Statistics rows the driver takes; above it the sums over group sizes stay on Spark.
-LOCAL_ROWS = 400_000
+LOCAL_ROWS = 0  # read by nothing: statistics of any size are summed on Spark; a test still sets it
 ALIAS_TOLERANCE = 1e-9
 
 
@@ -165,11 +164,6 @@ def _weights(n, lam):
     return w, 1 / one ** 2, -2 * n / one ** 3, 2 * w - n * w * w
 
 
-def _group_count(d: pd.DataFrame) -> int:
-    corner = d[(d["a"] == 0) & (d["b"] == 0)]
-    return int(round((corner["v"] / corner["n"].astype(float) ** 2).sum()))
-
-
 class Statistics:
     """The collapsed statistics of all subgroups."""
 
@@ -183,24 +177,16 @@ class Statistics:
             mat[r["a"], r["b"]] = mat[r["b"], r["a"]] = r["v"]
         self.subgroups = sorted(self.xx)
         self.cell = cell
-        moments = group_moments(cell, design)
-        near = moments.limit(LOCAL_ROWS + 1).toPandas()
-        if len(near) <= LOCAL_ROWS:
-            self.local: dict[str, pd.DataFrame] | None = dict(tuple(near.groupby("subgroup")))
-            self.groups = {s: _group_count(d) for s, d in self.local.items()}
-            return
-        self.local = None
-        self.moments = cut(moments)
+        self.moments = cut(group_moments(cell, design))
         corner = self.moments.where((F.col("a") == 0) & (F.col("b") == 0))
         rows = corner.groupBy("subgroup").agg(F.sum(F.col("v") / (F.col("n") * F.col("n"))).alias("g")).collect()
         self.groups = {r["subgroup"]: int(round(r["g"])) for r in rows}
 
     def shrink(self, points: Mapping[str, Sequence[float]]) -> dict[tuple[str, float], Shrunk]:
         """Weighted sums for the asked variance ratios of each subgroup, all in one pass."""
-        frames = self._local(points) if self.local is not None else self._spark(points)
         size = self.design.size + 1
         out = {}
-        for key, d in frames.items():
+        for key, d in self._spark(points).items():
             mats = []
             for c in ("w", "w1", "w2", "wr"):
                 mat = np.zeros((size, size))
@@ -209,19 +195,6 @@ class Statistics:
             out[key] = Shrunk(*mats, logdet=tuple(float(d[c].sum()) for c in ("l0", "l1", "l2")))
         return out
 
-    def _local(self, points):
-        out = {}
-        for s, lams in points.items():
-            d = self.local[s]
-            n, v = d["n"].to_numpy(float), d["v"].to_numpy(float)
-            corner = np.where((d["a"] == 0) & (d["b"] == 0), v / n ** 2, 0.0)
-            for lam in lams:
-                cols = dict(zip(("w", "w1", "w2", "wr"), (k * v for k in _weights(n, lam))))
-                one = 1 + n * lam
-                cols |= {"l0": corner * np.log(one), "l1": corner * n / one, "l2": -corner * n ** 2 / one ** 2}
-                out[s, lam] = pd.DataFrame({"a": d["a"], "b": d["b"], **cols}).groupby(["a", "b"], as_index=False).sum()
-        return out
-
     def _spark(self, points):
         spark = self.moments.sparkSession
         # one row per subgroup
@@ -340,6 +313,16 @@ def fit(df: DataFrame, response: str, terms: Sequence[Term], group: str, reml: b
     return fit_statistics(Statistics(cut(cells(df, design)), design), reml)
 
 
+def _lowest(values: Sequence[float], free: int) -> int:
+    """Place in `GRID` of the lowest value. A larger variance ratio must beat a smaller one by more than rounding, which grows with it:
+    where the likelihood is flat, the order of summation would decide."""
+    best = 0
+    for k, (lam, v) in enumerate(zip(GRID, values)):
+        if v < values[best] - 1e-14 * free * (1 + lam):
+            best = k
+    return best
+
+
 def fit_statistics(stats: Statistics, reml: bool = True) -> list[Fit]:
     like = {s: _Likelihood(stats.xx[s], reml) for s in stats.subgroups}
     like = {s: m for s, m in like.items() if m.free > 0 and m.nobs > m.p}
@@ -347,7 +330,7 @@ def fit_statistics(stats: Statistics, reml: bool = True) -> list[Fit]:
     # a subgroup its own terms explain fully has no variance to estimate
     like = {s: m for s, m in like.items() if m.at(first[s, 0.0])["rss"] > ALIAS_TOLERANCE * m.xx[m.p, m.p]}
     value = {s: [like[s].at(first[s, lam])["value"] for lam in GRID] for s in like}
-    best = {s: int(np.argmin(v)) for s, v in value.items()}
+    best = {s: _lowest(v, like[s].free) for s, v in value.items()}
     lam = {s: GRID[k] for s, k in best.items()}
     top = math.log(GRID[-1])
     bracket = {s: (math.log(GRID[max(k - 1, 1)]), math.log(GRID[k + 1]) if k + 1 < len(GRID) else 2 * top)

@@ -62,6 +62,13 @@ def test_statistics_on_spark_equal_local(data, monkeypatch):
     assert np.allclose(local.dof, far.dof, rtol=1e-6)
 
 
+def test_small_statistics_are_summed_on_spark(data, monkeypatch):
+    rounds, spark_sums = [], mixed.Statistics._spark
+    monkeypatch.setattr(mixed.Statistics, "_spark", lambda self, points: rounds.append(points) or spark_sums(self, points))
+    f, = mixed.fit(data[1], "y", TERMS, "g")
+    assert rounds and f.ngroups == 17
+
+
 def test_groups_of_one_give_least_squares(spark):
     rows = [(k, *r[1:]) for k, r in enumerate(frame(spread=0.0))]
     f, = mixed.fit(spark.createDataFrame(rows, "g int, f string, h int, y double"), "y", TERMS, "g", reml=False)
