@@ -1,10 +1,12 @@
 """All registered queries of the subpackage."""
 
 from . import (  # noqa: F401  (they register their queries)
+    audit,
     chat,
     exact,
     language,
     lexicon,
+    manifest,
     neighbours,
     packing,
     quality,
