@@ -12,6 +12,7 @@ from . import (  # noqa: F401  (they register their queries)
     quality,
     records,
     simhash,
+    substrings,
     token_counts,
 )
 from .common import REGISTRY
