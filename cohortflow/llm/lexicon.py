@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
@@ -26,8 +27,9 @@ from .common import cut, query, scratch, table
 from .encoding import _PLAIN, _RUN, Encoder, _slices, encoder, tokenizer_path
 
 FREQUENT = 50_000  # words of the lexicon; about 3 MB
-MEMO = 120_000  # stretches that a worker remembers; less than elsewhere, as encoding and decoding have workers of their own
+MEMO = 120_000  # stretches that a worker remembers, next to the library's tokenizer and the vocabulary
 TALLY = 200_000  # stretches that a task counts before it passes their words on
+LONG = 400  # bytes of a word from which it is merged by itself, in time n log n
 _NO_RANK = np.int64(1) << 40
 
 
@@ -71,11 +73,53 @@ class Vocabulary:
         """Packed ids of each word: the pair of the lowest rank is joined, leftmost first, until none is left."""
         out: list[bytes] = [b""] * len(words)
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        while order and len(words[order[-1]]) > LONG:
+            k = order.pop()
+            out[k] = np.array(self._merge_long(words[k]), dtype).tobytes()
         for part in _runs(order, words):
             for k, ids in zip(part, self._merge([words[k] for k in part], dtype)):
                 out[k] = ids
         return out
 
+    @functools.cached_property
+    def _ranks(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.ranks.tolist()))
+
+    @functools.cached_property
+    def _made(self) -> list[int]:
+        return self.made[np.argsort(self.ranks)].tolist()
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same for one long word: neighbours in a linked list, open pairs in a heap of (rank, place)."""
+        first = self.single[np.frombuffer(word, np.uint8)]
+        at = self.look_up(first[:-1], first[1:])
+        sym, n, size = first.tolist(), len(word), self.size
+        rank = [*np.where(at >= 0, self.ranks[at], -1).tolist(), -1]  # of the pair that begins here; -1 if it can't be joined
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 40 | p for p, r in enumerate(rank) if r >= 0]
+        heapq.heapify(heap)
+        ranks, made, pop, push, mask = self._ranks.get, self._made, heapq.heappop, heapq.heappush, (1 << 40) - 1
+        while heap:
+            e = pop(heap)
+            r, p = e >> 40, e & mask
+            if rank[p] != r:  # one of the two has been joined to another
+                continue
+            q = after[p]
+            sym[p], sym[q], rank[q] = made[r], -1, -1
+            after[p] = q = after[q]
+            rank[p] = -1
+            if q < n:
+                before[q] = p
+                rank[p] = r = ranks(sym[p] * size + sym[q], -1)
+                if r >= 0:
+                    push(heap, r << 40 | p)
+            q = before[p]
+            if q >= 0:
+                rank[q] = r = ranks(sym[q] * size + sym[p], -1)
+                if r >= 0:
+                    push(heap, r << 40 | q)
+        return [x for x in sym if x >= 0]
+
     def _merge(self, words: list[bytes], dtype: np.dtype) -> list[bytes]:
         n, width = len(words), max(map(len, words)) + 1
         sym = np.full((n, width), -1, np.int64)
@@ -115,6 +159,12 @@ class Vocabulary:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """One per worker."""
+    return Vocabulary(path)
+
+
 def _runs(order: list[int], words: Sequence[bytes], cells: int = 1 << 19) -> Iterator[list[int]]:
     """Words of like length together, in blocks of bounded size; ``order`` is by length."""
     part: list[int] = []
@@ -228,7 +278,7 @@ class LexiconEncoder(Encoder):
         super().__init__(path, MEMO)
         if self.kind != "spaces":
             raise ValueError("a byte-level BPE file is needed")
-        self.vocabulary, self.lexicon = Vocabulary(path), lexicon
+        self.vocabulary, self.lexicon = vocabulary(path), lexicon
         self.ids, self.ends = lexicon.ids.astype(self.dtype).tobytes(), lexicon.ends.tolist()
         self.known = self.unseen = 0
 
@@ -252,16 +302,20 @@ class LexiconEncoder(Encoder):
 
 
 def words_of(enc: Encoder, text: str) -> list[bytes | int]:
-    """Pre-tokens of a stretch as bytes, and ids of added tokens in it."""
-    if _PLAIN.fullmatch(text) and "<|" not in text:
+    """Pre-tokens of a stretch as bytes, and ids of added tokens in it: leftmost first, the longest of those at one place."""
+    if _PLAIN.fullmatch(text) and not enc.special(text):
         return [w.encode() for w in _RUN.findall(text)]
-    hits = [(text.find(a), a) for a in enc.added if a in text]
-    if hits:
-        at, a = min(hits)
-        rest = words_of(enc, text[at + len(a):]) if at + len(a) < len(text) else []
-        return [*(words_of(enc, text[:at]) if at else []), enc.tokenizer.token_to_id(a), *rest]
+    out, at = [], 0
+    for m in enc.specials.finditer(text):
+        out += _pre_tokens(enc, text[at:m.start()])
+        out.append(enc.tokenizer.token_to_id(m.group()))
+        at = m.end()
+    return out + _pre_tokens(enc, text[at:])
+
+
+def _pre_tokens(enc: Encoder, text: str) -> list[bytes]:
     of = _symbol_bytes()
-    return [bytes(of[c] for c in w) for w, _ in enc.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+    return [bytes(of[c] for c in w) for w, _ in enc.tokenizer.pre_tokenizer.pre_tokenize_str(text)] if text else []
 
 
 @functools.lru_cache(maxsize=1)
@@ -306,7 +360,7 @@ def build(docs: DataFrame, tokenizer: str, *, text: str = "text", frequent: int
     least = upto.where(F.col("upto") <= frequent).agg(F.min("n")).first()[0]
     top = [] if least is None else counts.where(F.col("n") >= least).select("word").collect()
     words = [bytes(r["word"]) for r in top]
-    data = compile_lexicon(zip(words, (np.frombuffer(x, "<u4").tolist() for x in Vocabulary(tokenizer).merge(words))))
+    data = compile_lexicon(zip(words, (np.frombuffer(x, "<u4").tolist() for x in vocabulary(tokenizer).merge(words))))
     folder = scratch(docs.sparkSession, "lexicon")
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
@@ -345,11 +399,13 @@ class Decoder:
     """Ids to text: the bytes of all ids, joined; what isn't UTF-8 becomes the replacement character."""
 
     def __init__(self, path: str) -> None:
-        self.bytes = Vocabulary(path).bytes
+        self.bytes = vocabulary(path).bytes
 
     def decode(self, ids: Sequence[int]) -> bytes:
         data = b"".join(map(self.bytes.__getitem__, ids))
-        return data.decode("utf-8", "replace").encode()
+        if not data.isascii():
+            data = data.decode("utf-8", "replace").encode()
+        return data
 
 
 @functools.lru_cache(maxsize=2)
@@ -357,28 +413,60 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+_DIGESTS_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+class Digester:
+    """Digests of ids in decimal, joined by commas, and of the text they stand for."""
+
+    def __init__(self, path: str) -> None:
+        self.decoder = decoder(path)
+        self.dtype = "<u2" if len(self.decoder.bytes) <= 1 << 16 else "<u4"
+        self.decimal = [str(k).encode() for k in range(len(self.decoder.bytes))]
+
+    def rows(self, packed: Iterable[bytes]) -> tuple[list[int], list[str], list[str]]:
+        n, of_ids, of_text = [], [], []
+        for p in packed:
+            ids = np.frombuffer(p, self.dtype).tolist()
+            n.append(len(ids))
+            of_ids.append(hashlib.sha256(b",".join(map(self.decimal.__getitem__, ids))).hexdigest())
+            of_text.append(hashlib.sha256(self.decoder.decode(ids)).hexdigest())
+        return n, of_ids, of_text
+
+
+@functools.lru_cache(maxsize=2)
+def digester(path: str) -> Digester:
+    return Digester(path)
+
+
 def digests(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids in decimal, joined by commas), decoded_sha256."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of (doc_id, ids) as `encode` gives them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = digester(tokenizer).rows(batch.column("ids").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(found, list(_DIGESTS)[1:]))], schema=_DIGESTS)
+
+    return encoded.mapInArrow(run, _DIGESTS_DDL)
+
+
+def round_trip(docs: DataFrame, tokenizer: str, lexicon: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The digests of `encode` and then of decoding again, in one worker, which holds one tokenizer and one vocabulary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dec = decoder(tokenizer)
-        dtype = "<u2" if len(dec.bytes) <= 1 << 16 else "<u4"
-        decimal = [str(k) for k in range(len(dec.bytes))]
+        enc, dig = lexicon_encoder(tokenizer, lexicon), digester(tokenizer)
         for batch in batches:
-            n, of_ids, of_text = [], [], []
-            for packed in batch.column("ids").to_pylist():
-                ids = np.frombuffer(packed, dtype).tolist()
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(dec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()),
-                                              pa.array(of_text, pa.string())],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            found = [], [], []
+            for some in _slices(batch.column(1).cast(pa.binary()).to_pylist()):
+                for column, part in zip(found, dig.rows(enc.encode(some))):
+                    column += part
+            columns = [pa.array(c, f.type) for c, f in zip(found, list(_DIGESTS)[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=_DIGESTS)
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, _DIGESTS_DDL)
 
 
 @query("op7_bpe_lexicon")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn the lexicon from all documents, encode them, decode the ids, digest both."""
     docs, path = table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")
-    return digests(encode(docs, path, build(docs, path)), path)
+    return round_trip(docs, path, build(docs, path))
