@@ -41,21 +41,15 @@ class Encoder:
     """Encodes texts given as UTF-8; remembers what it has encoded, within a bound."""
 
     def __init__(self, path: str, memo: int = MEMO) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.kind = _kind(spec)
+        self.tokenizer, self.kind, self.added = _loaded(path)
         self.lower = self.kind == "words"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.limit = memo
-        self.added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.special = re.compile("|".join(map(re.escape, self.added)) or "(?!)").search
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.specials = re.compile("|".join(map(re.escape, longest_first)) or "(?!)")
+        self.special = self.specials.search
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.letters = not any(t.strip().isalpha() for t in self.added)  # no added token is a mere word
         self.memo: dict[bytes, object] = {}
         self.words: dict[str, bytes] = {}
 
@@ -106,24 +100,36 @@ class Encoder:
     def _learn(self, fresh: set[bytes]) -> dict[bytes, object]:
         """What the fresh stretches are encoded as."""
         found: dict[bytes, object] = {}
+        single: list[tuple[bytes, str]] = []  # ASCII letters, perhaps after a space: one word each
         plain: list[tuple[bytes, list[str]]] = []
         whole: list[bytes] = []
+        fullmatch, runs, special, lower, letter = _PLAIN.fullmatch, _RUN.findall, self.special, self.lower, self.letters
         for s in fresh:
             t = s.decode()
-            if _PLAIN.fullmatch(t) and not self.special(t):
-                plain.append((s, _RUN.findall(t.lower() if self.lower else t)))
+            if letter and s[1:].isalpha() and (s[0] == 32 or s.isalpha()):
+                single.append((s, t.lower() if lower else t))
+            elif fullmatch(t) and not special(t):
+                plain.append((s, runs(t.lower() if lower else t)))
             elif self.kind == "spaces" and (t in ("", " ") or t[-1].isspace() or t.lstrip(" ")[:1].isspace()):
                 found[s] = _Unsafe
             else:
                 whole.append(s)
-        new = {w for _, ws in plain for w in ws}.difference(self.words)
+        parts = {t for _, t in single}
+        for _, ws in plain:
+            parts.update(ws)
+        new = parts.difference(self.words)
         if len(self.words) + len(new) > 2 * self.limit:
-            self.words = {}
-            new = {w for _, ws in plain for w in ws}
+            self.words, new = {}, parts
         new = list(new)
         self.words.update(zip(new, self._words(new)))
         word = self.words.__getitem__
-        found.update((s, b"".join(map(word, ws))) for s, ws in plain)
+        for s, t in single:
+            found[s] = word(t)
+        for s, ws in plain:
+            if len(ws) == 2:  # a word and a mark
+                found[s] = word(ws[0]) + word(ws[1])
+            else:
+                found[s] = b"".join(map(word, ws))
         found.update(zip(whole, self._library([s.decode() for s in whole])))
         return found
 
@@ -144,7 +150,24 @@ class Encoder:
         return self._library(words)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = array(self.code, itertools.chain.from_iterable(ids)).tobytes()
+        ends = list(itertools.accumulate(len(x) * self.dtype.itemsize for x in ids))
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
+@functools.lru_cache(maxsize=4)
+def _loaded(path: str) -> tuple:
+    """(tokenizer, kind, added tokens) of a file; all encoders of a worker share them."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return tokenizer, _kind(spec), [t["content"] for t in spec.get("added_tokens") or []]
 
 
 def _kind(spec: dict) -> str:
