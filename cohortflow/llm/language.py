@@ -8,17 +8,17 @@ discount.
 from __future__ import annotations
 
 import itertools
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROW, fold, located, query, table
+from .common import ROW, cut, fold, located, query, table
 from .encoding import _slices
 
 UNKNOWN = "und"
@@ -29,7 +29,7 @@ STEP_DOWN = 0.4  # factor for each character less than the longest n-gram
 SMOOTH = 0.5
 MEMO = 400_000  # words whose scores one Python worker remembers, about 80 MB
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")  # characters whose category is a letter; not such as ½ or Ⅷ
 # ASCII letters lowered, other ASCII characters blank, bytes of other characters as they are
 _BLANKED = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -124,14 +124,18 @@ def model_of(counts: Sequence[tuple[str, str, int]]) -> Model:
 
 def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", key: str = "doc_id", words: int = WORDS,
         sample: int = SAMPLE) -> Model:
-    """Learn from the rows with a language and a text. At most ``words`` rows a language reach the driver."""
+    """Learn from the rows with a language and a text. At most ``words`` rows a language reach the driver; words of equal count
+    are taken all or none."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(
         "lang IS NOT NULL AND text IS NOT NULL")
     share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    counts = word_counts(rows.join(F.broadcast(share), "lang").where(drawn))
-    ranked = counts.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word")))
-    return model_of([(r["lang"], r["word"], r["n"]) for r in ranked.where(F.col("k") <= words).collect()])
+    counts = cut(word_counts(rows.join(F.broadcast(share), "lang").where(drawn)))
+    sizes = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("words"))  # one row per count that occurs
+    upto = F.sum("words").over(W.partitionBy("lang").orderBy(F.desc("n")))
+    least = sizes.withColumn("upto", upto).where(F.col("upto") <= words).groupBy("lang").agg(F.min("n").alias("least"))
+    known = counts.join(least, "lang").where("n >= least")
+    return model_of([(r["lang"], r["word"], r["n"]) for r in known.collect()])
 
 
 class Predictor:
@@ -165,7 +169,7 @@ class Predictor:
         need = len(self.memo) + len(fresh)
         if need > len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros((need, self.rows.shape[1]))))
-        first, places, sizes = len(self.memo), [], []
+        first, places, begins, rows = len(self.memo), [], [], []
         for k, s in enumerate(fresh, first):
             self.memo[s] = k
             words = words_in(s)
@@ -173,11 +177,12 @@ class Predictor:
             before = len(places)
             for w in words:
                 places += self.model.places(w)
-            sizes.append(len(places) - before)
-        upto = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-        sums = np.concatenate((np.zeros((1, len(self.model.langs))), np.cumsum(self.model.rows[places], axis=0))) \
-            if places else np.zeros((1, len(self.model.langs)))
-        self.rows[first:first + len(sizes), :-1] = sums[upto[1:]] - sums[upto[:-1]]
+            if len(places) > before:
+                begins.append(before)
+                rows.append(k)
+        self.rows[first:first + len(fresh), :-1] = 0
+        if rows:  # each stretch is summed by itself, so its score doesn't depend on what else is new
+            self.rows[rows, :-1] = np.add.reduceat(self.model.rows[places], begins, axis=0)
 
     def _best(self, total: np.ndarray) -> tuple[str, float]:
         if not total[-1] or not self.model.langs:
