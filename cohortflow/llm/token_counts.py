@@ -289,8 +289,13 @@ def cleaning_edits(text: str) -> list[Edit]:
             found.append((at, min(len(line) + 1, len(text) - at), ""))
         else:
             seen.add(line)
-            spans = [m.span() for m in _MAIL.finditer(line)] if "@" in line else []
-            spans += [m.span() for m in _NUMBER.finditer(line) if not any(a < m.end() and m.start() < b for a, b in spans)]
+            mails = [m.span() for m in _MAIL.finditer(line)] if "@" in line else []
+            spans, k = list(mails), 0
+            for m in _NUMBER.finditer(line):  # both ascend and don't overlap among themselves
+                while k < len(mails) and mails[k][1] <= m.start():
+                    k += 1
+                if k == len(mails) or mails[k][0] >= m.end():
+                    spans.append(m.span())
             found += [(at + a, b - a, "[removed]") for a, b in spans]
         at += len(line) + 1
     return found
