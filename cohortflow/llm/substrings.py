@@ -11,7 +11,8 @@
 Repeats inside one document: two equal windows either belong to different runs or to one run longer than a gram's reach, both of
 which count twice, or they are closer than that reach, and then are compared directly.
 
-The sketch has a fixed size, a parameter; beyond some windows per cell it lets ever more through, and results stay the same.
+The sketch grows with the bytes of text up to ``MOST_BITS``, which bounds what a worker loads. Beyond that it lets ever more
+windows through, and results stay the same.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import xxhash
@@ -29,15 +31,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import query, scratch, table
-from .encoding import _slices
 
 WINDOW = 20
 GRAM = 8  # words of the grams whose least hash stands for a window
-BITS = 28  # cells of a sketch row, as a power of two
-ROWS = 2  # rows of the sketch; its merged form is one bit a cell, 64 MB in all
+ROWS = 2  # rows of the sketch; its merged form is one bit a cell
+MOST_BITS = 30  # a row has at most this power of two of cells, so that the merged sketch is 256 MB at most
+BYTES_PER_CELL = 8  # of text; a run of windows takes some 45 bytes
 SHARD = 16  # cells of a shard, as a power of two: partial sketches meet shard by shard
-FLUSH = 2_000_000  # counts, or windows, that a task holds before it passes them on
-MEMO = 300_000  # words that a worker remembers hashes of
+FLUSH = 1_500_000  # counts, or windows, that a task holds before it passes them on
+MEMO = 150_000  # words that a worker remembers hashes of
+SLICE = 1 << 20  # bytes of text worked on at once, or one text
+
+SIGN = 0x7FFFFFFF  # the part of a window's hash that returns with its start
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd multipliers
 _S32 = np.uint64(32)
@@ -83,26 +88,37 @@ class Words(dict):
 
     def __init__(self, limit: int = MEMO) -> None:
         super().__init__()
-        self.limit, self.digests = limit, []
+        self.limit, self.fresh = limit, []
         self.table = np.zeros((0, 2), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self.digests)
-        self.digests.append(xxhash.xxh3_128_digest(word))
+        self[word] = k = len(self)
+        self.fresh.append(xxhash.xxh3_128_digest(word))
         return k
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         """Two 64-bit hashes of each word."""
-        if len(self.digests) > self.limit:
+        if len(self) > self.limit:
             self.clear()
-            self.digests, self.table = [], np.zeros((0, 2), np.uint64)
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self.table) < len(self.digests):
-            new = np.frombuffer(b"".join(self.digests[len(self.table):]), "<u8").reshape(-1, 2)
-            self.table = np.concatenate([self.table, new])
+            self.table = np.zeros((0, 2), np.uint64)
+        at = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        if self.fresh:
+            self.table = np.concatenate([self.table, np.frombuffer(b"".join(self.fresh), "<u8").reshape(-1, 2)])
+            self.fresh.clear()
         return self.table[at]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """The rows of a batch with their texts, about ``SLICE`` bytes at a time."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(), dtype=np.int64)
+    begin = 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SLICE, "right")))
+        rows = batch.slice(begin, end - begin)
+        yield rows, rows.column("text").cast(pa.binary()).to_pylist()
+        begin = end
+
+
 class Part:
     """Words and windows of some whole documents, one after the other."""
 
@@ -153,7 +169,7 @@ def partial_sketch(window: int, gram: int, bits: int, rows: int) -> Callable[[It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, n = Words(), [], 0
         for batch in batches:
-            for texts in _slices(batch.column("text").cast(pa.binary()).to_pylist()):
+            for _, texts in slices(batch):
                 part = Part(texts, memo, window, gram, both=False)
                 twice = part.run_lengths() > part.reach
                 held.append(np.concatenate([part.anchor[part.runs], part.anchor[part.runs[twice]]]))
@@ -196,7 +212,7 @@ def merged_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield done()
 
 
-def sketch(texts: DataFrame, *, window: int = WINDOW, gram: int = GRAM, bits: int = BITS, rows: int = ROWS) -> str:
+def sketch(texts: DataFrame, *, bits: int, window: int = WINDOW, gram: int = GRAM, rows: int = ROWS) -> str:
     """Counts all windows; returns the folder of the merged sketch, a table of at most ``rows << (bits - 16)`` bit maps."""
     counted = texts.select("text").mapInArrow(partial_sketch(window, gram, bits, rows), "shard int, counts binary")
     folder = scratch(texts.sparkSession, "sketch")
@@ -248,11 +264,9 @@ def first_starts(folder: str, window: int, gram: int, bits: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, memo, held, n = load(folder, bits, rows), Words(), [], 0
         for batch in batches:
-            done = 0
-            for texts in _slices(batch.column("text").cast(pa.binary()).to_pylist()):
+            for some, texts in slices(batch):
                 part = Part(texts, memo, window, gram)
-                ids, version = (batch.column(c).slice(done, len(texts)) for c in ("doc_id", "version"))
-                done += len(texts)
+                ids, version = some.column("doc_id"), some.column("version")
                 use = flagged(part, bitmap, bits)
                 doc = part.doc[use]
                 held.append((part.keys[0][use], part.keys[1][use], ids.is_null().to_numpy(zero_copy_only=False)[doc],
@@ -269,8 +283,8 @@ def first_starts(folder: str, window: int, gram: int, bits: int, rows: int):
 
 def cleaned(folder: str, window: int, gram: int, bits: int, rows: int):
     """Rows (doc_id, n_words, n_removed, kept) from rows (doc_id, text, firsts)."""
-    def repeats(part: Part, use: np.ndarray, doc: np.ndarray, start: np.ndarray, k1: np.ndarray) -> np.ndarray:
-        """Marks the words that repeated windows cover; ``doc``, ``start``, ``k1`` are the windows that are first."""
+    def repeats(part: Part, use: np.ndarray, doc: np.ndarray, start: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        """Marks the words that repeated windows cover; ``doc``, ``start``, ``sign`` are the windows that are first."""
         k = len(part.ends)
         total = int(part.ends[-1]) if k else 0
         index = np.full(total + 1, -1, np.int64)  # window that begins at a word
@@ -279,7 +293,7 @@ def cleaned(folder: str, window: int, gram: int, bits: int, rows: int):
         inside = place < part.ends[doc]
         window_no = index[np.where(inside, place, total)]
         hit = window_no >= 0
-        hit[hit] = part.keys[0][window_no[hit]] == k1[hit]
+        hit[hit] = (part.keys[0][window_no[hit]] & np.uint64(SIGN)) == sign[hit].astype(np.uint64)
         first = np.zeros(len(part.at), bool)
         first[window_no[hit]] = True
         repeated = use & ~first
@@ -294,17 +308,14 @@ def cleaned(folder: str, window: int, gram: int, bits: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, memo = load(folder, bits, rows), Words()
         for batch in batches:
-            done = 0
-            for texts in _slices(batch.column("text").cast(pa.binary()).to_pylist()):
+            for some, texts in slices(batch):
                 part = Part(texts, memo, window, gram)
-                lists = batch.column("firsts").slice(done, len(texts))
-                ids = batch.column("doc_id").slice(done, len(texts))
-                done += len(texts)
+                lists = some.column("firsts")
                 sizes = lists.value_lengths().fill_null(0).to_numpy()
                 inner = lists.flatten()
                 doc = np.repeat(np.arange(len(texts)), sizes)
                 gone = repeats(part, flagged(part, bitmap, bits), doc, inner.field("start").to_numpy(),
-                               inner.field("k1").to_numpy().view(np.uint64))
+                               inner.field("sign").to_numpy())
                 kept, removed = [], []
                 for words, begin, end in zip(part.words, part.begins.tolist(), part.ends.tolist()):
                     mask = gone[begin:end]
@@ -312,14 +323,14 @@ def cleaned(folder: str, window: int, gram: int, bits: int, rows: int):
                     removed.append(n)
                     kept.append(b" ".join(itertools.compress(words, (~mask).tolist()) if n else words))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array((part.ends - part.begins)), pa.array(removed, pa.int64()),
+                    [some.column("doc_id"), pa.array((part.ends - part.begins)), pa.array(removed, pa.int64()),
                      pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
 def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM,
-                bits: int = BITS, rows: int = ROWS) -> DataFrame:
+                bits: int | None = None, rows: int = ROWS) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words of each document without those that an earlier window covers.
 
     A window is ``window`` consecutive words of one row; it is earlier at a smaller id or, in the same document, at a smaller start.
@@ -329,14 +340,17 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", win
     the longest text.
     """
     gram = min(gram, window)
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("version"))
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.hash(F.col(text)).alias("version"))
+    if bits is None:
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(MOST_BITS, max(SHARD, (size // BYTES_PER_CELL).bit_length()))
     settings = (window, gram, bits, rows)
     folder = sketch(texts, window=window, gram=gram, bits=bits, rows=rows)
     through = texts.mapInArrow(first_starts(folder, *settings),
-                               "k1 long, k2 long, missing boolean, doc_id long, version long, start int")
+                               "k1 long, k2 long, missing boolean, doc_id long, version int, start int")
     first = through.groupBy("k1", "k2").agg(F.min(F.struct("missing", "doc_id", "version", "start")).alias("f"))
     back = first.groupBy(F.when(~F.col("f.missing"), F.col("f.doc_id")).alias("of"), F.col("f.version").alias("at")).agg(
-        F.collect_list(F.struct("f.start", "k1")).alias("firsts"))  # at most one per window of a document
+        F.collect_list(F.struct("f.start", F.col("k1").bitwiseAND(SIGN).cast("int").alias("sign"))).alias("firsts"))  # at most one per window of a document
     own = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("at"))
     joined = texts.join(back, own, "left").select("doc_id", "text", "firsts")
     return joined.mapInArrow(cleaned(folder, *settings), "doc_id long, n_words long, n_removed long, kept string")
