@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +31,12 @@ def exclude_any(c: Column, patterns: Sequence[str]) -> Column:
 
 
 def has_prefix(c: Column, prefixes: Sequence[str]) -> Column:
-    """True when the code starts with one of ``prefixes``."""
-    joined = "|".join(re.escape(p) for p in prefixes)
-    return F.coalesce(c.rlike(f"^({joined})"), F.lit(False))
+    """True when the code starts with one of ``prefixes``: one lookup among those of each length."""
+    by_length: dict[int, list[str]] = {}
+    for p in prefixes:
+        by_length.setdefault(len(p), []).append(p)
+    found = [F.substring(c, 1, n).isin(ps) for n, ps in sorted(by_length.items())]
+    return F.coalesce(reduce(operator.or_, found, F.lit(False)), F.lit(False))
 
 
 def overlaps(start: Column, end: Column, lo: Column, hi: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.categories import observed_levels
-from ..operators.skew import AUTO, HotGroups, resolve, salted_join
+from ..operators.skew import AUTO, HotGroups, salted_join
 from ..operators.summaries import histogram
 from ..session import cut
 from .tails import chi2_upper, normal_quantile, normal_two_sided, t_two_sided
@@ -488,7 +488,7 @@ def residuals(stats: Statistics, f: Fit, df: DataFrame, hot: HotGroups | None |
     r = F.aggregate("sums", F.lit(0.0), lambda acc, e: acc + e["v"] * weights[e["id"]])
     w = F.lit(f.lam) / (1 + F.col("n") * F.lit(f.lam))
     effects = sums.select(design.group, (w * r).alias("_u"))
-    out = salted_join(df, effects, [design.group], "left", resolve(df, [design.group], hot))
+    out = salted_join(df, effects, [design.group], "left", hot)
     out = out.withColumn("fitted", design.linear(f.coefficients) + F.col("_u")).drop("_u")
     return out.withColumn("residual", F.col(design.response) - F.col("fitted"))
 

@@ -18,7 +18,7 @@ def group_attach(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
     partial sums on the map side, and joined back with the hot keys salted.
     """
     by = list(by)
-    hot = resolve(df, by, hot)
+    df, hot = resolve(df, by, hot)
     if hot is None:
         w = Window.partitionBy(*by)
         return df.withColumns({n: c.over(w) for n, c in aggs.items()})

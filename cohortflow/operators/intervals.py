@@ -6,13 +6,13 @@ Intervals are matched half-open, ``(start, end]``. Times are doubles in hours.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .scan import Lag, Lead, MaxBefore, SumTo, scan
-from .skew import AUTO, HotGroups, spread
+from .skew import AUTO, HotGroups
 
 # Widths in hours of the time blocks: an interval goes to the narrowest width that is not below its length, so it meets
 # at most two blocks unless it is longer than the widest one.
@@ -32,7 +32,11 @@ def interval_join(points: DataFrame, intervals: DataFrame, by: Sequence[str], t:
     Of a block with many points times intervals the points are spread over salts.
     """
     cells = [*by, "_tier", "_block"]
-    p, i = _blocked(points, intervals.where(F.col(start) < F.col(end)), t, start, end)
+    # both sides are counted and joined: they are stored, so that what makes them runs once
+    points = points.where(F.col(t).isNotNull())
+    stored = cut(points.withColumn("_spread", F.xxhash64(*points.columns, F.monotonically_increasing_id())))
+    intervals = cut(intervals.where(F.col(start) < F.col(end)).withColumn("_tier", _tier(start, end)))
+    p, i = _blocked(stored, intervals, t, start, end)
     limit = float(points.sparkSession.conf.get(CELL_PAIRS, str(DEFAULT_CELL_PAIRS)))
     pairs = p.groupBy(*cells).agg(F.count(F.lit(1)).alias("_p")).join(
         i.groupBy(*cells).agg(F.count(F.lit(1)).alias("_i")), cells)
@@ -47,20 +51,21 @@ def interval_join(points: DataFrame, intervals: DataFrame, by: Sequence[str], t:
 
 
 def _blocked(points: DataFrame, intervals: DataFrame, t: str, start: str, end: str) -> tuple[DataFrame, DataFrame]:
-    """Points in their block of every width, intervals in the blocks of their own width."""
-    def cell(tier: int, block: Column) -> Column:
-        return F.struct(F.lit(tier).alias("tier"), block.cast("long").alias("block"))
-
-    flat = [F.col("_cell.tier").alias("_tier"), F.col("_cell.block").alias("_block")]
-    at = F.array(*[cell(k, F.floor(F.col(t) / w)) for k, w in enumerate(BLOCK_HOURS)])
-    p = points.where(F.col(t).isNotNull()).withColumn("_spread", spread(points)).withColumn("_cell", F.explode(at))
-    span = None
-    for k, w in enumerate(BLOCK_HOURS):
-        cells = F.transform(F.sequence(F.floor(F.col(start) / w), F.floor(F.col(end) / w)), partial(cell, k))
-        fits = F.lit(True) if k == len(BLOCK_HOURS) - 1 else (F.col(end) - F.col(start) <= w)
-        span = F.when(fits, cells) if span is None else span.when(fits, cells)
-    i = intervals.withColumn("_cell", F.explode(span))
-    return p.select(*points.columns, "_spread", *flat), i.select(*intervals.columns, *flat)
+    """Points in their block of every width that an interval has, intervals in the blocks of their own width."""
+    used = sorted(r[0] for r in intervals.select("_tier").distinct().collect()) or [0]  # three rows at most
+    at = F.array(*[F.struct(F.lit(k).alias("tier"), F.floor(F.col(t) / BLOCK_HOURS[k]).alias("block")) for k in used])
+    p = points.withColumn("_cell", F.explode(at))
+    width = F.element_at(F.array(*[F.lit(w) for w in BLOCK_HOURS]), F.col("_tier") + 1)
+    i = intervals.withColumn("_block", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    return p.select(*points.columns, F.col("_cell.tier").alias("_tier"), F.col("_cell.block").alias("_block")), i
+
+
+def _tier(start: str, end: str) -> Column:
+    """Number of the narrowest width that isn't below the interval's length, else of the widest."""
+    out = F.lit(len(BLOCK_HOURS) - 1)
+    for k in reversed(range(len(BLOCK_HOURS) - 1)):
+        out = F.when(F.col(end) - F.col(start) <= BLOCK_HOURS[k], k).otherwise(out)
+    return out
 
 
 def exposure_at(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, start: str, end: str,

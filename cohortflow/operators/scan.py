@@ -107,7 +107,7 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], *stages: Stage,
     to be unique in a group for a repeatable result.
     """
     by, order = list(by), list(order)
-    hot = resolve(df, by, hot)
+    df, hot = resolve(df, by, hot)
     if hot is None:
         return _windowed(df, by, order, stages)
     cold, heavy = split_hot(df, hot)

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 HOT_ROWS = "spark.cohortflow.hotRows"
 DEFAULT_HOT_ROWS = 5_000_000
 
@@ -51,9 +53,13 @@ def hot_groups(df: DataFrame, by: Sequence[str], key: Sequence[Column] | None =
     return HotGroups(tuple(by), tuple(rows), counts.schema, limit) if rows else None
 
 
-def resolve(df: DataFrame, by: Sequence[str], hot: HotGroups | None | str) -> HotGroups | None:
-    """The given list, or a fresh one when ``hot`` is ``"auto"``."""
-    return hot_groups(df, by) if isinstance(hot, str) else hot
+def resolve(df: DataFrame, by: Sequence[str], hot: HotGroups | None | str) -> tuple[DataFrame, HotGroups | None]:
+    """``df`` and the given list. When ``hot`` is ``"auto"``, the rows are stored first and counted there, so that
+    what makes them runs once; the count reads only the keys."""
+    if not isinstance(hot, str):
+        return df, hot
+    df = cut(df)
+    return df, hot_groups(df, by)
 
 
 def merge(a: HotGroups | None, b: HotGroups | None) -> HotGroups | None:
@@ -97,7 +103,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     ``null_safe`` a null key matches a null key.
     """
     on = list(on)
-    hot = resolve(left, on, hot)
+    left, hot = resolve(left, on, hot)
     if hot is None:
         return _join(left, right, on, how, null_safe)
     parts = F.ceil(F.coalesce(F.col("_n"), F.lit(1)) / F.lit(float(hot.limit))).cast("long")

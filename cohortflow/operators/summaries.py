@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..models.tails import t_quantile
+from ..functions.aggregates import t_quantile
 from .groups import group_attach
 from .scan import SumTo, scan
 from .skew import AUTO, HotGroups, resolve, salted_join
@@ -63,7 +62,7 @@ def quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] =
     keys = list(by) or ["_all"]
     if not by:
         df = df.withColumn("_all", F.lit(0))
-    hot = resolve(df, keys, hot)
+    df, hot = resolve(df, keys, hot)
     names = [quantile_name(p) for p in probs]
     if hot is None:
         out = df.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
@@ -132,12 +131,8 @@ def mean_sd(df: DataFrame, by: str, c: str) -> DataFrame:
 
 
 def mean_ci(df: DataFrame, by: str, c: str, level: float = 0.95) -> DataFrame:
-    """``mean_sd`` with a t interval. The t quantile is looked up on the result rows only."""
-    @F.pandas_udf("double")
-    def t_value(n: pd.Series) -> pd.Series:
-        return n.map(lambda k: t_quantile((1 + level) / 2, k - 1))
-
-    out = mean_sd(df, by, c).withColumn("_half", t_value("n") * F.col("se"))
+    """``mean_sd`` with a t interval; a group of one row has none."""
+    out = mean_sd(df, by, c).withColumn("_half", t_quantile(F.col("n") - 1, level) * F.col("se"))
     return out.withColumns({"lower": F.col("mean") - F.col("_half"), "upper": F.col("mean") + F.col("_half")}).drop("_half")
 
 

@@ -149,9 +149,9 @@ class Study:
     def measurement_flow(self) -> DataFrame:
         return cohort.measurement_flow(self.raw, self.valid, self.exposed, self.fed_stays, measurements.invalid())
 
-    def write(self, root: str, fmt: str = "parquet") -> None:
-        """The study's nine result tables under ``root``."""
-        outputs = {
+    def outputs(self) -> dict[str, DataFrame]:
+        """The study's nine result tables."""
+        return {
             "subject_flow": self.subject_flow(),
             "measurement_flow": self.measurement_flow(),
             "included_ids": included_ids(self.fed),
@@ -163,5 +163,8 @@ class Study:
             "glucocorticoid_administrations": self.exposures.select(
                 "stay_id", "time_seq", "cort_interval_starttime_seq", "cort_interval_endtime_seq").na.drop().distinct(),
         }
-        for name, df in outputs.items():
+
+    def write(self, root: str, fmt: str = "parquet") -> None:
+        """The nine result tables under ``root``."""
+        for name, df in self.outputs().items():
             write_table(df, f"{root}/{name}", fmt)
