@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import uuid
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..models import mixed, trees
 from ..operators import summaries
 from ..plans import descriptives, exposures
 from ..plans import models as M
-from ..session import cut
-from .registry import query, r, rounded, sel, study
+from ..session import checkpoint_root, cut
+from . import steps  # noqa: F401  (its texts are used here)
+from .registry import REGISTRY, query, r, rounded, sel, study
 from .views import VENT_CLASS, cut_sql
 
 
@@ -160,7 +168,26 @@ def normalized_profile(spark, d):
     return rounded(descriptives.normalized_profile(table(spark, d)))
 
 
-@query("normalized_profile_ci")
+# P(|T| <= t) is the share of the integral of cos(a)^(df - 1) up to atan(t / sqrt(df)): Simpson's rule on 400 steps, halved 45 times
+PROFILE = "FROM (SELECT time_hbin, glucose_value_mmolL - AVG(glucose_value_mmolL) OVER (PARTITION BY stay_id) AS x FROM study) GROUP BY time_hbin"
+
+
+@query("normalized_profile_ci", f"""
+SELECT * FROM (
+WITH RECURSIVE s AS (SELECT time_hbin, COUNT(x) AS n, AVG(x) AS mean, STDDEV_SAMP(x) AS sd, STDDEV_SAMP(x) / SQRT(COUNT(x)) AS se {PROFILE}),
+grid AS (SELECT k, CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, 401) g(k)),
+whole AS (SELECT n, SUM(w * POW(COS(k / 400.0 * PI() / 2), n - 2)) * PI() / 2 AS total
+          FROM (SELECT DISTINCT n FROM s WHERE n > 1), grid GROUP BY n),
+halved(n, total, lo, hi, step) AS (
+    SELECT n, total, 0e0, PI() / 2, 0 FROM whole
+    UNION ALL
+    SELECT n, total, CASE WHEN part < 0.95 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN part < 0.95 THEN hi ELSE (lo + hi) / 2 END, step + 1
+    FROM (SELECT h.n, h.total, h.lo, h.hi, h.step,
+                 SUM(w * POW(COS(k / 400.0 * (lo + hi) / 2), h.n - 2)) * (lo + hi) / 2 / h.total AS part
+          FROM halved h, grid WHERE h.step < 45 GROUP BY h.n, h.total, h.lo, h.hi, h.step)),
+t AS (SELECT n, SQRT(n - 1) * TAN((lo + hi) / 2) AS t FROM halved WHERE step = 45)
+SELECT time_hbin, s.n, {sel('~mean, ~sd, ~se, ~mean - t * se AS lower, ~mean + t * se AS upper')}
+FROM s LEFT JOIN t ON t.n = s.n)""")
 def normalized_profile_ci(spark, d):
     return rounded(descriptives.normalized_profile(table(spark, d), ci=True))
 
@@ -345,11 +372,56 @@ def subgroup_marginal_means(spark, d):
     return mixed.marginal_means(spark, M.subgroup_fits(table(spark, d)), "time_hbin")
 
 
+@query("subgroup_value_positions", f"""
+, m AS (SELECT SPLIT_PART(subgroup, ' | ', 1) AS family, SPLIT_PART(subgroup, ' | ', 2) AS name, AVG(mean) AS mean
+           FROM (SELECT subgroup, time_hbin, AVG(glucose_value_mmolL) AS mean FROM ({SUBGROUP_SQL}) GROUP BY subgroup, time_hbin)
+           GROUP BY subgroup)
+SELECT family, name, {sel('~mean')}, CASE WHEN mean = MAX(mean) OVER (PARTITION BY family) THEN 'max'
+       WHEN mean = MIN(mean) OVER (PARTITION BY family) THEN 'min' ELSE 'mid' END AS position FROM m""")
+def subgroup_value_positions(spark, d):
+    """Label positions from the plain means of each subgroup and hour."""
+    rows = M.with_subgroups(table(spark, d))
+    return rounded(M.label_positions(rows.groupBy("subgroup", "time_hbin").agg(F.avg("glucose_value_mmolL").alias("emmean"))))
+
+
 @query("subgroup_label_positions")
 def subgroup_label_positions(spark, d):
     return M.label_positions(subgroup_marginal_means(spark, d))
 
 
+# the study's own outputs
+
+def _output_sql(name: str, sql: str, stays: bool = True) -> str:
+    if sql.strip().startswith(","):  # goes on with the list of views
+        sql = "WITH zero AS (SELECT 0) " + sql
+    return f"SELECT '{name}' AS output, COUNT(*) AS n, {'COUNT(DISTINCT stay_id)' if stays else 'CAST(NULL AS BIGINT)'} AS stays FROM ({sql})"
+
+
+@query("study_outputs", " UNION ALL ".join([
+    _output_sql("subject_flow", REGISTRY["subject_flow"].sql, False),
+    _output_sql("measurement_flow", REGISTRY["measurement_flow"].sql, False),
+    _output_sql("included_ids", REGISTRY["included_ids"].sql),
+    _output_sql("measurements_with_covariates", "SELECT * FROM study"),
+    _output_sql("insulin_administrations", "SELECT * FROM insulin WHERE stay_id IN (SELECT stay_id FROM fed)"),
+    _output_sql("dextrose_administrations", "SELECT * FROM dextrose WHERE stay_id IN (SELECT stay_id FROM fed)"),
+    _output_sql("enteral_feeding", "SELECT * FROM enteral"),
+    _output_sql("all_measurements", "SELECT * FROM measured"),
+    _output_sql("glucocorticoid_administrations", """SELECT DISTINCT stay_id, time_seq, cort_interval_starttime_seq, cort_interval_endtime_seq
+        FROM study WHERE cort_interval_starttime_seq IS NOT NULL AND cort_interval_endtime_seq IS NOT NULL"""),
+]))
+def study_outputs(spark, d):
+    """Writes the nine result tables to the shared folder, reads them back and counts."""
+    root = f"{checkpoint_root(spark)}/outputs-{uuid.uuid4().hex}"
+    s = study(spark, d)
+    s.write(root)
+    parts = []
+    for name in s.outputs():
+        df = spark.read.parquet(f"{root}/{name}")
+        stays = F.count_distinct("stay_id") if "stay_id" in df.columns else F.lit(None).cast("long")
+        parts.append(df.agg(F.count(F.lit(1)).alias("n"), stays.alias("stays")).select(F.lit(name).alias("output"), "n", "stays"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # boosted trees
 
 LEVELS = {"sex": ("F", "M"), "diabetes_status": ("n", "y"), "glucocorticoid_yn": ("n", "y")}
@@ -387,6 +459,77 @@ def _shap(spark, d):
     return trees.tree_shap(model, trees.shap_sample(df), names), names
 
 
+# A small tree that is given, not fitted: nodes as (id, left, right, feature, threshold, rows, value)
+GIVEN_FEATURES = ("time_dec", "age", "rate_nut_cho", "diabetes_status_y")
+GIVEN_TREE = (
+    (0, 1, 4, 0, 12.0, 100.0, 0.0), (1, 2, 3, 1, 60.0, 60.0, 0.0), (2, -1, -1, -1, 0.0, 25.0, 7.0), (3, 9, 10, 3, 0.5, 35.0, 0.0),
+    (4, 5, 6, 2, 5.0, 40.0, 0.0), (5, 7, 8, 1, 70.0, 30.0, 0.0), (6, -1, -1, -1, 0.0, 10.0, 10.0), (7, 11, 12, 0, 18.0, 10.0, 0.0),
+    (8, -1, -1, -1, 0.0, 20.0, 6.5), (9, -1, -1, -1, 0.0, 20.0, 8.0), (10, -1, -1, -1, 0.0, 15.0, 8.75), (11, -1, -1, -1, 0.0, 4.0, 9.0),
+    (12, -1, -1, -1, 0.0, 6.0, 9.5))
+
+
+def _game_sql(known: tuple[int, ...], node: int = 0) -> str:
+    """Expected value of the given tree when only the ``known`` features are known, as SQL."""
+    _, left, right, feature, threshold, rows, value = GIVEN_TREE[node]
+    if left < 0:
+        return f"{value!r}::DOUBLE"
+    a, b = _game_sql(known, left), _game_sql(known, right)
+    if feature in known:
+        return f"CASE WHEN {GIVEN_FEATURES[feature]} <= {threshold!r} THEN {a} ELSE {b} END"
+    return f"({GIVEN_TREE[left][5] / rows!r}::DOUBLE * ({a}) + {GIVEN_TREE[right][5] / rows!r}::DOUBLE * ({b}))"
+
+
+def _shapley_sql(j: int) -> str:
+    """Sum over all coalitions without feature ``j`` of their weight times what it adds."""
+    others = [k for k in range(len(GIVEN_FEATURES)) if k != j]
+    return " + ".join(
+        f"{math.factorial(size) * math.factorial(len(others) - size) / math.factorial(len(others) + 1)!r}::DOUBLE"
+        f" * (({_game_sql((*c, j))}) - ({_game_sql(c)}))"
+        for size in range(len(others) + 1) for c in itertools.combinations(others, size))
+
+
+GIVEN_ROWS = """(SELECT *, CASE WHEN diabetes_status = 'y' THEN 1e0 ELSE 0e0 END AS diabetes_status_y FROM study
+      WHERE glucose_value_mmolL IS NOT NULL AND time_dec IS NOT NULL AND age IS NOT NULL AND rate_nut_cho IS NOT NULL)"""
+GIVEN_LABELS = {"time_dec": "Time", "age": "Age", "rate_nut_cho": "Carbohydrate administration rate", "diabetes_status_y": "Diabetes"}
+
+
+def _given_nodes() -> pd.DataFrame:
+    return pd.DataFrame([(0, *x) for x in GIVEN_TREE], columns=["treeID", "id", "left", "right", "feature", "threshold", "cover", "value"])
+
+
+def _given_shap(spark, d):
+    return trees.tree_shap(_given_nodes(), trees.feature_table(table(spark, d), levels=LEVELS)[0], GIVEN_FEATURES)
+
+
+@query("shap_given_tree", f"""
+SELECT stay_id, {sel('~time_seq')}, {', '.join(f"{r(_shapley_sql(k))} AS shap_{n}" for k, n in enumerate(GIVEN_FEATURES))}
+FROM {GIVEN_ROWS}""")
+def shap_given_tree(spark, d):
+    return rounded(_given_shap(spark, d).select("stay_id", "time_seq", *[f"shap_{n}" for n in GIVEN_FEATURES]))
+
+
+@query("shap_given_importance", " UNION ALL ".join(
+    f"SELECT '{n}' AS feature, '{GIVEN_LABELS[n]}' AS label, {r(f'AVG(ABS({_shapley_sql(k)}))')} AS mean_abs_shap FROM {GIVEN_ROWS}"
+    for k, n in enumerate(GIVEN_FEATURES)))
+def shap_given_importance(spark, d):
+    return rounded(trees.shap_importance(_given_shap(spark, d), GIVEN_FEATURES))
+
+
+@query("shap_given_dependence", " UNION ALL ".join(
+    f"SELECT stay_id, {r('time_seq')} AS time_seq, '{n}' AS feature, '{GIVEN_LABELS[n]}' AS label, {r(f'CAST({n} AS DOUBLE)')} AS value, "
+    f"{r(_shapley_sql(k))} AS shap FROM {GIVEN_ROWS}" for k, n in enumerate(GIVEN_FEATURES) if n in ("age", "rate_nut_cho")))
+def shap_given_dependence(spark, d):
+    return rounded(trees.shap_dependence(_given_shap(spark, d), GIVEN_FEATURES, only=["age", "rate_nut_cho"]))
+
+
+@query("given_tree_rmse", f"""
+SELECT COUNT(*) AS n, {r(f'SQRT(AVG(POW(glucose_value_mmolL - ({_game_sql(tuple(range(len(GIVEN_FEATURES))))}), 2)))')} AS rmse
+FROM {GIVEN_ROWS}""")
+def given_tree_rmse(spark, d):
+    df = trees.feature_table(table(spark, d), levels=LEVELS)[0]
+    return rounded(trees.train_rmse(df.withColumn("prediction", trees.forest_column(_given_nodes(), GIVEN_FEATURES))))
+
+
 @query("shap_importance")
 def shap_importance(spark, d):
     return trees.shap_importance(*_shap(spark, d))

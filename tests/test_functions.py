@@ -187,3 +187,27 @@ def test_merge_is_idempotent(spark):
     assert rows(intervals.merge_intervals(once.drop("interval_no"), ["g"], "s", "e")) == rows(once)
     covered = intervals.interval_hours(df, "s", "e", "floor").select("g", "time_seq").distinct().count()
     assert once.agg(F.sum(F.col("e") - F.col("s"))).collect()[0][0] == covered
+
+
+def test_t_quantile_column_equals_its_tail(spark):
+    """Few degrees of freedom from the series, many from the expansion, none below one."""
+    from cohortflow.functions.aggregates import T_SERIES, t_quantile
+    from cohortflow.models import tails
+
+    known = [1, 2, 3, 4, 7, 30, 31, T_SERIES - 1, T_SERIES, T_SERIES + 1, 1000, 10**9]
+    df = spark.createDataFrame([(k,) for k in [0, *known]] + [(None,)], "k long")
+    for level in (0.5, 0.95, 0.999):
+        got = {r["k"]: r["t"] for r in df.select("k", t_quantile(F.col("k"), level).alias("t")).collect()}
+        assert got[0] is None and got[None] is None
+        for k in known:
+            assert got[k] == pytest.approx(tails.t_quantile((1 + level) / 2, k), rel=1e-8)
+
+
+def test_prefixes_of_several_lengths(spark):
+    codes = ["250", "2501", "25", "E10", "E101", "xE10", "", None, "E1"]
+    df = spark.createDataFrame([(c,) for c in codes], "c string")
+    from cohortflow.functions.predicates import has_prefix
+
+    for prefixes in (["2501", "E10"], ["25", "250", "E101"], [], [""]):
+        got = [r[0] for r in df.select(has_prefix(F.col("c"), prefixes)).collect()]
+        assert got == [c is not None and any(c.startswith(p) for p in prefixes) for c in codes]

@@ -15,11 +15,12 @@ ratios = st.lists(st.floats(0.01, 1.0), min_size=1, max_size=5)
 
 @given(ratios, st.floats(-10, 10))
 def test_leaf_values_add_up(z, value):
-    leaf = trees._leaf({f: (0.0, 1.0, r) for f, r in enumerate(z)}, value)
-    assert leaf.base == pytest.approx(value * np.prod(z))
-    for code, bits in enumerate(itertools.product((0, 1), repeat=len(z))):
-        met = [(code >> j) & 1 for j in range(len(z))]
-        assert leaf.base + leaf.table[code].sum() == pytest.approx(value * np.prod(met), abs=1e-9)
+    k = len(z)
+    path = trees.Path(np.arange(k), np.zeros(k), np.ones(k), np.array(z), value)
+    bits = np.array(list(itertools.product((0.5, 2.0), repeat=k)))  # inside and outside of (0, 1]
+    phi = trees.shap_matrix(bits, [path])
+    want = value * (bits < 1).all(axis=1)
+    assert value * np.prod(z) + phi.sum(1) == pytest.approx(want, abs=1e-9)
 
 
 @given(st.integers(0, 10_000), st.integers(2, 6))
