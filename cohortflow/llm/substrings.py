@@ -42,7 +42,8 @@ FLUSH = 1_500_000  # counts, or windows, that a task holds before it passes them
 MEMO = 150_000  # words that a worker remembers hashes of
 SLICE = 1 << 20  # bytes of text worked on at once, or one text
 
-SIGN = 0x7FFFFFFF  # the part of a window's hash that returns with its start
+SIGN_BITS = 16  # of a window's hash return with its start, should two texts of one id share their hash
+SIGN = (1 << SIGN_BITS) - 1
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd multipliers
 _S32 = np.uint64(32)
@@ -248,18 +249,20 @@ def flagged(part: Part, bitmap: np.ndarray, bits: int) -> np.ndarray:
 
 
 def first_starts(folder: str, window: int, gram: int, bits: int, rows: int):
-    """Rows (k1, k2, missing, doc_id, version, start): of the windows let through, the first of each that a task holds at once."""
+    """Rows (k1, k2, doc, place): of the windows let through, the first of each that a task holds at once.
+
+    ``doc`` is the id and ``place`` the text's hash and the start, both inverted: the greatest is the first, null after all.
+    """
     def passed_on(held: list[tuple]) -> pa.RecordBatch:
-        k1, k2, missing, doc_id, version, start = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((start, version, doc_id, missing, k2, k1))
+        k1, k2, missing, doc_id, place = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((place, doc_id, missing, k2, k1))
         k1, k2 = k1[order], k2[order]
         head = np.ones(len(order), bool)
         head[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
         take = order[head]
         return pa.RecordBatch.from_arrays(
-            [pa.array(k1[head].view(np.int64)), pa.array(k2[head].view(np.int64)), pa.array(missing[take]),
-             pa.array(doc_id[take]), pa.array(version[take]), pa.array(start[take])],
-            names=["k1", "k2", "missing", "doc_id", "version", "start"])
+            [pa.array(k1[head].view(np.int64)), pa.array(k2[head].view(np.int64)), pa.array(~doc_id[take], mask=missing[take]),
+             pa.array(~place[take])], names=["k1", "k2", "doc", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, memo, held, n = load(folder, bits, rows), Words(), [], 0
@@ -270,7 +273,8 @@ def first_starts(folder: str, window: int, gram: int, bits: int, rows: int):
                 use = flagged(part, bitmap, bits)
                 doc = part.doc[use]
                 held.append((part.keys[0][use], part.keys[1][use], ids.is_null().to_numpy(zero_copy_only=False)[doc],
-                             ids.fill_null(0).to_numpy()[doc], version.to_numpy()[doc], (part.at[use] - part.begins[doc]).astype(np.int32)))
+                             ids.fill_null(0).to_numpy()[doc],
+                             version.to_numpy().astype(np.int64)[doc] << 32 | part.at[use] - part.begins[doc]))
                 n += len(doc)
                 if n > FLUSH:
                     yield passed_on(held)
@@ -312,10 +316,10 @@ def cleaned(folder: str, window: int, gram: int, bits: int, rows: int):
                 part = Part(texts, memo, window, gram)
                 lists = some.column("firsts")
                 sizes = lists.value_lengths().fill_null(0).to_numpy()
-                inner = lists.flatten()
+                inner = lists.flatten().to_numpy()
                 doc = np.repeat(np.arange(len(texts)), sizes)
-                gone = repeats(part, flagged(part, bitmap, bits), doc, inner.field("start").to_numpy(),
-                               inner.field("sign").to_numpy())
+                gone = repeats(part, flagged(part, bitmap, bits), doc,
+                               inner >> SIGN_BITS, inner & SIGN)
                 kept, removed = [], []
                 for words, begin, end in zip(part.words, part.begins.tolist(), part.ends.tolist()):
                     mask = gone[begin:end]
@@ -347,10 +351,12 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", win
     settings = (window, gram, bits, rows)
     folder = sketch(texts, window=window, gram=gram, bits=bits, rows=rows)
     through = texts.mapInArrow(first_starts(folder, *settings),
-                               "k1 long, k2 long, missing boolean, doc_id long, version int, start int")
-    first = through.groupBy("k1", "k2").agg(F.min(F.struct("missing", "doc_id", "version", "start")).alias("f"))
-    back = first.groupBy(F.when(~F.col("f.missing"), F.col("f.doc_id")).alias("of"), F.col("f.version").alias("at")).agg(
-        F.collect_list(F.struct("f.start", F.col("k1").bitwiseAND(SIGN).cast("int").alias("sign"))).alias("firsts"))  # at most one per window of a document
+                               "k1 long, k2 long, doc long, place long")
+    first = through.groupBy("k1", "k2").agg(F.max(F.struct("doc", "place")).alias("f"))
+    place = F.bitwise_not("f.place")
+    start = F.shiftleft(place.bitwiseAND(0x7FFFFFFF), SIGN_BITS).bitwiseOR(F.col("k1").bitwiseAND(SIGN))
+    back = first.groupBy(F.bitwise_not("f.doc").alias("of"), F.shiftright(place, 32).cast("int").alias("at")).agg(
+        F.collect_list(start).alias("firsts"))  # at most one per window of a document
     own = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("at"))
     joined = texts.join(back, own, "left").select("doc_id", "text", "firsts")
     return joined.mapInArrow(cleaned(folder, *settings), "doc_id long, n_words long, n_removed long, kept string")
