@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..models import mixed, trees
+from ..models import boosting, mixed, trees
 from ..operators import summaries
 from ..plans import descriptives, exposures
 from ..plans import models as M
@@ -449,8 +449,36 @@ def gbt_score(spark, d):
 
 @query("gbt_tune")
 def gbt_tune(spark, d):
+    """The whole grid in five folds; all its models grow together."""
     df, names = _features(spark, d)
-    return trees.tuning_table(trees.tune(df, names), df)
+    return boosting.tuning_table(boosting.tune(df, names))
+
+
+FLAGS = ("sex_M", "diabetes_status_y", "glucocorticoid_yn_y")
+STUMP = {"max_depth": (1,), "eta": (1.0,), "n_estimators": (1,), "min_child_weight": (5,), "subsample": (1.0,), "colsample_bytree": (1.0,)}
+
+
+@query("gbt_stump_folds", f""", flagged AS (
+    SELECT CAST(stay_id % 5 AS INTEGER) AS fold, ROUND_EVEN(glucose_value_mmolL * {boosting.SCALE}, 0) AS y, [
+           CASE WHEN sex = 'M' THEN 1 ELSE 0 END, CASE WHEN diabetes_status = 'y' THEN 1 ELSE 0 END,
+           CASE WHEN glucocorticoid_yn = 'y' THEN 1 ELSE 0 END] AS flags
+    FROM study WHERE glucose_value_mmolL IS NOT NULL AND time_dec IS NOT NULL AND age IS NOT NULL AND rate_nut_cho IS NOT NULL),
+models AS (SELECT CAST(k AS INTEGER) AS k FROM RANGE(5) t(k)),
+cells AS (SELECT k, f, SUM(y - {boosting.SCALE * boosting.BASE}) AS g, COUNT(*) AS n,
+                 COALESCE(SUM(y - {boosting.SCALE * boosting.BASE}) FILTER (flags[f] = 0), 0) AS gl, COUNT(*) FILTER (flags[f] = 0) AS nl
+          FROM flagged, models, RANGE(1, 4) t(f) WHERE fold <> k GROUP BY k, f),
+gains AS (SELECT *, CASE WHEN nl >= 5 AND n - nl >= 5
+                         THEN gl * gl / (nl + 1.0) + (g - gl) * (g - gl) / (n - nl + 1.0) - g * g / (n + 1.0) ELSE 0.0 END AS gain FROM cells),
+best AS (SELECT * FROM gains QUALIFY ROW_NUMBER() OVER (PARTITION BY k ORDER BY gain DESC, f) = 1)
+SELECT k AS fold, COUNT(*) AS n, {r(f"""SQRT(AVG(POW(y / {boosting.SCALE} - {boosting.BASE} - (CASE
+           WHEN gain <= {boosting.LEAST_GAIN} THEN g / (n + 1.0) WHEN flags[f] = 0 THEN gl / (nl + 1.0)
+           ELSE (g - gl) / (n - nl + 1.0) END) / {boosting.SCALE}, 2)))""")} AS rmse
+FROM flagged JOIN best ON fold = k GROUP BY k""")
+def gbt_stump_folds(spark, d):
+    """Held-out error, by fold of stays, of one tree with one split on the 0/1 features."""
+    df, _ = _features(spark, d)
+    found = boosting.tune(df, FLAGS, STUMP, fold=F.col("stay_id") % 5)
+    return rounded(found.where("n > 0").select("fold", "n", "rmse"))
 
 
 def _shap(spark, d):

@@ -51,3 +51,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def uncut(df: DataFrame) -> None:
+    """Delete the files of a table that `cut` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    root = checkpoint_root(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not folder.rsplit("/", 1)[-1].startswith("table-"):
+            raise ValueError(f"not a stored table: {folder}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder.rsplit('/', 1)[-1]}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
