@@ -1,13 +1,16 @@
-"""Group values on rows, first rows of a key, rows at a group extreme."""
+"""Group values on rows, texts of a group in order, first rows of a key, rows at a group extreme."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import AUTO, HotGroups, resolve, salted_join
+from ..functions.aggregates import paste
+from ..session import cut
+from .skew import AUTO, HotGroups, resolve, salted_join, split_hot
 
 
 def group_attach(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column],
@@ -40,6 +43,25 @@ def keep_groups_all(df: DataFrame, by: Sequence[str], cond: Column,
     return out.where("_all").drop("_ok", "_all")
 
 
+def paste_groups(df: DataFrame, by: Sequence[str], c: str, order: Sequence[str], name: str, sep: str = "_",
+                 hot: HotGroups | None | str = AUTO) -> DataFrame:
+    """One row per group: its texts joined in ``order``, a null written as NA; rows of equal order go by their text.
+
+    A hot group is dealt by range into segments, each of which is joined by itself; its last task gets one text per segment
+    instead of all rows. Equal places never lie in two segments.
+    """
+    by, order = list(by), list(order)
+    df, hot = resolve(df.select(*dict.fromkeys([*by, c, *order])), by, hot)
+    if hot is None:
+        return df.groupBy(*by).agg(paste(F.col(c), F.struct(*order), sep).alias(name))
+    cold, heavy = split_hot(df, hot)
+    parts = max(2, math.ceil(hot.total / hot.limit))
+    heavy = cut(heavy.repartitionByRange(parts, *by, *order).withColumn("_seg", F.spark_partition_id()))
+    segments = heavy.groupBy(*by, "_seg").agg(paste(F.col(c), F.struct(*order), sep).alias("_text"))
+    whole = segments.groupBy(*by).agg(paste(F.col("_text"), F.col("_seg"), sep).alias(name))
+    return paste_groups(cold, by, c, order, name, sep, None).unionByName(whole)
+
+
 def keep_group_min(df: DataFrame, by: Sequence[str], c: str) -> DataFrame:
     """Rows at the smallest value of their group, ties kept.
 

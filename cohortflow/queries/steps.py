@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock, predicates
-from ..functions.aggregates import mean_strict, paste, sum_strict
+from ..functions.aggregates import mean_strict, sum_strict
 from ..functions.categories import cut, glucose_mmol
 from ..operators import groups, intervals, summaries
 from ..plans import attributes, exposures, measurements, nutrition
@@ -217,8 +217,7 @@ def sum_strict_query(spark, d):
 @query("paste_agg", """
 SELECT stay_id, STRING_AGG(COALESCE(rateuom, 'NA'), '_' ORDER BY starttime, event_id) AS units FROM inputevents GROUP BY stay_id""")
 def paste_agg(spark, d):
-    return tables(spark, d)["inputevents"].groupBy("stay_id").agg(
-        paste(F.col("rateuom"), F.struct("starttime", "event_id")).alias("units"))
+    return groups.paste_groups(tables(spark, d)["inputevents"], ["stay_id"], "rateuom", ["starttime", "event_id"], "units")
 
 
 @query("dedupe_preferred", f"""

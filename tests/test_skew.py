@@ -113,6 +113,14 @@ def test_group_attach_null_group(points, hot):
     both(hot, lambda: groups.group_attach(some, ["g"], {"n": F.count("v"), "top": F.max("t")}))
 
 
+def test_paste_groups(points, hot):
+    """Order with many ties and nulls, a null group, and texts that hold the separator."""
+    some = points.select(F.when(F.col("g") != 0, F.col("g")).alias("g"), F.when(F.col("t") > 20, F.col("t")).alias("t"),
+                         F.concat(F.col("v").cast("string"), F.lit("_")).alias("x"))
+    both(hot, lambda: groups.paste_groups(some, ["g"], "x", ["t"], "all"))
+    both(hot, lambda: groups.paste_groups(points, ["g"], "v", ["t", "event"], "all", sep=""))
+
+
 def test_keep_groups_all(points, hot):
     both(hot, lambda: groups.keep_groups_all(points, ["g"], F.col("t") < 400.05))
 
