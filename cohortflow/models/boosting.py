@@ -92,14 +92,12 @@ def binned(df: DataFrame, names: Sequence[str], fold: Column, keys: Sequence[str
                                                                     for j in range(len(names))]))
 
 
-def node_splits(bins: np.ndarray, g: np.ndarray, at: np.ndarray, n: np.ndarray, total: np.ndarray, least: int,
+def node_splits(order: np.ndarray, bins: np.ndarray, g: np.ndarray, at: np.ndarray, n: np.ndarray, total: np.ndarray, least: int,
                 columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best feature and bin of every node (feature -1 where no split gains); rows lie in ``bins`` by column."""
-    key = at * WIDTH + bins
-    order = np.argsort(key, axis=1, kind="stable")
-    key = np.take_along_axis(key, order, 1)
+    """Best feature and bin of every node (feature -1 where no split gains); ``order`` lists the rows by node and bin, per column."""
+    key = at[order] * WIDTH + np.take_along_axis(bins, order, 1)
     start = np.cumsum(n) - n
-    node, place = np.repeat(np.arange(len(n)), n), np.arange(len(at))
+    node, place = np.repeat(np.arange(len(n)), n), np.arange(order.shape[1])
     size, whole = n[node].astype(float), total[node]
     gl = np.cumsum(g[order], axis=1) - (np.cumsum(total) - total)[node]
     nl = place + 1.0 - start[node]
@@ -111,27 +109,37 @@ def node_splits(bins: np.ndarray, g: np.ndarray, at: np.ndarray, n: np.ndarray,
     best = np.maximum.reduceat(gain, start, axis=1)
     chosen = best.argmax(0)
     top = best[chosen, np.arange(len(n))]
-    first = np.minimum.reduceat(np.where(gain[chosen[node], place] == top[node], place, len(at) - 1), start)
+    first = np.minimum.reduceat(np.where(gain[chosen[node], place] == top[node], place, len(place) - 1), start)
     return np.where(top > LEAST_GAIN, columns[chosen], -1), key[chosen, first] % WIDTH
 
 
+def by_node(order: np.ndarray, at: np.ndarray, nodes: int) -> np.ndarray:
+    """``order`` sorted by node, otherwise as it was; small numbers are sorted by their digits."""
+    at = at[order].astype(np.uint16 if nodes <= 1 << 16 else np.int64)
+    return np.take_along_axis(order, np.argsort(at, axis=1, kind="stable"), 1)
+
+
 def grow(bins: np.ndarray, g: np.ndarray, used: np.ndarray, depth: int, setting: Setting, columns: np.ndarray) -> np.ndarray:
     """Value of the leaf that each row reaches, from a node at ``depth`` on; ``used`` rows make the splits, all follow them."""
     out, at = np.zeros(len(g)), np.zeros(len(g), np.int64)
     rows, open_rows, g = np.flatnonzero(used), np.arange(len(g)), g.astype(float)  # whole numbers: sums stay exact
+    picked = bins[columns]
+    order = rows[np.argsort(picked[:, rows].astype(np.uint16), axis=1, kind="stable")]
     nodes = 1
     while len(rows):
         n = np.bincount(at[rows], minlength=nodes)
         total = np.bincount(at[rows], weights=g[rows], minlength=nodes)
         feature, edge = np.full(nodes, -1), np.zeros(nodes, np.int64)
         if depth < setting.max_depth:
-            feature, edge = node_splits(bins[columns][:, rows], g[rows], at[rows], n, total, setting.min_child_weight, columns)
+            feature, edge = node_splits(order, picked, g, at, n, total, setting.min_child_weight, columns)
         splits = feature >= 0
         mine, goes_on = at[open_rows], splits[at[open_rows]]
         out[open_rows[~goes_on]] = (total / (n + 1.0) / SCALE)[mine[~goes_on]]
+        order = order[splits[at[order]]].reshape(len(columns), -1)  # every column holds the same rows
         rows, open_rows, mine = rows[splits[at[rows]]], open_rows[goes_on], mine[goes_on]
         at[open_rows] = 2 * (np.cumsum(splits) - 1)[mine] + (bins[feature[mine], open_rows] > edge[mine])
         nodes, depth = 2 * int(splits.sum()), depth + 1
+        order = by_node(order, at, nodes)
     return out
 
 
