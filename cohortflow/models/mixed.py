@@ -7,14 +7,16 @@ response sums. The rows are therefore read once, whatever the number of fits and
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.categories import observed_levels
 from ..operators.skew import AUTO, HotGroups, salted_join
@@ -23,7 +25,6 @@ from ..session import cut
 from .tails import chi2_upper, normal_quantile, normal_two_sided, t_two_sided
 
 ALL = "all data"
-LOCAL_ROWS = 0  # read by nothing: statistics of any size are summed on Spark; a test still sets it
 ALIAS_TOLERANCE = 1e-9
 
 
@@ -122,28 +123,88 @@ def cross_products(cell: DataFrame, design: Design) -> DataFrame:
 
 
 def group_sums(cell: DataFrame, design: Design) -> DataFrame:
-    """(subgroup, group, n, sums): the non-zero column sums and the response sum as (id, v)."""
+    """(subgroup, group, n, sums): rows of a group, and the sums of its columns and response."""
     m = F.col("m").cast("double")
     aggs = [F.sum(F.when(F.col(c) == F.lit(level), m).otherwise(0.0)).alias(f"_s{k}")
             for k, (c, level) in enumerate(design.columns, start=1)]
     wide = cell.groupBy("subgroup", design.group).agg(F.sum("m").alias("n"), F.sum("sy").alias("_t"), *aggs)
+    sums = F.array(F.col("n").cast("double"), *[F.col(f"_s{k}") for k in range(1, design.size)],
+                   F.col("_t").cast("double"))
+    return wide.select("subgroup", design.group, "n", sums.alias("sums"))
 
-    def entry(k: int, v: Column) -> Column:
-        return F.struct(F.lit(k).alias("id"), v.alias("v"))
 
-    entries = F.array(entry(0, F.col("n").cast("double")),
-                      *[entry(k, F.col(f"_s{k}")) for k in range(1, design.size)], entry(design.size, F.col("_t")))
-    return wide.select("subgroup", design.group, "n", F.filter(entries, lambda e: e["v"] != 0).alias("sums"))
+def _runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Stretches of rows with equal keys, batch by batch."""
+    for batch in batches:
+        at = 0
+        for key, same in itertools.groupby(zip(*(batch.column(k).to_pylist() for k in keys))):
+            size = sum(1 for _ in same)
+            yield key, batch.slice(at, size)
+            at += size
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """Arrays of one length as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def added(df: DataFrame, keys: Sequence[str], part: Callable[[tuple, pa.RecordBatch], np.ndarray] | None = None) -> DataFrame:
+    """(keys, v) with the sums of equally long vectors, those of column ``v`` or those that ``part`` makes of a key and some of
+    its rows. Keys are strings or longs.
+
+    Each task adds the rows that it has, sorted by key, and then those that the others made of a key: one row per task and
+    key is shuffled, and a task holds one sum at a time.
+    """
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def adding(make):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done, size, now, total = [], 0, None, None
+            for key, rows in _runs(batches, keys):
+                more = make(key, rows)
+                if key == now:
+                    total += more
+                    continue
+                if now is not None:
+                    done.append((*now, total))
+                    size += total.nbytes
+                if size > 1 << 22:
+                    yield _rows(done, arrow)
+                    done, size = [], 0
+                now, total = key, np.array(more)
+            if now is not None:
+                yield _rows([*done, (*now, total)], arrow)
+        return run
+
+    arrow = pa.schema([*((k, pa.string() if isinstance(df.schema[k].dataType, T.StringType) else pa.int64()) for k in keys),
+                       ("v", pa.list_(pa.float64()))])
+    plain = lambda key, rows: _matrix(rows.column("v")).sum(0)
+    first = df.sortWithinPartitions(*keys).mapInArrow(adding(part or plain), schema)
+    return first.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(adding(plain), schema)
+
+
+def _rows(rows: Sequence[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def packed_moments(cell: DataFrame, design: Design) -> DataFrame:
+    """(subgroup, n, v): sums of products of group sums over the groups of size n, the upper triangle row by row."""
+    upper = np.triu_indices(design.size + 1)
+
+    def products(key: tuple, rows: pa.RecordBatch) -> np.ndarray:
+        x = _matrix(rows.column("sums"))
+        return (x.T @ x)[upper]
+
+    return added(group_sums(cell, design).select("subgroup", "n", "sums"), ["subgroup", "n"], products)
 
 
 def group_moments(cell: DataFrame, design: Design) -> DataFrame:
-    """(subgroup, n, a, b, v): sums of products of group sums over the groups of size n."""
-    sums = group_sums(cell, design)
-    pairs = F.flatten(F.transform("sums", lambda x: F.transform(
-        F.filter("sums", lambda z: z["id"] >= x["id"]),
-        lambda z: F.struct(x["id"].alias("a"), z["id"].alias("b"), (x["v"] * z["v"]).alias("v")))))
-    return (sums.select("subgroup", "n", F.explode(pairs).alias("p")).select("subgroup", "n", "p.*")
-            .groupBy("subgroup", "n", "a", "b").agg(F.sum("v").alias("v")))
+    """(subgroup, n, a, b, v): `packed_moments` as one row per product that isn't zero."""
+    a, b = (x.tolist() for x in np.triu_indices(design.size + 1))
+    places = F.arrays_zip(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("v"))
+    long = packed_moments(cell, design).select("subgroup", "n", F.explode(places).alias("p"))
+    return long.select("subgroup", "n", F.col("p")["a"].alias("a"), F.col("p")["b"].alias("b"),
+                       F.col("p")["v"].alias("v")).where("v <> 0")
 
 
 @dataclass
@@ -177,38 +238,45 @@ class Statistics:
             mat[r["a"], r["b"]] = mat[r["b"], r["a"]] = r["v"]
         self.subgroups = sorted(self.xx)
         self.cell = cell
-        self.moments = cut(group_moments(cell, design))
-        corner = self.moments.where((F.col("a") == 0) & (F.col("b") == 0))
-        rows = corner.groupBy("subgroup").agg(F.sum(F.col("v") / (F.col("n") * F.col("n"))).alias("g")).collect()
+        self.moments = cut(packed_moments(cell, design))
+        groups = F.col("v")[0] / (F.col("n") * F.col("n"))  # the first product is that of the sizes
+        rows = self.moments.groupBy("subgroup").agg(F.sum(groups).alias("g")).collect()
         self.groups = {r["subgroup"]: int(round(r["g"])) for r in rows}
 
     def shrink(self, points: Mapping[str, Sequence[float]]) -> dict[tuple[str, float], Shrunk]:
-        """Weighted sums for the asked variance ratios of each subgroup, all in one pass."""
+        """Weighted sums for the asked variance ratios of each subgroup, all in one pass. Spark adds them to one row per
+        subgroup, whose length is that of its ratios."""
+        asked = {s: [float(x) for x in lams] for s, lams in points.items()}
         size = self.design.size + 1
-        out = {}
-        for key, d in self._spark(points).items():
-            mats = []
-            for c in ("w", "w1", "w2", "wr"):
-                mat = np.zeros((size, size))
-                mat[d["a"], d["b"]] = d[c]
-                mats.append(mat + np.triu(mat, 1).T)
-            out[key] = Shrunk(*mats, logdet=tuple(float(d[c].sum()) for c in ("l0", "l1", "l2")))
+        width, out = size * (size + 1) // 2, {}
+        for s, v in self._spark(asked).items():
+            for lam, sums in zip(asked[s], v.reshape(len(asked[s]), -1)):
+                mats = []
+                for flat in sums[:4 * width].reshape(4, width):
+                    mat = np.zeros((size, size))
+                    mat[np.triu_indices(size)] = flat
+                    mats.append(mat + np.triu(mat, 1).T)
+                out[s, lam] = Shrunk(*mats, logdet=tuple(float(x) for x in sums[4 * width:]))
         return out
 
-    def _spark(self, points):
-        spark = self.moments.sparkSession
-        # one row per subgroup
-        asked = spark.createDataFrame([(s, [float(x) for x in lams]) for s, lams in points.items()],
-                                      "subgroup string, lams array<double>")
-        d = self.moments.join(F.broadcast(asked), "subgroup").withColumn("lam", F.explode("lams"))
-        n, lam, v = F.col("n").cast("double"), F.col("lam"), F.col("v")
-        one = 1 + n * lam
-        w, w1, w2, wr = _weights(n, lam)
-        corner = F.when((F.col("a") == 0) & (F.col("b") == 0), v / (n * n)).otherwise(0.0)
-        sums = {"w": w * v, "w1": w1 * v, "w2": w2 * v, "wr": wr * v, "l0": corner * F.log(one),
-                "l1": corner * n / one, "l2": -corner * n * n / (one * one)}
-        rows = d.groupBy("subgroup", "lam", "a", "b").agg(*[F.sum(c).alias(k) for k, c in sums.items()]).toPandas()
-        return {(s, lam): part for (s, lam), part in rows.groupby(["subgroup", "lam"])}
+    def _spark(self, asked: Mapping[str, Sequence[float]]) -> dict[str, np.ndarray]:
+        def weighted(key: tuple, rows: pa.RecordBatch) -> np.ndarray:
+            lam = np.array(asked[key[0]])[:, None]
+            n = rows.column("n").to_numpy().astype(float)[None, :]
+            v = _matrix(rows.column("v"))
+            one, groups = 1 + n * lam, v[:, 0] / n[0] ** 2
+            logdet = [(groups * x).sum(1)[:, None] for x in (np.log(one), n / one, -(n / one) ** 2)]
+            return np.hstack([w @ v for w in _weights(n, lam)] + logdet).ravel()
+
+        rows = self.moments.where(F.col("subgroup").isin(list(asked)))
+        found = added(rows, ["subgroup"], weighted).toArrow()
+        return {s: np.array(v) for s, v in zip(found["subgroup"].to_pylist(), _vectors(found["v"]))}
+
+
+def _vectors(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    for chunk in column.chunks:
+        for k in range(len(chunk)):
+            yield chunk.slice(k, 1).flatten().to_numpy(zero_copy_only=False)
 
 
 @dataclass
@@ -230,6 +298,7 @@ class Fit:
     loglik: float
     rmse: float
     shares: dict[str, float] = field(repr=False, default_factory=dict)
+    converged: bool = True  # false: the search for the variance ratio had not settled, the fit is that at its last point
 
     @property
     def npar(self) -> int:
@@ -302,6 +371,7 @@ class _Likelihood:
         }
 
 
+ROUNDS = 60  # of the search for a variance ratio
 GRID = (0.0, *np.logspace(-6, 5, 34))
 
 
@@ -337,7 +407,7 @@ def fit_statistics(stats: Statistics, reml: bool = True) -> list[Fit]:
                for s, k in best.items() if k > 0}
     # a minimum between zero and the smallest positive grid point counts as zero
     open_ = set(bracket)
-    for _ in range(60):
+    for _ in range(ROUNDS):
         if not open_:
             break
         got = stats.shrink({s: [lam[s]] for s in open_})
@@ -355,10 +425,8 @@ def fit_statistics(stats: Statistics, reml: bool = True) -> list[Fit]:
                 open_.discard(s)
             else:
                 lam[s] = math.exp(step)
-    if open_:
-        raise ArithmeticError(f"no minimum found for {sorted(open_)}")
     last = stats.shrink({s: [lam[s]] for s in like})
-    return [_summary(stats, s, like[s], lam[s], like[s].at(last[s, lam[s]])) for s in like]
+    return [replace(_summary(stats, s, like[s], lam[s], like[s].at(last[s, lam[s]])), converged=s not in open_) for s in like]
 
 
 def fit_at(stats: Statistics, lam: float, reml: bool = True) -> list[Fit]:
@@ -433,10 +501,10 @@ def coefficients(spark: SparkSession, fits: Sequence[Fit], method: str = "satter
 
 def fit_stats(spark: SparkSession, fits: Mapping[str, Fit]) -> DataFrame:
     rows = [(name, f.subgroup, f.nobs, f.ngroups, f.npar, f.loglik, f.aic, f.bic, f.rmse, math.sqrt(f.sigma2),
-             math.sqrt(f.lam * f.sigma2), "REML" if f.reml else "ML") for name, f in fits.items()]
+             math.sqrt(f.lam * f.sigma2), "REML" if f.reml else "ML", f.converged) for name, f in fits.items()]
     return spark.createDataFrame(rows, "model string, subgroup string, nobs long, ngroups long, npar int, "
                                        "loglik double, aic double, bic double, rmse double, sigma double, "
-                                       "group_sd double, criterion string")
+                                       "group_sd double, criterion string, converged boolean")
 
 
 def compare(spark: SparkSession, fits: Sequence[tuple[str, Fit]]) -> DataFrame:
@@ -481,11 +549,9 @@ def residuals(stats: Statistics, f: Fit, df: DataFrame, hot: HotGroups | None |
     design = f.design
     df = design.complete(df)
     sums = group_sums(stats.cell.where(F.col("subgroup") == f.subgroup), design)
-    effect = {0: -f.coefficients.get("(Intercept)", 0.0), design.size: 1.0}
-    effect |= {k: -f.coefficients.get(n, 0.0) for k, n in enumerate(design.names) if k > 0}
     # r = t - s'beta of the group
-    weights = F.create_map(*[F.lit(x) for k, v in effect.items() for x in (k, float(v))])
-    r = F.aggregate("sums", F.lit(0.0), lambda acc, e: acc + e["v"] * weights[e["id"]])
+    effect = F.lit([-f.coefficients.get(n, 0.0) for n in design.names] + [1.0])
+    r = F.aggregate(F.zip_with("sums", effect, lambda v, e: v * e), F.lit(0.0), lambda acc, x: acc + x)
     w = F.lit(f.lam) / (1 + F.col("n") * F.lit(f.lam))
     effects = sums.select(design.group, (w * r).alias("_u"))
     out = salted_join(df, effects, [design.group], "left", hot)

@@ -53,13 +53,36 @@ def test_fit_matches_dense(data, reml):
     assert (f.nobs, f.ngroups, f.names) == (90, 17, ["(Intercept)", "fb", "fc", "h1"])
 
 
-def test_statistics_on_spark_equal_local(data, monkeypatch):
-    _, df = data
-    local = mixed.fit(df, "y", TERMS, "g")[0]
-    monkeypatch.setattr(mixed, "LOCAL_ROWS", 0)
-    far = mixed.fit(df, "y", TERMS, "g")[0]
-    assert np.allclose(local.beta, far.beta, atol=1e-9) and far.loglik == pytest.approx(local.loglik, abs=1e-9)
-    assert np.allclose(local.dof, far.dof, rtol=1e-6)
+def test_moments_equal_plain_products(data, spark):
+    rows, df = data
+    design = Design("y", "g", TERMS)
+    cell = mixed.cells(df.withColumn("subgroup", F.lit("s")), design)
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        s = np.sum([[1.0, r[1] == "b", r[1] == "c", r[2] == 1, r[3]] for r in own], axis=0)
+        want[len(own)] = want.get(len(own), 0) + np.outer(s, s)
+    got = mixed.group_moments(cell, design).collect()
+    assert {(r["n"], r["a"], r["b"]): r["v"] for r in got} == pytest.approx(
+        {(n, a, b): m[a, b] for n, m in want.items() for a in range(5) for b in range(a, 5) if m[a, b]})
+    one = mixed.packed_moments(cell, design).collect()
+    assert sorted(r["n"] for r in one) == sorted(want) and {len(r["v"]) for r in one} == {15}
+
+
+def test_added_vectors_do_not_depend_on_partitions(spark):
+    df = spark.range(5000).selectExpr("CAST(id % 7 AS STRING) AS k", "array(CAST(id AS DOUBLE), 1D) AS v")
+    want = {str(k): [float(sum(range(k, 5000, 7))), float(len(range(k, 5000, 7)))] for k in range(7)}
+    for parts in (1, 13):
+        got = mixed.added(df.repartition(parts), ["k"]).collect()
+        assert {r["k"]: r["v"] for r in got} == want and len(got) == 7
+    assert mixed.added(df.where("k = 'x'"), ["k"]).collect() == []
+
+
+def test_unsettled_search_keeps_the_other_fits(data, spark, monkeypatch):
+    monkeypatch.setattr(mixed, "ROUNDS", 1)
+    f, = mixed.fit(data[1], "y", TERMS, "g")
+    assert not f.converged
+    assert mixed.fit_stats(spark, {"m": f}).collect()[0]["converged"] is False
 
 
 def test_small_statistics_are_summed_on_spark(data, monkeypatch):
