@@ -47,6 +47,11 @@ def analysis_rows(table: DataFrame) -> DataFrame:
                         "time_icudays", "time_next_measurement", "sample_type", "ras_score", "unitsperday_insu")
 
 
+def complete(rows: DataFrame) -> DataFrame:
+    """Rows with all variables of the final model known; the nested models are fitted to these."""
+    return Design(RESPONSE, GROUP, FINAL).complete(rows)
+
+
 def nested_statistics(table: DataFrame) -> dict[str, Statistics]:
     """Statistics of the nested models over the same rows, those complete for the largest model, from one
     pass: the cells of the largest model hold those of the others."""

@@ -299,6 +299,81 @@ def lmm_hour_means(spark, d):
     return rounded(mixed.marginal_means(spark, fits, "time_hbin").select("time_hbin", "emmean"))
 
 
+def _intercept_sql(restricted: bool) -> str:
+    """Views up to ``best``, the intercept-only model at the ratio where the derivative of its likelihood changes sign: halved
+    60 times over the logarithm of the ratio."""
+    free = "nn - 1" if restricted else "nn"
+    slope = f"({free}) * rss1 / rss + d1" + (" - a1 / a" if restricted else "")
+    value = f"({free}) * LN(2 * PI() * rss / ({free})) + ({free}) + ld" + (" + LN(a)" if restricted else "")
+
+    def total(f: str) -> str:
+        return f"LIST_SUM(LIST_TRANSFORM(gs, lambda g: {f}))"
+
+    return f"""
+, g AS (SELECT CAST(n AS DOUBLE) AS n, CAST(COUNT(*) AS DOUBLE) AS k, SUM(s) AS s, SUM(s * s) AS q, SUM(yy) AS yy
+        FROM (SELECT stay_id, COUNT(*) AS n, SUM(glucose_value_mmolL) AS s, SUM(glucose_value_mmolL * glucose_value_mmolL) AS yy
+              FROM model_rows GROUP BY stay_id) GROUP BY n),
+packed AS (SELECT LIST({{'n': n, 'k': k, 's': s, 'q': q}} ORDER BY n) AS gs, SUM(n * k) AS nn, SUM(yy) AS yy, SUM(k) AS stays FROM g),
+search AS (SELECT * FROM (
+  WITH RECURSIVE half AS (
+    SELECT 0 AS round, LN(1e-6) AS lo, LN(1e5) AS hi
+    UNION ALL
+    SELECT round + 1, CASE WHEN {slope} > 0 THEN lo ELSE u END, CASE WHEN {slope} > 0 THEN u ELSE hi END FROM (
+      SELECT *, yy - wq - b * b / a AS rss, -(q1 - 2 * b / a * s1 + b * b / a / a * a1) AS rss1 FROM (
+        SELECT *, {total('g.k * g.n / (1 + g.n * EXP(u))')} AS a, {total('g.s / (1 + g.n * EXP(u))')} AS b,
+               {total('g.q * EXP(u) / (1 + g.n * EXP(u))')} AS wq, {total('g.q / (1 + g.n * EXP(u)) ** 2')} AS q1,
+               {total('g.s * g.n / (1 + g.n * EXP(u)) ** 2')} AS s1, {total('g.k * g.n * g.n / (1 + g.n * EXP(u)) ** 2')} AS a1,
+               {total('g.k * g.n / (1 + g.n * EXP(u))')} AS d1
+        FROM (SELECT round, lo, hi, (lo + hi) / 2 AS u, packed.* FROM half, packed WHERE round < 60))))
+  SELECT EXP((lo + hi) / 2) AS lam FROM half WHERE round = 60)),
+best AS (SELECT *, {value} AS value, rss / ({free}) AS sigma2, b / a AS beta FROM (
+  SELECT *, yy - wq - b * b / a AS rss FROM (
+    SELECT lam, nn, yy, stays, {total('g.k * g.n / (1 + g.n * lam)')} AS a, {total('g.s / (1 + g.n * lam)')} AS b,
+           {total('g.q * lam / (1 + g.n * lam)')} AS wq, {total('g.k * LN(1 + g.n * lam)')} AS ld FROM search, packed)))"""
+
+
+def _fit_stats_sql(criterion: str) -> str:
+    return f"""{_intercept_sql(criterion == 'REML')}
+SELECT '{criterion}' AS criterion, CAST(nn AS BIGINT) AS nobs, CAST(stays AS BIGINT) AS ngroups, {r('-value / 2', 4)} AS loglik,
+       {r('6 + value', 4)} AS aic, {r('3 * LN(nn) + value', 4)} AS bic, {r('SQRT(sigma2)', 4)} AS sigma,
+       {r('SQRT(lam * sigma2)', 4)} AS group_sd, {r('beta', 4)} AS estimate, {r('SQRT(sigma2 / a)', 4)} AS std_error FROM best"""
+
+
+def _intercept_fit(spark, d, reml):
+    rows = cut(M.analysis_rows(table(spark, d)))
+    stats = mixed.Statistics(M.final_cells(rows), mixed.Design(M.RESPONSE, M.GROUP, ()))
+    return rows, stats, mixed.fit_statistics(stats, reml)[0]
+
+
+def _fit_row(spark, d, reml):
+    _, _, fit = _intercept_fit(spark, d, reml)
+    one = mixed.fit_stats(spark, {"intercept": fit}).join(mixed.coefficients(spark, [fit]), "subgroup")
+    return rounded(one.select("criterion", "nobs", "ngroups", "loglik", "aic", "bic", "sigma", "group_sd", "estimate", "std_error"), 4)
+
+
+@query("lmm_intercept_reml", _fit_stats_sql("REML"))
+def lmm_intercept_reml(spark, d):
+    """The first of the nested models, maximised: the ratio is searched for, not given."""
+    return _fit_row(spark, d, True)
+
+
+@query("lmm_intercept_ml", _fit_stats_sql("ML"))
+def lmm_intercept_ml(spark, d):
+    return _fit_row(spark, d, False)
+
+
+@query("lmm_residual_rows", f"""{_intercept_sql(True)}
+, effects AS (SELECT stay_id, beta + lam / (1 + COUNT(*) * lam) * SUM(glucose_value_mmolL - beta) AS fitted
+              FROM model_rows, best GROUP BY stay_id, lam, beta)
+SELECT m.stay_id, {r('glucose_value_mmolL', 4)} AS glucose_value_mmolL, {r('fitted', 4)} AS fitted,
+       {r('glucose_value_mmolL - fitted', 4)} AS residual
+FROM model_rows m JOIN effects e ON m.stay_id = e.stay_id""")
+def lmm_residual_rows(spark, d):
+    """Fitted value and residual of every row of the intercept-only model."""
+    rows, stats, fit = _intercept_fit(spark, d, True)
+    return rounded(mixed.residuals(stats, fit, M.complete(rows)).select("stay_id", "glucose_value_mmolL", "fitted", "residual"), 4)
+
+
 def final_fit(spark, d):
     return mixed.fit(M.analysis_rows(table(spark, d)), M.RESPONSE, M.FINAL, M.GROUP)
 
