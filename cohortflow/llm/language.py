@@ -90,6 +90,17 @@ class Model:
                     break
         return found
 
+    def unseen(self, word: str) -> tuple[int, int]:
+        """Places where an n-gram of four characters fits (at least one a word), and how many of them hold none that the model
+        knows. A known word has none."""
+        marked, grams = f"<{word}>", self.grams
+        places = max(1, len(marked) - 3)
+        if word in self.words:
+            return places, 0
+        if len(marked) < 4:
+            return places, 1
+        return places, sum(marked[i:i + 5] not in grams and marked[i:i + 4] not in grams for i in range(places))
+
     def word(self, word: str) -> np.ndarray:
         """Score of a word in each language."""
         return self.rows[self.places(word)].sum(0)
@@ -144,10 +155,14 @@ class Predictor:
     def __init__(self, model: Model, memo: int = MEMO) -> None:
         self.model, self.limit = model, memo
         self.memo: dict[bytes, int] = {}
-        self.rows = np.zeros((1024, len(model.langs) + 1))
+        self.rows = np.zeros((1024, len(model.langs) + 3))
 
     def predict(self, texts: Sequence[bytes | None]) -> tuple[list[str], list[float]]:
-        langs, scores = [], []
+        best = [self.best(total) for total in self.totals(texts)]
+        return [lang for lang, _ in best], [score for _, score in best]
+
+    def totals(self, texts: Sequence[bytes | None]) -> Iterator[np.ndarray]:
+        """Per text: its score in each language, its words, the places of its words and how many of them are unseen."""
         for part in _slices(texts):
             found = [stretches(t) if t else [] for t in part]
             fresh: set[bytes] = set()
@@ -159,11 +174,7 @@ class Predictor:
             self._learn(fresh)
             place = self.memo.__getitem__
             for ws in found:
-                total = self.rows[np.fromiter(map(place, ws), np.int64, len(ws))].sum(0)
-                lang, score = self._best(total)
-                langs.append(lang)
-                scores.append(score)
-        return langs, scores
+                yield self.rows[np.fromiter(map(place, ws), np.int64, len(ws))].sum(0)
 
     def _learn(self, fresh: set[bytes]) -> None:
         need = len(self.memo) + len(fresh)
@@ -173,27 +184,38 @@ class Predictor:
         for k, s in enumerate(fresh, first):
             self.memo[s] = k
             words = words_in(s)
-            self.rows[k, -1] = len(words)
             before = len(places)
+            seen = np.zeros(2)
             for w in words:
                 places += self.model.places(w)
+                seen += self.model.unseen(w)
+            self.rows[k, -3:] = len(words), *seen
             if len(places) > before:
                 begins.append(before)
                 rows.append(k)
-        self.rows[first:first + len(fresh), :-1] = 0
+        self.rows[first:first + len(fresh), :-3] = 0
         if rows:  # each stretch is summed by itself, so its score doesn't depend on what else is new
-            self.rows[rows, :-1] = np.add.reduceat(self.model.rows[places], begins, axis=0)
+            self.rows[rows, :-3] = np.add.reduceat(self.model.rows[places], begins, axis=0)
 
-    def _best(self, total: np.ndarray) -> tuple[str, float]:
-        if not total[-1] or not self.model.langs:
+    def best(self, total: np.ndarray) -> tuple[str, float]:
+        if not total[-3] or not self.model.langs:
             return UNKNOWN, 0.0
-        e = np.exp(total[:-1] - total[:-1].max())
+        scores = total[:-3]
+        e = np.exp(scores - scores.max())
         k = int(e.argmax())
         return self.model.langs[k], float(e[k] / e.sum())
 
+    def evidence(self, total: np.ndarray) -> tuple[float, float]:
+        """Lead of the best language over the next per word, and the share of places that are unseen. Neither grows with the
+        text. (0, 1) without a word; with one language its lead counts over 0, which is its mean."""
+        if not total[-3] or not self.model.langs:
+            return 0.0, 1.0
+        first, second = np.sort(np.append(total[:-3], 0.0) if len(total) == 4 else total[:-3])[:-3:-1]
+        return float((first - second) / total[-3]), float(total[-1] / total[-2])
+
 
 def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row: row, doc_id, lang_pred, score (its share among the languages).
+    """Every row: row, doc_id, lang_pred, score (its share among the languages), margin and unseen (`Predictor.evidence`).
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text if no language was learned. Ties go to the
     first language by name. Repeated rows are predicted each. An empty table gives no row.
@@ -204,14 +226,17 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
         model = shared.value  # the same object for all tasks of a worker, which so share the memo
         predictor = model.__dict__.setdefault("predictor", Predictor(model))
         for batch in batches:
-            langs, scores = predictor.predict(batch.column("text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[ROW, "lang_pred", "score"])
+            found = [(*predictor.best(total), *predictor.evidence(total))
+                     for total in predictor.totals(batch.column("text").cast(pa.binary()).to_pylist())]
+            langs, *numbers = zip(*found) if found else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(langs, pa.string()),
+                                              *(pa.array(x, pa.float64()) for x in numbers)],
+                                             names=[ROW, "lang_pred", "score", "margin", "unseen"])
 
     rows = located(docs, key, text)
     kind = rows.schema[ROW].dataType.simpleString()
-    return rows.mapInArrow(run, f"{ROW} {kind}, lang_pred string, score double").select(
-        ROW, F.col(f"{ROW}.doc_id").alias("doc_id"), "lang_pred", "score")
+    return rows.mapInArrow(run, f"{ROW} {kind}, lang_pred string, score double, margin double, unseen double").select(
+        ROW, F.col(f"{ROW}.doc_id").alias("doc_id"), "lang_pred", "score", "margin", "unseen")
 
 
 @query("op5_language_backoff")
