@@ -9,7 +9,10 @@ from cohortflow.llm import exact, language, packing, quality, simhash
 from cohortflow.llm.common import ROW, fold, scratch, table, without
 from cohortflow.llm.encoding import tokenizer_path
 
-SURE = 0.5  # a document's language must have more than this share among the languages
+# A document goes if most of its places are unseen by the language model and no language leads clearly. Both are per word or
+# place, so they mean the same for one word and for a book.
+UNSEEN = 0.6
+MARGIN = 0.5  # in log frequency per word
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +22,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the model is sure of; it learns from their own ``lang`` outside the held-out fold."""
+    """Documents in a language that the model knows; it learns from their own ``lang`` outside the held-out fold."""
     model = language.fit(docs.where(fold("doc_id", 4) != 2))
     found = language.identify(docs, model)
-    return without(docs, found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") <= SURE)))
+    foreign = (F.col("unseen") > UNSEEN) & (F.col("margin") < MARGIN)
+    return without(docs, found.where((F.col("lang_pred") == language.UNKNOWN) | foreign))
 
 
 def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
