@@ -541,3 +541,44 @@ SELECT stay_id, time_hbin, time_icudays, {', '.join(STUDY_TEXT)}, {', '.join(f'C
 def measurement_table(spark, d):
     return rounded(study(spark, d).table.select("stay_id", "time_hbin", "time_icudays", *STUDY_TEXT, *STUDY_NUMBERS,
                                                 *[F.col(c).cast("long").alias(c) for c in STUDY_COUNTS]))
+
+
+SOURCE_TIMES = ("charttime", "storetime", "intime", "outtime")
+SOURCE_TEXT = ("glucose_unit", "label_nut", "itemid_nut", "label_dext", "ordercat_dext", "insu_cat", "ordercategoryname")
+SOURCE_NUMBERS = ("time_seq", "glucose_value", "rate_nut", "time_last_measurement")
+DIABETES = "CASE WHEN diabetes_without_cc = 1 OR diabetes_with_cc = 1 THEN 1 WHEN diabetes_without_cc = 0 AND diabetes_with_cc = 0 THEN 0 END"
+
+
+@query("measurement_sources", f"""
+, included AS (SELECT DISTINCT hadm_id FROM fed),
+flags AS (SELECT hadm_id, {', '.join(FLAGS)}, {DIABETES} AS diabetes_charlson FROM charlson),
+totals AS ({' UNION ALL '.join(
+    f"SELECT '{c}' AS name, SUM({c}) AS total, {k} AS pos FROM flags WHERE hadm_id IN (SELECT hadm_id FROM included)"
+    for k, c in enumerate((*FLAGS, 'diabetes_charlson')))}),
+top AS (SELECT name, ROW_NUMBER() OVER (ORDER BY total DESC, pos) AS rank FROM totals),
+flagged AS (SELECT c.stay_id, STRING_AGG(t.name || '=' || COALESCE(CASE t.name {' '.join(
+    f"WHEN '{c}' THEN CAST(f.{c} AS VARCHAR)" for c in (*FLAGS, 'diabetes_charlson'))} END, 'NA'), ',' ORDER BY t.rank) AS comorbidities
+  FROM cohort c CROSS JOIN (SELECT * FROM top WHERE rank <= 5) t LEFT JOIN flags f ON c.hadm_id = f.hadm_id GROUP BY c.stay_id),
+orders AS (SELECT v.stay_id, v.time_seq, STRING_AGG(COALESCE(i.ordercategoryname, 'NA'), '_' ORDER BY i.cs, i.ce, i.itemid, i.amount) AS ordercategoryname
+  FROM fed v JOIN insulin i ON v.stay_id = i.stay_id AND v.time_seq > i.cs AND v.time_seq <= i.ce GROUP BY v.stay_id, v.time_seq)
+SELECT v.stay_id, v.hadm_id, v.itemid AS glucose_itemid,
+       {', '.join(f"strftime(v.{c}, '%Y-%m-%d %H:%M:%S.%f') AS {c}" for c in SOURCE_TIMES)},
+       {sel('~v.time_seq AS time_seq, ~v.valuenum AS glucose_value, ~v.rate_nut AS rate_nut, ~v.time_last_measurement AS time_last_measurement')},
+       m.valueuom AS glucose_unit, v.label_nut, v.itemid_nut, d.label_dext, d.ordercat_dext, i.insu_cat, o.ordercategoryname,
+       CAST(p.dod AS VARCHAR) AS dod, g.comorbidities
+FROM fed v JOIN chartevents m ON v.event_id = m.event_id AND v.itemid = m.itemid
+  LEFT JOIN dext_at d ON v.stay_id = d.stay_id AND v.time_seq = d.time_seq
+  LEFT JOIN insu_at i ON v.stay_id = i.stay_id AND v.time_seq = i.time_seq
+  LEFT JOIN orders o ON v.stay_id = o.stay_id AND v.time_seq = o.time_seq
+  LEFT JOIN vent_at x ON v.stay_id = x.stay_id AND v.time_seq = x.time_seq
+  LEFT JOIN patients p ON v.subject_id = p.subject_id LEFT JOIN flagged g ON v.stay_id = g.stay_id""")
+def measurement_sources(spark, d):
+    """The columns of the measurement table that `measurement_table` leaves out: where each row comes from, the texts of what was
+    running, and the commonest comorbidities, named in order of frequency."""
+    df = study(spark, d).table
+    names = [c for c in df.columns if c in (*FLAGS, "diabetes_charlson")]
+    flags = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("NA"))) for c in names]
+    return rounded(df.select(
+        "stay_id", "hadm_id", "glucose_itemid", *SOURCE_TEXT, *SOURCE_NUMBERS, F.col("dod").cast("string").alias("dod"),
+        *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in SOURCE_TIMES],
+        F.concat_ws(",", *flags).alias("comorbidities")))
