@@ -58,6 +58,29 @@ def test_grown_tree_equals_plain_recursion(depth, least):
     assert got == pytest.approx([want[i] for i in range(150)], abs=1e-12)
 
 
+def test_trees_grown_together_equal_trees_grown_alone():
+    """Trees of several models take each step together, whatever their depth; their columns have few and many bins."""
+    rng = np.random.default_rng(5)
+    tree = rng.permutation(np.repeat(np.arange(4), 90))
+    bins = np.vstack([rng.integers(0, k, 360) for k in (2, 60, 1, 5, 200)])
+    g, used = rng.integers(-5 * boosting.SCALE, 5 * boosting.SCALE, size=360), (rng.random(360) < 0.8) & (tree != 3)
+    deepest, columns = np.array([1, 3, 40, 7]), np.arange(5)
+    together = boosting.grow_trees(boosting.Binned(bins, tree), g, used, 0, deepest, 2, columns)
+    for k, depth in enumerate(deepest.tolist()):
+        own = tree == k
+        want = plain_tree(bins[:, own], g[own], used[own], range(90), 0, boosting.Setting(depth, 0.1, 2, 1.0, 1.0), columns)
+        assert together[own] == pytest.approx([want[i] for i in range(90)], abs=1e-12)
+
+
+def test_models_of_a_task_share_samples_and_are_bounded():
+    search = boosting.Search(8, boosting.GRID, 5, 42, 200_000)
+    of = search.batches(200_000 // 4_424)
+    assert len(of) == 720 and max(of) + 1 == 60 and sorted(set(of)) == list(range(60))
+    assert max(search.batches(1)) + 1 == 720
+    shared = {(of[m], m % 5, s.subsample, s.colsample_bytree, s.min_child_weight) for m in range(720) for s in [search.settings[m // 5]]}
+    assert len(shared) == 60
+
+
 def test_no_row_to_learn_from():
     got = boosting.grow(np.zeros((2, 5), int), np.ones(5, int), np.zeros(5, bool), 0, boosting.Setting(3, 0.1, 1, 1.0, 1.0), np.array([0, 1]))
     assert (got == 0).all()
