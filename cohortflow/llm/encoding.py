@@ -25,6 +25,8 @@ import numpy as np
 
 MEMO = 400_000  # stretches remembered by one Python worker, and twice as many words: about 250 MB
 
+RUN = 1_000  # words that are encoded as one text
+
 # Letters of Latin-1, ASCII digits and ASCII marks without the apostrophe: runs of each are encoded apart from each other
 # and from a line end between them, whatever stands around.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -71,16 +73,18 @@ class Encoder:
 
     def _part(self, texts: Sequence[bytes]) -> list[bytes]:
         stretches = [self._cut(t) if t else [] for t in texts]
-        fresh: set[bytes] = set()
-        for s in stretches:
-            fresh.update(itertools.filterfalse(self.memo.__contains__, s))
-        found = self._learn(fresh)
         memo, kept = self.memo, len(self.memo)
+        parts = [list(map(memo.get, s)) for s in stretches]
+        holes = [[k for k, x in enumerate(p) if x is None] if None in p else () for p in parts]
+        fresh = {s[k] for s, hs in zip(stretches, holes) for k in hs}
+        found = self._learn(fresh)
         memo.update(found)
         out = []
-        for s in stretches:
+        for s, p, hs in zip(stretches, parts, holes):
+            for k in hs:
+                p[k] = found[s[k]]
             try:
-                out.append(b"".join(map(memo.__getitem__, s)))
+                out.append(b"".join(p))
             except TypeError:  # an unsafe stretch
                 out.append(self._careful(s))
         if kept >= self.limit and 4 * len(found) > sum(map(len, stretches)):  # what it remembers rarely helps here
@@ -146,8 +150,23 @@ class Encoder:
         return b"".join(self._library([*joined, cur]))
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Packed ids of words that are pre-tokens as they stand."""
-        return self._library(words)
+        """Packed ids of words that are pre-tokens as they stand. Those that open with a space are encoded in runs: no other
+        token of a run opens with one, so its words can be told apart again."""
+        if self.kind != "spaces":
+            return self._library(words)
+        spaced = [w for w in words if w[0] == " "]
+        of = dict(zip(spaced, itertools.chain.from_iterable(map(self._run, itertools.batched(spaced, RUN)))))
+        others = [w for w in words if w not in of]
+        of.update(zip(others, self._library(others)))
+        return [of[w] for w in words]
+
+    def _run(self, words: Sequence[str]) -> list[bytes]:
+        ids = array(self.code, self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids)
+        begin = np.flatnonzero(_opens(self.tokenizer)[np.frombuffer(ids, self.dtype)])
+        if len(begin) != len(words):  # bytes that the vocabulary lacks
+            return self._library(list(words))
+        flat, ends = ids.tobytes(), [*(begin[1:] * self.dtype.itemsize).tolist(), len(ids) * self.dtype.itemsize]
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -170,6 +189,14 @@ def _loaded(path: str) -> tuple:
     return tokenizer, _kind(spec), [t["content"] for t in spec.get("added_tokens") or []]
 
 
+@functools.lru_cache(maxsize=4)
+def _opens(tokenizer) -> np.ndarray:
+    """Which ids of a byte-level vocabulary stand for bytes that open with a space."""
+    out = np.zeros(tokenizer.get_vocab_size(), bool)
+    out[[i for t, i in tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
+    return out
+
+
 def _kind(spec: dict) -> str:
     """spaces, words or whole: where the tokenizer of this file lets a text be cut."""
     pre = spec.get("pre_tokenizer") or {}

@@ -342,9 +342,12 @@ def word_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
 def _counted(enc: Encoder, stretches: Counter) -> pa.RecordBatch:
     total: Counter = Counter()
     for s, n in stretches.items():
-        for w in words_of(enc, s.decode()):
-            if not isinstance(w, int):
-                total[w] += n
+        if enc.letters and s[1:].isalpha() and (s[0] == 32 or s.isalpha()):
+            total[s] += n
+        else:
+            for w in words_of(enc, s.decode()):
+                if not isinstance(w, int):
+                    total[w] += n
     return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())],
                                       names=["word", "n"])
 
