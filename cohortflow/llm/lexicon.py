@@ -24,10 +24,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, query, scratch, table
-from .encoding import _PLAIN, _RUN, Encoder, _slices, encoder, tokenizer_path
+from .encoding import _LATIN, _PLAIN, _RUN, Encoder, _slices, encoder, tokenizer_path
 
 FREQUENT = 50_000  # words of the lexicon; about 3 MB
-MEMO = 120_000  # stretches that a worker remembers, next to the library's tokenizer and the vocabulary
+MEMO = 400_000  # stretches that a worker remembers, next to the library's tokenizer and the vocabulary
 TALLY = 200_000  # stretches that a task counts before it passes their words on
 LONG = 400  # bytes of a word from which it is merged by itself, in time n log n
 _NO_RANK = np.int64(1) << 40
@@ -282,8 +282,8 @@ class LexiconEncoder(Encoder):
         self.ids, self.ends = lexicon.ids.astype(self.dtype).tobytes(), lexicon.ends.tolist()
         self.known = self.unseen = 0
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        return self._look_up([w.encode() for w in words])
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        return self._look_up(words)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         split = [words_of(self, t) for t in texts]
@@ -329,8 +329,8 @@ def word_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
         enc, stretches = encoder(tokenizer, MEMO), Counter()
         for batch in batches:
             for part in _slices(batch.column(0).cast(pa.binary()).to_pylist()):
-                for t in part:
-                    stretches.update(enc._cut(t) if t else ())
+                for s, n in enc.stretches(part):
+                    stretches[s] += n
                 if len(stretches) > TALLY:
                     yield _counted(enc, stretches)
                     stretches = Counter()
@@ -342,7 +342,7 @@ def word_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
 def _counted(enc: Encoder, stretches: Counter) -> pa.RecordBatch:
     total: Counter = Counter()
     for s, n in stretches.items():
-        if enc.letters and s[1:].isalpha() and (s[0] == 32 or s.isalpha()):
+        if s.isalpha() or _LATIN.fullmatch(s):
             total[s] += n
         else:
             for w in words_of(enc, s.decode()):

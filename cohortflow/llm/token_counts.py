@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import query, table
 from .encoding import Encoder, encoder, tokenizer_path
 
-MEMO = 120_000  # stretches that a worker remembers; building and editing have workers of their own
+MEMO = 400_000  # stretches that a worker remembers; building and editing have workers of their own
 LEAF = 512  # characters that a leaf has at least, but for the last one
 Edit = tuple[int, int, str]  # place in the text before any edit, characters removed, text put there
 
