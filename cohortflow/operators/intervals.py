@@ -19,6 +19,7 @@ from .skew import AUTO, HotGroups
 BLOCK_HOURS = (6.0, 96.0, 1536.0)
 CELL_PAIRS = "spark.cohortflow.cellPairs"
 DEFAULT_CELL_PAIRS = 20_000_000  # pairs of one block that one task compares
+HOURS = 250_000  # hours that one task lists
 
 
 def _inside(t: str, start: str, end: str) -> Column:
@@ -159,7 +160,8 @@ def neighbour_gaps(df: DataFrame, by: Sequence[str], t: str, tie: Sequence[str]
 
 def hour_grid(df: DataFrame, lo: str, hi: str, name: str = "time_seq") -> DataFrame:
     """One row per whole hour from floor(lo) to ceil(hi), both included."""
-    return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(lo)), F.ceil(F.col(hi)))))
+    first, last = F.floor(F.col(lo)), F.ceil(F.col(hi))
+    return _dealt(df, F.abs(last - first) + 1).withColumn(name, F.explode(F.sequence(first, last)))
 
 
 def interval_hours(df: DataFrame, start: str, end: str, lower: str = "ceil", lo: str | None = None,
@@ -174,10 +176,24 @@ def interval_hours(df: DataFrame, start: str, end: str, lower: str = "ceil", lo:
         first = F.greatest(first, F.floor(F.col(lo)))
     if hi is not None:
         last = F.least(last, F.ceil(F.col(hi)))
-    return (df.withColumns({"_first": first, "_last": last}).where(F.col("_first") <= F.col("_last"))
+    df = df.withColumns({"_first": first, "_last": last}).where(F.col("_first") <= F.col("_last"))
+    return (_dealt(df, F.col("_last") - F.col("_first") + 1)
             .withColumn(name, F.explode(F.sequence("_first", "_last"))).drop("_first", "_last"))
 
 
+def _dealt(df: DataFrame, hours: Column) -> DataFrame:
+    """The rows, stored and dealt over tasks by the hours that they become: the few bytes they are themselves would put them
+    into one task."""
+    df = cut(df)
+    return df.repartition(hour_tasks(df, hours))
+
+
+def hour_tasks(df: DataFrame, hours: Column) -> int:
+    """Over how many tasks rows are dealt that become so many hours each."""
+    total = df.agg(F.sum(hours)).first()[0] or 0
+    return max(1, -(-int(total) // HOURS))
+
+
 def order_pair(a: Column, b: Column) -> tuple[Column, Column]:
     """(smaller, larger); null if either is missing."""
     return F.when(a > b, b).otherwise(a), F.when(a > b, a).otherwise(b)

@@ -12,10 +12,11 @@ from ..functions.categories import cut, cut_labels, factor
 from ..functions.clock import add_clock, clock_hour, icu_day
 from ..functions.predicates import is_in
 from ..operators.groups import center
-from ..operators.intervals import hour_grid, interval_hours
+from ..operators.intervals import hour_grid, hour_tasks, interval_hours
 from ..operators.skew import AUTO, HotGroups
 from ..operators.summaries import (describe_categorical, describe_table, flag_shares, freq, mean_ci, mean_sd,
                                    per_group_count_summary, share_within)
+from ..session import cut as store
 from ..sources import lookups as L
 from .exposures import ventilation_class
 from .nutrition import carbohydrate_rate
@@ -119,12 +120,15 @@ def day_hour_grid(enteral: DataFrame, stay_ids: Sequence[int] | None = None) ->
     bouts = df.groupBy("stay_id", "nut_intervalnr").agg(
         F.min("starttime_nut_seq").alias("start"), F.max("endtime_nut_seq").alias("end"),
         F.min("intime_seq").alias("intime_seq"), F.max("outtime_seq").alias("outtime_seq"))
-    fed = (interval_hours(bouts, "start", "end", "floor", "intime_seq", "outtime_seq")
-           .groupBy("stay_id", "time_seq").agg(F.lit("y").alias("feeding_yn")))
+    hours = interval_hours(bouts, "start", "end", "floor", "intime_seq", "outtime_seq")
     # only stays with a fed hour get a grid
     spans = df.groupBy("stay_id").agg(F.max("intime_seq").alias("lo"), F.max("outtime_seq").alias("hi"))
-    spans = spans.join(fed.select("stay_id").distinct(), "stay_id", "left_semi")
-    grid = hour_grid(spans, "lo", "hi").join(fed, ["stay_id", "time_seq"], "left")
+    spans = store(spans.join(hours.select("stay_id").distinct(), "stay_id", "left_semi"))
+    # hours are few bytes and many rows: they are neither broadcast nor put into few tasks
+    keys = ["stay_id", "time_seq"]
+    tasks = hour_tasks(spans, F.abs(F.ceil("hi") - F.floor("lo")) + 1)
+    fed = hours.repartition(tasks, *keys).groupBy(*keys).agg(F.lit("y").alias("feeding_yn"))
+    grid = hour_grid(spans, "lo", "hi").repartition(tasks, *keys).join(fed.hint("merge"), keys, "left")
     grid = grid.select("stay_id", F.coalesce("feeding_yn", F.lit("n")).alias("feeding_yn"),
                        icu_day(F.col("time_seq")).alias("day"), clock_hour(F.col("time_seq")).alias("time_dec"))
     return grid.groupBy("stay_id", "day", "feeding_yn").agg(

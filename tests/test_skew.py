@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from cohortflow.operators import groups, intervals, summaries
 from cohortflow.operators.skew import HotGroups, hot_groups, salted_join
+from cohortflow.plans import descriptives
+from cohortflow.session import cut
 from conftest import rows
 
 N = 900
@@ -152,3 +154,33 @@ def test_one_stay_with_many_points_and_intervals(spark):
     out = intervals.interval_join(p, i, ["g"], "t", "s", "e")
     assert out.count() == 4 * n - 6
     assert "CartesianProduct" not in out._jdf.queryExecution().toString()
+
+
+def test_hours_are_listed_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "HOURS", 100, raising=False)
+    stays = spark.createDataFrame([(k, float(k), k + 23.5) for k in range(40)] + [(None, 1.0, 2.0), (99, None, 3.0), (98, 3.0, 1.0)],
+                                  "stay_id long, lo double, hi double").coalesce(1)
+    for listed in (intervals.hour_grid(stays, "lo", "hi"), intervals.interval_hours(stays, "lo", "hi", "floor", "lo", "hi")):
+        found = listed.select("stay_id", "time_seq", F.spark_partition_id().alias("task")).collect()
+        assert len({r["task"] for r in found}) > 5
+        for k in range(40):
+            hours = sorted(r["time_seq"] for r in found if r["stay_id"] == k)
+            assert hours in (list(range(k, k + 25)), list(range(k, k + 24)))
+        assert not any(r["stay_id"] == 99 for r in found)
+
+
+def test_day_hour_grid_broadcasts_no_hours(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "HOURS", 50, raising=False)
+    bouts = spark.createDataFrame([(s, b, 24.0 * b + 3, 24.0 * b + 5.5 + s % 2, 1.0, 70.0) for s in range(12) for b in range(3)] + [(50, 0, 5.0, 5.0, 1.0, 9.0)],
+                                  "stay_id long, nut_intervalnr long, starttime_nut_seq double, endtime_nut_seq double, intime_seq double, outtime_seq double")
+    grid = descriptives.day_hour_grid(cut(bouts))
+    want = set()
+    for s in range(12):
+        for day in range(3):
+            hours = range(max(1, 24 * day), min(70, 24 * day + 23) + 1)
+            fed = [h for h in hours if 24 * day + 3 <= h < 24 * day + 6 + s % 2]
+            for yn, own in (("y", fed), ("n", [h for h in hours if h not in fed])):
+                want.add((s, yn, day, float(own[0] % 24), float(own[-1] % 24 + 1)))
+    assert {tuple(r) for r in grid.select("stay_id", "feeding_yn", "day", "time_dec_start", "time_dec_end").collect()} == want
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert not any("BroadcastHashJoin" in line and "time_seq" in line for line in plan.splitlines())
