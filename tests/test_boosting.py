@@ -72,6 +72,46 @@ def test_trees_grown_together_equal_trees_grown_alone():
         assert together[own] == pytest.approx([want[i] for i in range(90)], abs=1e-12)
 
 
+@pytest.mark.parametrize("dense", [0, 1, math.inf])
+@pytest.mark.parametrize("least", [1, 4])
+def test_nodes_split_by_cells_or_by_rows_are_the_same(monkeypatch, dense, least):
+    monkeypatch.setattr(boosting, "DENSE", min(dense, 1e9))
+    rng = np.random.default_rng(least)
+    bins = np.vstack([rng.integers(0, k, 300) for k in (2, 60, 1, 257, 6)])
+    g, used = rng.integers(-5 * boosting.SCALE, 5 * boosting.SCALE, size=300), rng.random(300) < 0.8
+    setting, columns = boosting.Setting(12, 0.1, least, 1.0, 1.0), np.arange(5)
+    want = plain_tree(bins, g, used, range(300), 0, setting, columns)
+    assert boosting.grow(bins, g, used, 0, setting, columns) == pytest.approx([want[i] for i in range(300)], abs=1e-12)
+
+
+def test_only_rows_of_lesser_children_are_added_up(monkeypatch):
+    """Each split takes a few rows off a node, level after level; the rows that stay are not added up again."""
+    added, sums = [], boosting.Cells.sums
+    monkeypatch.setattr(boosting.Cells, "sums", lambda self, n, total, node, places, g: (added.append(len(places)), sums(self, n, total, node, places, g))[1])
+    monkeypatch.setattr(boosting, "DENSE", 0)
+    bins = np.arange(400)[None] // 4
+    g, used, setting = (1.3 ** bins[0] * 100).astype(np.int64), np.full(400, True), boosting.Setting(50, 0.1, 1, 1.0, 1.0)
+    want = plain_tree(bins, g, used, range(400), 0, setting, [0])
+    assert boosting.grow(bins, g, used, 0, setting, np.array([0])) == pytest.approx([want[i] for i in range(400)], rel=1e-12)
+    assert len(added) > 15 and sum(added) < 400 * 3
+
+
+def test_models_together_equal_models_alone_over_the_same_rows(rows):
+    search = boosting.Search(3, SPEC, 2, 42, 10 ** 6)
+    data = rows.toPandas()
+    pdf = data.assign(r=data["stay_id"] * 7919 % boosting.PRIME, fold=data["stay_id"] % 2, y=np.rint(data[trees.TARGET] * boosting.SCALE).astype(int),
+                      **{f"f{j}": np.searchsorted(np.unique(data[n]), data[n]) for j, n in enumerate(NAMES)})
+    batch = search.batches(10)
+    of = [[m for m, k in enumerate(batch) if k == one] for one in range(max(batch) + 1)]
+    assert all(len(models) == 2 for models in of)
+    parts = (pdf.assign(batch=k)[half::2] for k in range(len(of)) for half in (0, 1))  # each row once per batch
+    found = {(r.model, r.n_estimators): (r.n, r.sse) for part in search._batches(parts, of) for r in part.itertuples()}
+    assert len(found) == 32 and list(search._batches(iter([]), of)) == []
+    for model in range(len(batch)):
+        for r in search._whole(pdf, [model]).itertuples():
+            assert found[model, r.n_estimators] == (r.n, pytest.approx(r.sse, rel=1e-12))
+
+
 def test_models_of_a_task_share_samples_and_are_bounded():
     search = boosting.Search(8, boosting.GRID, 5, 42, 200_000)
     of = search.batches(200_000 // 4_424)
